@@ -19,6 +19,8 @@ QUESTION_COUNT = 3
 CHARS_PER_TOKEN = 4
 MIN_WORD_CHARS = 3
 
+CONTROL_CHARS = "".join(map(chr, range(0x21)))
+
 # Patterns.
 UPLOAD_ID_PREFIX = (
     "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}_"
@@ -34,7 +36,7 @@ VISUAL_LEAD = (
 
 def java_trim(text: Column) -> Column:
     """Drop leading and trailing characters up to U+0020, not only spaces."""
-    return F.regexp_replace(text, r"^[\x00-\x20]+|[\x00-\x20]+$", "")
+    return F.btrim(text, F.lit(CONTROL_CHARS))
 
 
 def is_blank(text: Column) -> Column:
@@ -49,8 +51,12 @@ def normalize_source_name(name: Column) -> Column:
 
 
 def content_hash(text: Column) -> Column:
-    """SHA-256 of the text with runs of white space collapsed."""
-    return F.sha2(F.regexp_replace(java_trim(text), r"\s+", " "), 256)
+    """SHA-256 of the text with runs of white space collapsed.
+
+    Never null (a missing text gives ''), so a join on it adds no null test
+    that would compute the hash once more.
+    """
+    return F.coalesce(F.sha2(F.regexp_replace(java_trim(text), r"\s+", " "), 256), F.lit(""))
 
 
 def strip_upload_prefix(stored_name: Column) -> Column:

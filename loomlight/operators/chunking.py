@@ -9,15 +9,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructType
 
 # Chunk geometry in characters (code points).
 CHUNK_SIZE = 1000
 OVERLAP = 200
 MIN_CHUNK = 400
 
+CHUNKS_PER_BATCH = 10_000
+
 # White space as the source platform defines it (no no-break spaces).
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \u1680"
@@ -73,21 +76,6 @@ def split_text(
         start = end - overlap if end - overlap > start else end
 
 
-def chunks_of(
-    text: Column, size: int = CHUNK_SIZE, overlap: int = OVERLAP, least: int = MIN_CHUNK
-) -> Column:
-    """Array of the chunks of a text column, in order."""
-
-    @F.pandas_udf("array<string>")
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield texts.map(
-                lambda t: [] if t is None else list(split_text(t, size, overlap, least))
-            )
-
-    return cut(text)
-
-
 def chunk_documents(
     documents: DataFrame,
     text: str = "text",
@@ -98,17 +86,46 @@ def chunk_documents(
     """One row per chunk: the columns of ``documents`` without the text, plus
     chunk_index (from 0), total_chunks and content.
 
-    The total is read off the array before it is exploded, so counting the
-    chunks of a document costs no shuffle.
+    A narrow step: each Arrow batch of documents gives batches of chunk rows,
+    so a text is cut exactly once and its total costs no shuffle.
     """
     kept = [c for c in documents.columns if c != text]
-    cut = documents.select(*kept, chunks_of(F.col(text), size, overlap, least).alias("_chunks"))
-    return cut.select(
-        *kept,
-        F.size("_chunks").alias("total_chunks"),
-        F.posexplode("_chunks").alias("chunk_index", "content"),
+    source = documents.select(*kept, text)
+    fields = [f for f in source.schema.fields if f.name != text]
+    schema = (
+        StructType(fields)
+        .add("chunk_index", IntegerType(), False)
+        .add("total_chunks", IntegerType(), False)
+        .add("content", StringType(), False)
     )
 
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(len(kept)).to_pylist()
+            start = 0
+            while start < len(texts):
+                rows, places, totals, pieces = [], [], [], []
+                # Bounded output batches, whatever the texts expand to.
+                while start < len(texts) and len(pieces) < CHUNKS_PER_BATCH:
+                    found = list(split_text(texts[start] or "", size, overlap, least))
+                    rows += [start] * len(found)
+                    places += range(len(found))
+                    totals += [len(found)] * len(found)
+                    pieces += found
+                    start += 1
+                chosen = pa.array(rows, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(i).take(chosen) for i in range(len(kept))]
+                    + [
+                        pa.array(places, pa.int32()),
+                        pa.array(totals, pa.int32()),
+                        pa.array(pieces, pa.string()),
+                    ],
+                    names=[*kept, "chunk_index", "total_chunks", "content"],
+                )
+
+    return source.mapInArrow(cut, schema)
+
 
 def back_fill_totals(chunks: DataFrame, keys: list[str]) -> DataFrame:
     """Chunk count per document on every chunk of an existing chunk table.

@@ -172,7 +172,8 @@ def citation_markers(messages: DataFrame, key: str, text: str) -> DataFrame:
     )
     ids = F.flatten(F.transform(groups, lambda g: F.split(g, ",")))
     clean = F.filter(F.transform(ids, lambda i: F.regexp_replace(i, r"\s", "")), lambda i: i != "")
-    return messages.select(key, F.explode(clean).cast("bigint").alias("cited_no"))
+    numbers = F.transform(clean, lambda i: i.cast("bigint"))
+    return messages.select(key, F.explode(numbers).alias("cited_no"))
 
 
 def linked_citations(text: Column) -> Column:

@@ -93,17 +93,16 @@ def cover_density(lexeme_array: Column, terms: Column) -> Column:
     return F.aggregate(numbered, start, advance, lambda state: state["sum"])
 
 
-def keyword_matches(
+def keyword_scores(
     queries: DataFrame,
     chunks: DataFrame,
-    k: int,
     query_id: str = "query_id",
     query_text: str = "text",
     chunk_id: str = "vector_id",
     chunk_text: str = "content",
     analyzer: str = "simple",
 ) -> DataFrame:
-    """Top-k per query: query_id, chunk_id, density, rank; ties by chunk id.
+    """Every (query_id, chunk_id) where the chunk holds all terms, with its density.
 
     Queries under three words are skipped. Filters on the chunks (only images,
     only one session) belong on ``chunks`` before the call.
@@ -140,5 +139,23 @@ def keyword_matches(
         .filter(F.size(F.array_except("terms", "words")) == 0)
     )
     density = F.round(cover_density(F.col("words"), F.col("terms")), SCORE_DIGITS)
-    scored = read.select(query_id, chunk_id, density.alias("density"))
+    return read.select(query_id, chunk_id, density.alias("density"))
+
+
+def best_matches(scored: DataFrame, k: int, query_id: str, chunk_id: str) -> DataFrame:
     return top_k(scored, [query_id], [F.col("density").desc(), F.col(chunk_id)], k)
+
+
+def keyword_matches(
+    queries: DataFrame,
+    chunks: DataFrame,
+    k: int,
+    query_id: str = "query_id",
+    query_text: str = "text",
+    chunk_id: str = "vector_id",
+    chunk_text: str = "content",
+    analyzer: str = "simple",
+) -> DataFrame:
+    """Top-k per query: query_id, chunk_id, density, rank; ties by chunk id."""
+    scored = keyword_scores(queries, chunks, query_id, query_text, chunk_id, chunk_text, analyzer)
+    return best_matches(scored, k, query_id, chunk_id)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from loomlight.functions.prompts import history_line
 from loomlight.functions.text import (
@@ -159,10 +158,12 @@ def sessions_at_cap(messages: DataFrame, cap: int = MESSAGE_CAP) -> DataFrame:
 
 
 def session_attachments(view_attachments: DataFrame, attachments: DataFrame) -> DataFrame:
-    """Attachments listed in each session; sort by (session_id, added_at desc) to show."""
-    listed = attachments.drop("session_id")
-    return view_attachments.select("session_id", "attachment_id", "added_at").join(
-        listed, "attachment_id"
+    """Attachments listed in each session, the one added last first."""
+    listed = view_attachments.select("session_id", "attachment_id", "added_at").join(
+        attachments.drop("session_id"), "attachment_id"
+    )
+    return listed.orderBy(
+        "session_id", F.col("added_at").desc(), F.col("attachment_id").desc()
     )
 
 
@@ -241,6 +242,3 @@ def neighbour_texts(pages: DataFrame, document: str, page: str, text: str) -> Da
         .drop("_is_page")
     )
 
-
-def in_order(keys: list[str], order: list[Column]):
-    return Window.partitionBy(*keys).orderBy(*order)

@@ -19,24 +19,35 @@ def new_chunks(uploads: DataFrame) -> DataFrame:
     """Chunk rows of uploads whose content is new.
 
     ``uploads`` has doc_id, session_id, uploaded_at, text, content_hash,
-    file_name, source_type, image_url and source_url. Copies are reduced to one
-    row per hash before any text is moved or cut: the only shuffle carries
-    hashes and ids, and the texts are then met by a semi-join on the chosen
-    documents.
+    file_name, source_type, image_url and source_url. The shuffle that finds
+    copies carries hashes and ids only. What comes back to the texts is one row
+    per content that was uploaded more than once: usually little enough to be
+    broadcast, so the texts stay where they were read.
     """
-    chosen = first_and_latest(uploads).select(
-        "content_hash", "doc_id", F.col("session_id").alias("owner_session")
+    repeated = (
+        first_and_latest(uploads)
+        .filter("copies > 1")
+        .select(
+            "content_hash",
+            F.col("doc_id").alias("first_doc"),
+            F.col("session_id").alias("owner_session"),
+        )
     )
-    texts = uploads.join(chosen.drop("content_hash"), "doc_id").select(
-        "content_hash",
-        F.col("owner_session").alias("session_id"),
-        normalize_source_name(F.col("file_name")).alias("source_name"),
-        "source_type",
-        F.col("file_name").alias("original_file_name"),
-        "image_url",
-        "source_url",
-        F.col("uploaded_at").alias("created_at"),
-        "text",
+    is_first = F.col("first_doc").isNull() | (F.col("first_doc") == F.col("doc_id"))
+    texts = (
+        uploads.join(repeated, "content_hash", "left")
+        .filter(is_first)
+        .select(
+            "content_hash",
+            F.coalesce("owner_session", "session_id").alias("session_id"),
+            normalize_source_name(F.col("file_name")).alias("source_name"),
+            "source_type",
+            F.col("file_name").alias("original_file_name"),
+            "image_url",
+            "source_url",
+            F.col("uploaded_at").alias("created_at"),
+            "text",
+        )
     )
     cut = chunk_documents(texts)
     return cut.withColumn("vector_id", chunk_id(F.col("content_hash"), F.col("chunk_index")))

@@ -19,7 +19,7 @@ from loomlight.lineage import materialize
 from loomlight.operators.dense import nearest_chunks
 from loomlight.operators.embedding import Embedder, hashed_terms
 from loomlight.operators.fusion import POOL_SIZE, fuse_ranks, spread_sources
-from loomlight.operators.lexical import keyword_matches
+from loomlight.operators.lexical import best_matches, keyword_scores
 from loomlight.operators.ranking import rank_candidates
 from loomlight.operators.rerank import (
     TEXT_RESULTS,
@@ -88,42 +88,25 @@ def hybrid_retrieve(
     dense = nearest_chunks(
         queries, dense_side, k, query_id="plan_id", targets="targets", source="source_name"
     )
-    lexical = keyword_matches(
-        queries,
-        lexical_side,
-        # Restricting afterwards would lose rows, so the limit is applied after the filter.
-        k,
-        query_id="plan_id",
-        query_text="query_text",
-        analyzer=analyzer,
-    ) if not targets_in_lexical else _targeted_keywords(queries, lexical_side, k, analyzer)
+    scored = keyword_scores(queries, lexical_side, "plan_id", "query_text", analyzer=analyzer)
+    if targets_in_lexical:
+        scored = _inside_targets(scored, queries, lexical_side)
+    lexical = best_matches(scored, k, "plan_id", "vector_id")
     fused = fuse_ranks(dense, lexical, query_id="plan_id")
     pool = fused.join(chunks.select(*CHUNK_FIELDS), "vector_id")
     return spread_sources(pool, query_id="plan_id")
 
 
-def _targeted_keywords(
-    queries: DataFrame, chunks: DataFrame, k: int, analyzer: str
-) -> DataFrame:
-    """Keyword matches within the targets of each query that has some."""
-    everywhere = keyword_matches(
-        queries.filter(F.size("targets") == 0), chunks, k, "plan_id", "query_text",
-        analyzer=analyzer,
-    )
-    limited = queries.filter(F.size("targets") > 0)
-    # One query per (plan, target) over chunk ids that name their source.
-    named = limited.select("plan_id", "query_text", F.explode("targets").alias("source_name"))
-    found = keyword_matches(
-        limited, chunks.join(named.select("source_name").distinct(), "source_name", "left_semi"),
-        1 << 30, "plan_id", "query_text", analyzer=analyzer,
-    )
-    inside = (
-        found.join(chunks.select("vector_id", "source_name"), "vector_id")
-        .join(named.select("plan_id", "source_name"), ["plan_id", "source_name"], "left_semi")
-        .drop("rank", "source_name")
+def _inside_targets(scored: DataFrame, queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Scored pairs whose chunk is of a target source, for queries that have targets."""
+    sources = chunks.select("vector_id", "source_name")
+    allowed = queries.select("plan_id", "targets")
+    return (
+        scored.join(sources, "vector_id")
+        .join(allowed, "plan_id")
+        .filter((F.size("targets") == 0) | F.array_contains("targets", F.col("source_name")))
+        .drop("source_name", "targets")
     )
-    order = [F.col("density").desc(), F.col("vector_id")]
-    return everywhere.unionByName(top_k(inside, ["plan_id"], order, k))
 
 
 def whole_documents(

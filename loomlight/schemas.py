@@ -46,8 +46,9 @@ SCOPE_EXPANSION = "type string, `from` string, `to` string, reason string"
 
 # Names of the enumerated columns.
 ATTACHMENT_TYPES = ["PDF", "IMAGE", "TEXT", "WIKIPEDIA", "OTHER"]
-SOURCE_TYPES = ["PDF", "TEXT", "MARKDOWN", "HTML", "IMAGE", "PDF_IMAGE", "WIKIPEDIA"]
-JOB_STATUSES = ["QUEUED", "PROCESSING", "COMPLETED", "FAILED"]
+SOURCE_TYPES = ["PDF", "DOCX", "WIKIPEDIA", "HTML", "MARKDOWN", "TEXT", "IMAGE", "OTHER"]
+JOB_STATUSES = ["QUEUED", "PROCESSING", "FAILED", "COMPLETED"]
+MESSAGE_STATUSES = ["PROCESSING", "COMPLETED", "FAILED", "CANCELLED"]
 MERGE_OPERATIONS = ["NONE", "UNION", "COMPARE"]
 SCOPES = ["NONE", "SPECIFIC_DOC", "CORPUS"]
 UPLOAD_STATES = ["UPLOADING", "EMBEDDING", "INGESTING", "READY", "FAILED"]

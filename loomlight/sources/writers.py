@@ -78,15 +78,15 @@ def write_transcripts(segments: DataFrame, path: str) -> None:
     """Text files under one folder per session; a file holds whole segments in order.
 
     Rows are spread by (session, segment), so a long session is several files
-    whose names sort in order.
+    whose names sort in order. The writer ends every row with the line break
+    that is taken off the segment here.
     """
     (
         segments.repartitionByRange("session_id", "segment_no")
         .sortWithinPartitions("session_id", "segment_no")
-        .select("session_id", "text")
+        .select("session_id", F.regexp_replace("text", r"\n\z", "").alias("text"))
         .write.mode("append")
         .partitionBy("session_id")
-        .option("lineSep", "")
         .text(path)
     )
 
