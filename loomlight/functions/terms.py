@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from loomlight.functions.stemming import STOP_WORDS, stem
 
@@ -22,7 +23,7 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_A_TERM), lambda t: t != "")
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for rows in batches:
         yield rows.map(lambda words: None if words is None else [stem(w) for w in words])
