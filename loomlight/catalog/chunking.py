@@ -9,6 +9,7 @@ from loomlight.catalog.registry import query
 from loomlight.functions.text import page_title
 from loomlight.operators import chunking as ch
 from loomlight.operators import html as ht
+from loomlight.partitioning import spread
 from loomlight.plans.ingest import ingest
 
 CHUNK_ROWS_SQL = f"""
@@ -74,7 +75,7 @@ def repeated_neighbours(spark, folder):
 
 
 def sections(spark, folder):
-    pages = t.table(spark, folder, "pages").select(
+    pages = spread(t.table(spark, folder, "pages")).select(
         "page_id", "url", "html", page_title(F.col("url")).alias("title")
     )
     return ht.section_chunks(pages)
@@ -171,7 +172,7 @@ def page_index_rows(spark, folder):
                                 ELSE 'Image without caption' END FROM v""",
 )
 def page_tables_and_figures(spark, folder):
-    docs = t.table(spark, folder, "documents")
+    docs = t.documents(spark, folder)
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
     cell = [
         F.coalesce(F.regexp_replace(F.get(words, F.lit(i)), "[^a-zA-Z]", ""), F.lit(""))

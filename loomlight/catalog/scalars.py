@@ -20,7 +20,7 @@ TRIM = r"'^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'"
     FROM documents""",
 )
 def normalize_source_name(spark, folder):
-    docs = t.table(spark, folder, "documents")
+    docs = t.documents(spark, folder)
     version = (F.col("doc_id") % 3).cast("string")
     name = F.concat(F.upper("source"), F.lit("_"), "lang", F.lit("-v"), version, F.lit(".tar.gz"))
     without = F.regexp_replace(name, r"\.tar", "")
@@ -29,7 +29,7 @@ def normalize_source_name(spark, folder):
 
 @query("P2", sql=f"WITH {t.UPLOADS_SQL} SELECT doc_id, content_hash FROM uploads")
 def content_hash(spark, folder):
-    docs = t.table(spark, folder, "documents")
+    docs = t.documents(spark, folder)
     return docs.select("doc_id", text.content_hash(F.col("text")).alias("content_hash"))
 
 
@@ -446,7 +446,7 @@ def citation_links(spark, folder):
 )
 def question_lines(spark, folder):
     raw = F.concat(F.lit("- "), F.col("text"))
-    return t.table(spark, folder, "documents").select(
+    return t.documents(spark, folder).select(
         "doc_id", F.array_join(text.question_lines(raw), "|").alias("questions")
     )
 
@@ -470,7 +470,7 @@ IMAGE_SQL = r"""
 
 def described_images(spark, folder):
     """An image description made of each document."""
-    docs = t.table(spark, folder, "documents")
+    docs = t.documents(spark, folder)
     words = F.split("text", r"\s+")
     none = F.array().cast("array<string>")
     summary = F.concat(
@@ -535,7 +535,7 @@ def token_estimate(spark, folder):
 )
 def bounded_text(spark, folder):
     body = F.col("text")
-    return t.table(spark, folder, "documents").select(
+    return t.documents(spark, folder).select(
         "doc_id",
         F.md5(text.bounded(body, text.QUESTION_CONTEXT_CHARS)).alias("question_context"),
         F.md5(text.bounded(body, text.SUMMARY_CONTEXT_CHARS)).alias("summary_context"),
@@ -557,7 +557,7 @@ def excerpt_and_score(spark, folder):
     semantic = F.lit(1.0) / (1 + F.col("doc_id") % 17)
     # A final score of zero outside the fifth documents falls back in both.
     safe = F.when((final == 0.0) & (F.col("doc_id") % 5 != 0), F.lit(0.0)).otherwise(semantic)
-    return t.table(spark, folder, "documents").select(
+    return t.documents(spark, folder).select(
         "doc_id",
         text.excerpt(F.col("text")).alias("excerpt"),
         text.citation_score(final, safe).alias("score"),
@@ -578,7 +578,7 @@ pathed AS (
 def headed_documents(spark, folder):
     words = F.split("text", " ", -1)
     doc = F.col("doc_id")
-    return t.table(spark, folder, "documents").select(
+    return t.documents(spark, folder).select(
         "doc_id",
         F.col("source").alias("page"),
         "text",
@@ -799,7 +799,7 @@ WORDS_SQL = r"""list_filter(list_distinct(regexp_split_to_array(lower({0}), '\W+
 )
 def word_set(spark, folder):
     words = text.word_set(F.col("text"))
-    return t.table(spark, folder, "documents").select(
+    return t.documents(spark, folder).select(
         "doc_id",
         F.size(words).cast("bigint").alias("words"),
         F.array_join(F.array_sort(words), " ").alias("word_set"),

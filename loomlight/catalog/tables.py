@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from loomlight.functions.text import content_hash, normalize_source_name, short_title
 from loomlight.lineage import materialize
+from loomlight.partitioning import spread
 from loomlight.plans.ingest import ingest
 from loomlight.sources.writers import route_uploads
 
@@ -24,6 +25,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def documents(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents, dealt to all cores when they come in few splits."""
+    return spread(table(spark, folder, "documents"))
+
+
 def minutes_after_start(minutes: str):
     return F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + ({minutes}) * interval '1' minute")
 
@@ -34,7 +40,7 @@ def stamp(column: str):
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as uploads, with text."""
-    docs = table(spark, folder, "documents")
+    docs = documents(spark, folder)
     mime = (
         F.when(F.col("lang") == "en", "text/plain")
         .when(F.col("lang") == "fr", "Application/PDF")

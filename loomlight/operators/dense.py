@@ -28,7 +28,7 @@ MIN_SIMILARITY = 0.0
 MAX_BROADCAST_QUERIES = 4096
 SLICE_ROWS = 200_000
 SCORE_DIGITS = 9
-TREE_FROM_PARTITIONS = 512
+TREE_FROM_FILES = 512
 
 
 class _Queries:
@@ -162,7 +162,7 @@ def nearest_chunks(
     else:
         scored = _blocked(asked, offered, k, floor, filtered, schema, max_broadcast)
 
-    wide = scored.rdd.getNumPartitions() > TREE_FROM_PARTITIONS
+    wide = len(offered.inputFiles()) > TREE_FROM_FILES
     best = top_k(
         scored,
         ["_q"],

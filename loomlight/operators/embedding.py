@@ -12,9 +12,11 @@ from functools import lru_cache
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType
 
 from loomlight.functions.terms import terms_of
 
@@ -27,18 +29,24 @@ def _bucket(word: str) -> int:
     return int(md5(word.encode()).hexdigest()[:6], 16) % DIMENSIONS
 
 
+@F.arrow_udf(ArrayType(FloatType()))
+def _hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for terms in batches:
+        # Words of a batch repeat: hash each distinct one once.
+        words = terms.flatten().dictionary_encode()
+        buckets = np.array([_bucket(w) for w in words.dictionary.to_pylist()], np.int64)
+        counts = np.zeros(len(terms) * DIMENSIONS)
+        if len(words):
+            rows = pc.list_parent_indices(terms)
+            cells = np.asarray(rows) * DIMENSIONS + buckets[np.asarray(words.indices)]
+            counts = np.bincount(cells, minlength=len(counts)).astype(np.float64)
+        matrix = counts.reshape(-1, DIMENSIONS)
+        norms = np.sqrt((matrix * matrix).sum(axis=1, keepdims=True))
+        unit = np.divide(matrix, norms, out=np.zeros_like(matrix), where=norms > 0)
+        offsets = pa.array(np.arange(len(terms) + 1) * DIMENSIONS, pa.int32())
+        yield pa.ListArray.from_arrays(offsets, pa.array(unit.ravel().astype(np.float32)))
+
+
 def hashed_terms(text: Column) -> Column:
     """Bucket counts of the terms of a text, scaled to unit length."""
-
-    @F.pandas_udf("array<float>")
-    def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for rows in batches:
-            out = []
-            for words in rows:
-                buckets = [_bucket(w) for w in words] if words is not None else []
-                counts = np.bincount(np.array(buckets, np.int64), minlength=DIMENSIONS)
-                norm = np.sqrt(float((counts * counts).sum()))
-                out.append((counts / norm if norm else counts * 0.0).astype(np.float32))
-            yield pd.Series(out)
-
-    return embed(terms_of(text))
+    return _hashed(F.coalesce(terms_of(text), F.array().cast("array<string>")))

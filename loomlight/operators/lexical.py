@@ -1,9 +1,9 @@
 """Lexical search: chunks that hold every term of a query, best cover first.
 
 All terms must match, so the rarest one alone decides which chunks can. Only
-that anchor term is joined; the few chunks that carry it are then read again,
-checked for the other terms and scored. The pairs joined are therefore the
-chunks of each query's rarest term, never those of its common ones.
+that anchor term is joined; the chunks that carry it are checked for the other
+terms and scored. The pairs formed are therefore the chunks of each query's
+rarest term, never those of its common ones.
 
 The score is cover density (Clarke, Cormack and Tudhope, 2000): every minimal
 span that holds all terms counts 1 / (1 + other words in it), scaled by 0.1.
@@ -23,6 +23,10 @@ MIN_QUERY_WORDS = 3
 TERM_WEIGHT = 0.1
 
 SCORE_DIGITS = 9
+SAMPLE_FRACTION = 0.05
+SAMPLE_SEED = 17
+# About 32 MB of query terms.
+MAX_BROADCAST_TERMS = 1_000_000
 
 
 def query_terms(
@@ -38,10 +42,38 @@ def query_terms(
     )
 
 
-def chunk_terms(chunks: DataFrame, chunk_id: str, text: str, analyzer: str) -> DataFrame:
-    """(chunk_id, term), one row per distinct term; only these two columns are exploded."""
-    terms = F.array_distinct(lexemes(F.col(text), analyzer))
-    return chunks.select(chunk_id, F.explode(terms).alias("term")).filter("term != ''")
+def _anchors(
+    asked: DataFrame, chunks: DataFrame, query_id: str, chunk_text: str, analyzer: str
+) -> DataFrame:
+    """Each query with the one of its terms that fewest chunks are likely to hold.
+
+    Any term would give the same result, so frequencies come from a sample.
+    Among terms the sample does not hold, the longest is likely the rarest.
+    """
+    wanted = asked.select(query_id, F.explode("terms").alias("anchor"))
+    sample = chunks.sample(fraction=SAMPLE_FRACTION, seed=SAMPLE_SEED)
+    frequencies = (
+        sample.select(
+            F.explode(F.array_distinct(lexemes(F.col(chunk_text), analyzer))).alias("anchor")
+        )
+        .join(wanted.select("anchor").distinct(), "anchor", "left_semi")
+        .groupBy("anchor")
+        .agg(F.count(F.lit(1)).alias("chunks_with"))
+    )
+    rarest = F.min(
+        F.struct(
+            F.coalesce("chunks_with", F.lit(0)).alias("n"),
+            (-F.length("anchor")).alias("length"),
+            "anchor",
+        )
+    )
+    return (
+        wanted.join(frequencies, "anchor", "left")
+        .groupBy(query_id)
+        .agg(rarest.alias("rarest"))
+        .select(query_id, F.col("rarest.anchor").alias("anchor"))
+        .join(asked, query_id)
+    )
 
 
 def cover_density(lexeme_array: Column, terms: Column) -> Column:
@@ -108,38 +140,27 @@ def keyword_scores(
     only one session) belong on ``chunks`` before the call.
     """
     asked = query_terms(queries, query_id, query_text, analyzer)
-    wanted = asked.select(query_id, F.explode("terms").alias("term"))
-    postings = chunk_terms(chunks, chunk_id, chunk_text, analyzer)
-
-    frequencies = (
-        postings.join(wanted.select("term").distinct(), "term", "left_semi")
-        .groupBy("term")
-        .agg(F.count(F.lit(1)).alias("chunks_with"))
-    )
-    # A term no chunk holds has frequency 0 and makes the best anchor: no pairs.
-    rarest = F.min(F.struct(F.coalesce("chunks_with", F.lit(0)).alias("n"), "term"))
-    anchors = (
-        wanted.join(frequencies, "term", "left")
-        .groupBy(query_id)
-        .agg(rarest.alias("rarest"))
-        .filter("rarest.n > 0")
-        .select(query_id, F.col("rarest.term").alias("term"))
-    )
-    pairs = (
-        postings.join(anchors, "term")
-        .select(query_id, chunk_id)
-        .join(asked, query_id)
-    )
-    # The pairs are few: the optimizer broadcasts them when their measured size
-    # allows, and the chunk texts then stream past without a shuffle.
-    read = (
-        chunks.select(chunk_id, chunk_text)
-        .join(pairs, chunk_id)
-        .select(query_id, chunk_id, "terms", lexemes(F.col(chunk_text), analyzer).alias("words"))
-        .filter(F.size(F.array_except("terms", "words")) == 0)
-    )
+    anchors = _anchors(asked, chunks, query_id, chunk_text, analyzer)
+    words = chunks.select(chunk_id, lexemes(F.col(chunk_text), analyzer).alias("words"))
+    distinct = F.explode(F.array_distinct("words")).alias("anchor")
+    measured = asked.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
+    if measured <= MAX_BROADCAST_TERMS:
+        # One stage from scan to score: a chunk's words pass the join only where
+        # an anchor matches.
+        pairs = words.select(chunk_id, "words", distinct).join(F.broadcast(anchors), "anchor")
+    else:
+        # Only ids and terms are shuffled; matched chunks get their words again.
+        found = (
+            words.select(chunk_id, distinct)
+            .join(anchors.select(query_id, "anchor"), "anchor")
+            .select(query_id, chunk_id)
+        )
+        pairs = found.join(asked, query_id).join(words, chunk_id)
     density = F.round(cover_density(F.col("words"), F.col("terms")), SCORE_DIGITS)
-    return read.select(query_id, chunk_id, density.alias("density"))
+    return (
+        pairs.filter(F.size(F.array_except("terms", "words")) == 0)
+        .select(query_id, chunk_id, density.alias("density"))
+    )
 
 
 def best_matches(scored: DataFrame, k: int, query_id: str, chunk_id: str) -> DataFrame:
