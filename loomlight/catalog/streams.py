@@ -1 +1,443 @@
+"""Batch forms of the stream operators, over whole tables."""
 
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from loomlight.catalog import tables as t
+from loomlight.catalog.registry import query
+from loomlight.lineage import shared_folder
+from loomlight.streaming import ingest as ig
+from loomlight.streaming import jobs as jb
+from loomlight.streaming import tokens as tk
+from loomlight.streaming import uploads as up
+from loomlight.streaming import usage as us
+
+
+def job_events(spark, folder):
+    """Events of a user as the status log of one job."""
+    status = (
+        F.when(F.col("event_type") == "click", "PROCESSING")
+        .when(F.col("event_type") == "purchase", "COMPLETED")
+        .when(F.col("event_type") == "error", "FAILED")
+        .otherwise("QUEUED")
+    )
+    return t.table(spark, folder, "events").select(
+        F.col("user_id").alias("job_id"),
+        F.col("event_id").alias("seq"),
+        status.alias("status"),
+        F.when(F.col("event_type") == "error", F.col("props")).alias("error"),
+        "ts",
+    )
+
+
+@query(
+    "X2",
+    sql="""
+    WITH e AS (
+      SELECT user_id AS job_id, event_id, event_type, props FROM events),
+    l AS (
+      SELECT job_id, arg_max(event_type, event_id) AS kind, arg_max(props, event_id) AS props,
+        count(*) AS events FROM e GROUP BY 1)
+    SELECT job_id, CASE kind WHEN 'click' THEN 'PROCESSING' WHEN 'purchase' THEN 'COMPLETED'
+        WHEN 'error' THEN 'FAILED' ELSE 'QUEUED' END AS status,
+      CASE WHEN kind = 'purchase' THEN 100 ELSE 0 END AS progress,
+      CASE WHEN kind = 'error' THEN props END AS error, events FROM l""",
+)
+def job_status(spark, folder):
+    return jb.job_status(job_events(spark, folder))
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def stream_of(spark, folder, name):
+    """A given table as a stream."""
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    file = f"{name}.parquet"
+    schema = spark.read.parquet(f"{folder}/{file}").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
+
+
+@query(
+    "X1",
+    sql="""
+    SELECT DISTINCT user_id || ' ' || strftime(ts, '%Y-%m-%d %H') AS job_id FROM events""",
+)
+def accepted_deliveries(spark, folder):
+    """A stream of deliveries: all of a user's events in an hour deliver one job."""
+    hour = F.date_format("ts", "yyyy-MM-dd HH")
+    deliveries = stream_of(spark, folder, "events").select(
+        F.concat_ws(" ", F.col("user_id").cast("string"), hour).alias("job_id"),
+        F.col("ts").cast("timestamp").alias("ts"),
+    )
+    firsts = jb.drop_redelivered(deliveries, "job_id", jb.INGESTION_LOCK)
+    return jb.finish(firsts, "deliveries").select("job_id")
+
+
+@query(
+    "A2",
+    "X6",
+    sql="""
+    SELECT strftime(ts, '%Y-%m-%d') AS date, count(DISTINCT user_id) AS unique_visitors
+    FROM events GROUP BY 1""",
+)
+def streamed_visitors(spark, folder):
+    """First visits of a stream, counted per day."""
+    visits = stream_of(spark, folder, "events").select(
+        "user_id", F.col("ts").cast("timestamp").alias("ts")
+    )
+    firsts = jb.finish(us.first_visits(visits), "visits")
+    return firsts.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(
+        F.count(F.lit(1)).alias("unique_visitors")
+    )
+
+
+@query(
+    "X6",
+    sql="""
+    SELECT strftime(ts, '%Y-%m-%d') AS date,
+      count(*) FILTER (event_type = 'click') AS chat_requests,
+      count(*) FILTER (event_type = 'signup' AND value > 5) AS documents_uploaded,
+      count(*) FILTER (event_type = 'purchase') AS pdf_exports,
+      round(avg(value) FILTER (event_type = 'click'), 6) AS avg_response_ms
+    FROM events GROUP BY 1""",
+)
+def streamed_counters(spark, folder):
+    """Daily counters of a stream of outcomes; cheap signups count as failed uploads."""
+    kind = F.col("event_type")
+    outcomes = stream_of(spark, folder, "events").select(
+        F.col("ts").cast("timestamp").alias("ts"),
+        F.when(kind == "click", "chat")
+        .when(kind == "signup", "document")
+        .when(kind == "purchase", "export")
+        .otherwise("visit")
+        .alias("kind"),
+        ((kind != "signup") | (F.col("value") > 5)).alias("succeeded"),
+        F.lit(0).alias("tokens"),
+        F.col("value").alias("duration_ms"),
+    )
+    name = f"counters_{uuid.uuid4().hex}"
+    # One row per day, so the result fits the in-memory sink.
+    running = (
+        us.daily_counters(outcomes)
+        .writeStream.format("memory")
+        .queryName(name)
+        .outputMode("complete")
+        .trigger(availableNow=True)
+        .start()
+    )
+    running.awaitTermination()
+    return spark.table(name).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"),
+        "chat_requests",
+        "documents_uploaded",
+        "pdf_exports",
+        F.round("avg_response_ms", 6).alias("avg_response_ms"),
+    )
+
+
+TOKENS_SQL = r"""said AS (
+  SELECT conv_id * 1000 + turn AS message_id, role, regexp_split_to_array(text, ' ') AS w
+  FROM conversations),
+tokens AS (
+  SELECT message_id, unnest(w) || ' ' AS data, generate_subscripts(w, 1) AS seq FROM said),
+token_events AS (
+  SELECT message_id, seq, CASE data WHEN 'and ' THEN 'retry' WHEN 'un ' THEN 'retry'
+    WHEN 'for ' THEN 'citations' ELSE 'message' END AS event, data FROM tokens
+  UNION ALL
+  SELECT message_id, len(w) + 1, CASE WHEN role = 'assistant' THEN 'done'
+    WHEN role = 'system' THEN 'error' ELSE 'message' END, 'end' FROM said
+  UNION ALL
+  SELECT message_id, len(w) + 2, 'message', 'stray' FROM said)"""
+
+
+def token_events(conversations):
+    """Messages as token events: some words are retries or citations, answers end with done."""
+    said = conversations.select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"),
+        "role",
+        F.split("text", " ").alias("w"),
+    )
+    word = F.col("word")
+    event = (
+        F.when(word.isin("and", "un"), "retry").when(word == "for", "citations").otherwise("message")
+    )
+    words = said.select("message_id", F.posexplode("w").alias("at", "word")).select(
+        "message_id",
+        (F.col("at") + 1).cast("bigint").alias("seq"),
+        event.alias("event"),
+        F.concat("word", F.lit(" ")).alias("data"),
+    )
+    last = (
+        F.when(F.col("role") == "assistant", "done")
+        .when(F.col("role") == "system", "error")
+        .otherwise("message")
+    )
+    size = F.size("w").cast("bigint")
+    ends = said.select(
+        "message_id", (size + 1).alias("seq"), last.alias("event"), F.lit("end").alias("data")
+    )
+    stray = said.select(
+        "message_id",
+        (size + 2).alias("seq"),
+        F.lit("message").alias("event"),
+        F.lit("stray").alias("data"),
+    )
+    return words.unionByName(ends).unionByName(stray)
+
+
+@query(
+    "X3",
+    sql=f"""
+    WITH {TOKENS_SQL}, bounds AS (
+      SELECT message_id, min(seq) FILTER (event = 'done') AS done_at FROM token_events GROUP BY 1),
+    kept AS (
+      SELECT e.* FROM token_events e JOIN bounds b USING (message_id)
+      WHERE done_at IS NULL OR seq < done_at),
+    retried AS (SELECT message_id, max(seq) AS r FROM kept WHERE event = 'retry' GROUP BY 1)
+    SELECT k.message_id, (seq - 1) // 1000 AS segment_no,
+      string_agg(data, '' ORDER BY seq) AS text
+    FROM kept k LEFT JOIN retried r ON r.message_id = k.message_id
+    WHERE event = 'message' AND (r IS NULL OR seq > r) GROUP BY ALL""",
+)
+def assembled_answers(spark, folder):
+    return tk.assembled_text(token_events(t.table(spark, folder, "conversations")))
+
+
+@query(
+    "X3",
+    sql=f"""
+    WITH {TOKENS_SQL}
+    SELECT message_id, min(seq) FILTER (event = 'done') AS done_at,
+      CASE WHEN count(*) FILTER (event = 'error') > 0 THEN 'FAILED'
+        WHEN count(*) FILTER (event = 'done') > 0 THEN 'COMPLETED' ELSE 'PROCESSING' END AS status,
+      arg_max(data, seq) FILTER (event = 'citations') AS citations_json
+    FROM token_events GROUP BY 1""",
+)
+def answer_status(spark, folder):
+    return tk.message_status(token_events(t.table(spark, folder, "conversations"))).select(
+        "message_id", "done_at", "status", "citations_json"
+    )
+
+
+@query(
+    "X3",
+    sql=f"""
+    WITH {TOKENS_SQL}, bounds AS (
+      SELECT message_id, min(seq) AS done_at FROM token_events WHERE event = 'done' GROUP BY 1),
+    kept AS (
+      SELECT e.* FROM token_events e JOIN bounds b USING (message_id) WHERE seq < done_at),
+    retried AS (SELECT message_id, max(seq) AS r FROM kept WHERE event = 'retry' GROUP BY 1)
+    SELECT b.message_id, 'COMPLETED' AS status, coalesce(string_agg(data, '' ORDER BY seq)
+      FILTER (event = 'message' AND (r IS NULL OR seq > r)), '') AS text
+    FROM bounds b LEFT JOIN kept k USING (message_id) LEFT JOIN retried USING (message_id)
+    GROUP BY 1""",
+)
+def streamed_answers(spark, folder):
+    """Finished answers of a token stream, assembled in keyed state."""
+    said = stream_of(spark, folder, "conversations")
+    return jb.finish(tk.assemble_stream(token_events(said)), "answers")
+
+
+@query(
+    "X8",
+    sql=f"""
+    WITH RECURSIVE {t.CHUNKS_SQL}
+    SELECT content_hash, chunk_index::INTEGER AS chunk_index, content FROM chunks""",
+)
+def streamed_ingestion(spark, folder):
+    """Documents arriving as a stream, ingested batch by batch into a chunk table."""
+    arriving = t.uploads_from(stream_of(spark, folder, "documents")).withColumns(
+        {"job_id": F.col("doc_id"), "ts": F.col("uploaded_at").cast("timestamp")}
+    )
+    run = uuid.uuid4().hex
+    table = f"{shared_folder(spark)}/loomlight/streamed-{run}"
+    ig.ingest_stream(arriving, table, f"ingest-{run}").awaitTermination()
+    return spark.read.parquet(table).select("content_hash", "chunk_index", "content")
+
+
+@query(
+    "X4",
+    sql="""
+    SELECT user_id AS message_id, event_id AS seq, 0 AS part,
+      CASE WHEN event_type = 'view' THEN 'RETRIEVAL' ELSE 'RANKING' END AS stage,
+      'RUNNING' AS status, event_type AS message, (event_id % 3)::INTEGER AS iteration
+    FROM events WHERE event_type NOT IN ('error', 'signup')
+    UNION ALL
+    SELECT user_id, event_id, part, 'RETRIEVAL', status, message, NULL
+    FROM events, (VALUES (0, 'WARN', 'No sufficient evidence found'),
+      (1, 'INFO', 'Expanding to entire knowledge base')) AS v(part, status, message)
+    WHERE event_type = 'error'""",
+)
+def progress_notices(spark, folder):
+    """Events as progress of a user's message: errors widen the search, signups are noise."""
+    kind = F.col("event_type")
+    stage = F.when(kind == "view", "RETRIEVAL").otherwise("RANKING")
+    notice = F.to_json(
+        F.struct(
+            stage.alias("stage"),
+            F.lit("RUNNING").alias("status"),
+            kind.alias("message"),
+            (F.col("event_id") % 3).alias("iteration"),
+        )
+    )
+    widened = F.lit('{"type":"scope_expansion","from":"TARGET_DOCUMENTS","to":"GLOBAL_CORPUS"}')
+    events = t.table(spark, folder, "events").select(
+        F.col("user_id").alias("message_id"),
+        F.col("event_id").alias("seq"),
+        F.when(kind == "error", "scope_expansion").otherwise("progress").alias("event"),
+        F.when(kind == "error", widened)
+        .when(kind == "signup", F.lit("not json"))
+        .otherwise(notice)
+        .alias("data"),
+    )
+    return tk.progress_log(events)
+
+
+@query(
+    "X5",
+    sql="""
+    WITH e AS (
+      SELECT *, (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS as_of FROM events),
+    s AS (
+      SELECT user_id AS session_id, arg_max(event_type, (ts, event_id)) AS kind,
+        count(DISTINCT props) AS names, max(ts) AS changed_at, any_value(as_of) AS as_of
+      FROM e WHERE ts <= as_of GROUP BY 1)
+    SELECT session_id, CASE kind WHEN 'click' THEN 'EMBEDDING' WHEN 'view' THEN 'INGESTING'
+      WHEN 'purchase' THEN 'READY' WHEN 'error' THEN 'FAILED' ELSE 'UPLOADING' END AS state, names
+    FROM s WHERE changed_at + INTERVAL 5 MINUTE > as_of""",
+)
+def upload_states(spark, folder):
+    """Sessions with a live state an hour before the last event."""
+    kind = F.col("event_type")
+    state = (
+        F.when(kind == "click", "EMBEDDING")
+        .when(kind == "view", "INGESTING")
+        .when(kind == "purchase", "READY")
+        .when(kind == "error", "FAILED")
+        .otherwise("UPLOADING")
+    )
+    events = t.table(spark, folder, "events").select(
+        F.col("user_id").alias("session_id"),
+        "event_id",
+        "ts",
+        state.alias("state"),
+        F.col("props").alias("file_name"),
+    )
+    as_of = events.agg(F.max("ts") - F.expr("interval '1' hour")).scalar()
+    return up.upload_states(events, as_of).select("session_id", "state", "names")
+
+
+@query(
+    "X7",
+    sql="""
+    WITH m AS (SELECT max(ts) - INTERVAL 10 MINUTE AS as_of FROM events)
+    SELECT event_id AS job_id,
+      CASE WHEN ts <= as_of AND as_of < ts + INTERVAL 30 MINUTE THEN 'READY' ELSE 'QUEUED' END
+        AS shown_status
+    FROM events, m WHERE event_type = 'purchase'""",
+)
+def export_results(spark, folder):
+    """Exports as a reader sees them ten minutes before the last event."""
+    events = t.table(spark, folder, "events")
+    as_of = events.agg(F.max("ts") - F.expr("interval '10' minute")).scalar()
+    results = events.filter("event_type = 'purchase'").select(
+        F.col("event_id").alias("job_id"), F.lit("READY").alias("status"),
+        F.col("ts").alias("written_at"),
+    )
+    return jb.export_status(results, as_of).select("job_id", "shown_status")
+
+
+@query(
+    "J12",
+    sql="""
+    SELECT a.event_id AS message_id, a.user_id AS session_id,
+      strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS ready_at, r.ts IS NULL AS still_indexing
+    FROM events a LEFT JOIN events r ON r.user_id % 20 = a.user_id % 20
+      AND r.event_type = 'signup' AND r.ts >= a.ts AND r.ts <= a.ts + INTERVAL 120 SECOND
+    WHERE a.event_type = 'click'""",
+)
+def ingestion_gate(spark, folder):
+    """Clicks as answers that wait for a signup of their user's group, the finished ingestion."""
+    events = t.table(spark, folder, "events")
+    answers = events.filter("event_type = 'click'").select(
+        F.col("event_id").alias("message_id"),
+        F.col("user_id").alias("asker"),
+        (F.col("user_id") % 20).alias("session_id"),
+        F.col("ts").alias("asked_at"),
+    )
+    ready = events.filter("event_type = 'signup'").select(
+        (F.col("user_id") % 20).alias("session_id"), F.col("ts").alias("ready_at")
+    )
+    gated = jb.gate_on_ingestion(answers.drop("asker"), ready)
+    return gated.join(answers.select("message_id", "asker"), "message_id").select(
+        "message_id",
+        F.col("asker").alias("session_id"),
+        t.stamp("ready_at").alias("ready_at"),
+        "still_indexing",
+    )
+
+
+@query(
+    "S8",
+    sql="""
+    SELECT event_id AS job_id, user_id, 'TEXT' AS source_type, user_id % 20 AS session_id
+    FROM events WHERE event_type NOT IN ('view', 'error')""",
+)
+def ingestion_log(spark, folder):
+    """Events as ingestion records; views carry no payload and errors a broken one."""
+    kind = F.col("event_type")
+    payload = F.to_json(
+        F.struct(
+            F.col("event_id").alias("jobId"),
+            F.lit("TEXT").alias("sourceType"),
+            (F.col("user_id") % 20).alias("sessionId"),
+            F.col("user_id").alias("userId"),
+        )
+    )
+    log = t.table(spark, folder, "events").select(
+        F.when(kind == "error", F.lit("{broken")).when(kind != "view", payload).alias("payload"),
+        "ts",
+    )
+    jobs, _ = jb.ingestion_jobs(log)
+    return jobs.select("job_id", "user_id", "source_type", "session_id")
+
+
+@query(
+    "S9",
+    sql="""
+    SELECT conv_id * 1000 + turn AS message_id, conv_id AS session_id, text AS query,
+      strftime(TIMESTAMP '2024-01-01' + turn * INTERVAL 1 SECOND, '%Y-%m-%d %H:%M:%S') AS ts
+    FROM conversations""",
+)
+def chat_log(spark, folder):
+    """Messages as chat records of text fields."""
+    millis = F.lit(1704067200000) + F.col("turn") * 1000
+    log = t.table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("messageId"),
+        F.col("conv_id").cast("string").alias("sessionId"),
+        F.col("text").alias("query"),
+        F.lit("").alias("model"),
+        millis.cast("string").alias("timestamp"),
+    )
+    return jb.chat_jobs(log).select("message_id", "session_id", "query", t.stamp("ts").alias("ts"))
+
+
+@query(
+    "S10",
+    sql="""
+    SELECT 'job-' || event_id AS job_id, user_id AS session_id, user_id || '@x.example' AS user_email
+    FROM events WHERE event_type = 'purchase'""",
+)
+def export_log(spark, folder):
+    log = t.table(spark, folder, "events").filter("event_type = 'purchase'").select(
+        F.concat(F.lit("job-"), F.col("event_id").cast("string")).alias("jobId"),
+        F.col("user_id").cast("string").alias("sessionId"),
+        F.concat(F.col("user_id").cast("string"), F.lit("@x.example")).alias("userEmail"),
+        F.unix_millis(F.col("ts").cast("timestamp")).cast("string").alias("timestamp"),
+    )
+    return jb.export_jobs(log).select("job_id", "session_id", "user_email")

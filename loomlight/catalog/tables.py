@@ -40,7 +40,10 @@ def stamp(column: str):
 
 def uploads(spark: SparkSession, folder: str) -> DataFrame:
     """Documents as uploads, with text."""
-    docs = documents(spark, folder)
+    return uploads_from(documents(spark, folder))
+
+
+def uploads_from(docs: DataFrame) -> DataFrame:
     mime = (
         F.when(F.col("lang") == "en", "text/plain")
         .when(F.col("lang") == "fr", "Application/PDF")
