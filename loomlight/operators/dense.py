@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -178,6 +178,10 @@ def nearest_chunks(
     )
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
+
+
 def _blocked(
     asked: DataFrame,
     offered: DataFrame,
@@ -193,11 +197,11 @@ def _blocked(
     left = asked.select(
         "*",
         F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"),
-        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).cast("bigint").alias("slice"),
+        F.explode(_numbers(slices)).alias("slice"),
     )
     right = offered.select(
         "*",
-        F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("block"),
+        F.explode(_numbers(blocks)).alias("block"),
         F.pmod(F.xxhash64("c"), F.lit(slices)).alias("slice"),
     )
 
