@@ -48,9 +48,9 @@ _KINDS = {
 }
 
 
-def differences(entry: Query, spark, folder: str) -> list[str]:
+def differences(entry: Query, spark, folder: str, built=None) -> list[str]:
     """Empty when the query gives the rows and types of its SQL."""
-    built = entry.build(spark, folder)
+    built = entry.build(spark, folder) if built is None else built
     got_names = built.columns
     got_kinds = {n: _KINDS.get(k, k) for n, k in built.dtypes}
     got = _rows(got_names, [tuple(r) for r in built.collect()])

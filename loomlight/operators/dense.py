@@ -28,6 +28,7 @@ MIN_SIMILARITY = 0.0
 MAX_BROADCAST_QUERIES = 4096
 SLICE_ROWS = 200_000
 SCORE_DIGITS = 9
+CELLS = 4_000_000
 TREE_FROM_FILES = 512
 
 
@@ -61,9 +62,9 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> np.ndarray:
+def _best(scores: np.ndarray, ids: np.ndarray, k: int, bar: float) -> np.ndarray:
     """Rows of the k best scores, ties by id; copies of one chunk cannot pile up."""
-    rows = np.flatnonzero(scores >= floor)
+    rows = np.flatnonzero(scores >= bar)
     if len(rows) > k:
         cut = -np.partition(-scores[rows], k - 1)[k - 1]
         sure = rows[scores[rows] > cut]
@@ -73,30 +74,63 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int, floor: float) -> np.ndarr
     return rows
 
 
-def _score(
-    queries: _Queries, batch: pa.RecordBatch, k: int, floor: float, filtered: bool
-) -> pa.RecordBatch:
-    ids = np.array(batch.column(0).to_pylist(), object)
-    scores = np.round(_unit(_matrix(batch.column(1))) @ queries.unit.T, SCORE_DIGITS)
-    if filtered:
-        scores[~queries.allowed(batch.column(2).to_pylist())] = -np.inf
-    picked = [_best(scores[:, q], ids, k, floor) for q in range(len(queries.ids))]
-    rows = np.concatenate(picked).astype(np.int64)
-    owner = np.repeat(np.arange(len(picked)), [len(p) for p in picked])
-    return pa.RecordBatch.from_arrays(
-        [
-            queries.ids.take(pa.array(owner)),
-            batch.column(0).take(pa.array(rows)),
-            pa.array(scores[rows, owner], pa.float64()),
-        ],
-        names=["_q", "_c", "_s"],
-    )
+class _Leaders:
+    """The k best chunks so far of every query.
 
+    Memory is bounded by the product of one slice and a few k rows per query.
+    Once a query has k chunks, only scores that reach its k-th are looked at.
+    """
 
-def _merge(parts: list[pa.RecordBatch], k: int) -> pd.DataFrame:
-    table = pa.Table.from_batches(parts).to_pandas()
-    table = table.sort_values(["_q", "_s", "_c"], ascending=[True, False, True])
-    return table.groupby("_q", sort=False).head(k)
+    def __init__(self, queries: _Queries, k: int, floor: float, filtered: bool):
+        self.queries, self.k, self.filtered = queries, k, filtered
+        self.bar = np.full(len(queries.ids), floor)
+        self.parts: list[pd.DataFrame] = []
+        self.held = 0
+        self.step = max(1, CELLS // len(queries.ids))
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        for start in range(0, batch.num_rows, self.step):
+            self._add(batch.slice(start, self.step))
+            if self.held > 4 * self.k * len(self.queries.ids):
+                self._shrink()
+
+    def _add(self, part: pa.RecordBatch) -> None:
+        ids = np.array(part.column(0).to_pylist(), object)
+        scores = np.round(_unit(_matrix(part.column(1))) @ self.queries.unit.T, SCORE_DIGITS)
+        if self.filtered:
+            scores[~self.queries.allowed(part.column(2).to_pylist())] = -np.inf
+        # Queries nothing in this slice can help are skipped at once.
+        live = np.flatnonzero(scores.max(axis=0) >= self.bar)
+        picked = [_best(scores[:, q], ids, self.k, self.bar[q]) for q in live]
+        if picked:
+            rows = np.concatenate(picked)
+            owner = np.repeat(live, [len(p) for p in picked])
+            found = {"q": owner, "c": ids[rows], "s": scores[rows, owner]}
+            self.parts.append(pd.DataFrame(found))
+            self.held += len(rows)
+
+    def _shrink(self) -> pd.DataFrame:
+        every = pd.concat(self.parts)
+        every = every.sort_values(["q", "s", "c"], ascending=[True, False, True])
+        best = every.groupby("q", sort=False).head(self.k)
+        full = best.groupby("q")["s"].agg(["size", "min"])
+        full = full[full["size"] == self.k]
+        self.bar[full.index] = full["min"]
+        self.parts, self.held = [best], len(best)
+        return best
+
+    def result(self, id_type: pa.DataType) -> pa.RecordBatch | None:
+        if not self.parts:
+            return None
+        best = self._shrink()
+        return pa.RecordBatch.from_arrays(
+            [
+                self.queries.ids.take(pa.array(best["q"].to_numpy(np.int64))),
+                pa.array(best["c"].tolist(), id_type),
+                pa.array(best["s"].to_numpy(np.float64)),
+            ],
+            names=["_q", "_c", "_s"],
+        )
 
 
 def nearest_chunks(
@@ -134,6 +168,7 @@ def nearest_chunks(
     c_type = offered.schema["c"].dataType.simpleString()
     schema = f"_q {q_type}, _c {c_type}, _s double"
     id_type = to_arrow_type(asked.schema["q"].dataType)
+    chunk_type = to_arrow_type(offered.schema["c"].dataType)
 
     # At most one row above the bound reaches the driver.
     head = asked.limit(max_broadcast + 1).collect()
@@ -148,15 +183,12 @@ def nearest_chunks(
         shared = offered.sparkSession.sparkContext.broadcast(held)
 
         def local_best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            kept: list[pa.RecordBatch] = []
+            leaders = _Leaders(shared.value, k, floor, filtered)
             for batch in batches:
-                if batch.num_rows:
-                    kept.append(_score(shared.value, batch, k, floor, filtered))
-                if len(kept) >= 16:
-                    merged = _merge(kept, k)
-                    kept = [pa.RecordBatch.from_pandas(merged, kept[0].schema, False)]
-            if kept:
-                yield pa.RecordBatch.from_pandas(_merge(kept, k), kept[0].schema, False)
+                leaders.add(batch)
+            found = leaders.result(chunk_type)
+            if found is not None:
+                yield found
 
         scored = offered.mapInArrow(local_best, schema)
     else:
@@ -206,20 +238,19 @@ def _blocked(
     )
 
     def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        names = ["_q", "_c", "_s"]
-        if not q.num_rows or not c.num_rows:
-            return pa.table(
-                [pa.array([], q["q"].type), pa.array([], c["c"].type), pa.array([], pa.float64())],
-                names=names,
-            )
-        held = _Queries(
-            q["q"].combine_chunks(), _matrix(q["v"].combine_chunks()), q["t"].to_pylist()
+        id_type = c["c"].type
+        empty = pa.table(
+            [pa.array([], q["q"].type), pa.array([], id_type), pa.array([], pa.float64())],
+            names=["_q", "_c", "_s"],
         )
-        parts = [
-            _score(held, b, k, floor, filtered)
-            for b in c.select(["c", "v", "s"]).to_batches(max_chunksize=10_000)
-        ]
-        return pa.Table.from_pandas(_merge(parts, k), parts[0].schema, preserve_index=False)
+        if not q.num_rows or not c.num_rows:
+            return empty
+        held = _Queries(q["q"].combine_chunks(), _matrix(q["v"].combine_chunks()), q["t"].to_pylist())
+        leaders = _Leaders(held, k, floor, filtered)
+        for batch in c.select(["c", "v", "s"]).to_batches():
+            leaders.add(batch)
+        found = leaders.result(id_type)
+        return empty if found is None else pa.Table.from_batches([found])
 
     return (
         left.groupBy("block", "slice")

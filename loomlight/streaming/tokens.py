@@ -77,36 +77,41 @@ def assembled_text(events: DataFrame) -> DataFrame:
     return join_segments(tokens, ["message_id"], "seq", "data", size=TOKENS_PER_SEGMENT)
 
 
-class _Assembler(StatefulProcessor):
-    """Text of one message so far; emits on ``done``."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.text = handle.getValueState("text", "text string, status string")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        text, status = self.text.get() if self.text.exists() else ("", "PROCESSING")
-        finished = status != "PROCESSING" and status != "FAILING"
-        ended = None
-        for batch in rows:
-            for event, data in batch.sort_values("seq")[["event", "data"]].itertuples(index=False):
-                if finished:
-                    continue
-                if event == "retry":
-                    text = ""
-                elif event == "error":
-                    status = "FAILING"
-                elif event == "done":
-                    finished = True
-                    status = "FAILED" if status == "FAILING" else "COMPLETED"
-                    ended = status
-                elif event not in CONTROL_EVENTS:
-                    text += data
-        self.text.update((text, status))
-        if ended:
-            yield pd.DataFrame({"message_id": [key[0]], "text": [text], "status": [ended]})
-
-    def close(self) -> None:
-        pass
+def _assembler() -> StatefulProcessor:
+    """Built here so that it travels with its code to Spark's stream runner."""
+
+    class Assembler(StatefulProcessor):
+        """Text of one message so far; emits on ``done``."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.text = handle.getValueState("text", "text string, status string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            text, status = self.text.get() if self.text.exists() else ("", "PROCESSING")
+            finished = status != "PROCESSING" and status != "FAILING"
+            ended = None
+            for batch in rows:
+                for event, data in batch.sort_values("seq")[["event", "data"]].itertuples(index=False):
+                    if finished:
+                        continue
+                    if event == "retry":
+                        text = ""
+                    elif event == "error":
+                        status = "FAILING"
+                    elif event == "done":
+                        finished = True
+                        status = "FAILED" if status == "FAILING" else "COMPLETED"
+                        ended = status
+                    elif event not in CONTROL_EVENTS:
+                        text += data
+            self.text.update((text, status))
+            if ended:
+                yield pd.DataFrame({"message_id": [key[0]], "text": [text], "status": [ended]})
+
+        def close(self) -> None:
+            pass
+
+    return Assembler()
 
 
 def assemble_stream(events: DataFrame) -> DataFrame:
@@ -116,7 +121,7 @@ def assemble_stream(events: DataFrame) -> DataFrame:
     ``seq``. Needs the RocksDB state store.
     """
     return events.groupBy("message_id").transformWithStateInPandas(
-        statefulProcessor=_Assembler(),
+        statefulProcessor=_assembler(),
         outputStructType="message_id bigint, text string, status string",
         outputMode="append",
         timeMode="None",

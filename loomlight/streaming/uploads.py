@@ -32,35 +32,40 @@ def upload_states(events: DataFrame, as_of) -> DataFrame:
     )
 
 
-class _Tracker(StatefulProcessor):
-    """State and file names of one session; both expire on their own."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        life = STATE_MINUTES * 60 * 1000
-        self.state = handle.getValueState("state", "state string", ttlDurationMs=life)
-        self.names = handle.getMapState("names", "name string", "place int", ttlDurationMs=life)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = self.state.get()[0] if self.state.exists() else STATES[0]
-        known = sum(1 for _ in self.names.keys())
-        for batch in rows:
-            ordered = batch.sort_values(["ts", "event_id"])
-            for new, name in ordered[["state", "file_name"]].itertuples(index=False):
-                state = new
-                if name and not self.names.containsKey((name,)):
-                    known += 1
-                    self.names.updateValue((name,), (known,))
-        self.state.update((state,))
-        yield pd.DataFrame({"session_id": [key[0]], "state": [state], "names": [known]})
-
-    def close(self) -> None:
-        pass
+def _tracker() -> StatefulProcessor:
+    """Built here so that it travels with its code to Spark's stream runner."""
+
+    class Tracker(StatefulProcessor):
+        """State and file names of one session; both expire on their own."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            life = STATE_MINUTES * 60 * 1000
+            self.state = handle.getValueState("state", "state string", ttlDurationMs=life)
+            self.names = handle.getMapState("names", "name string", "place int", ttlDurationMs=life)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            state = self.state.get()[0] if self.state.exists() else STATES[0]
+            known = sum(1 for _ in self.names.keys())
+            for batch in rows:
+                ordered = batch.sort_values(["ts", "event_id"])
+                for new, name in ordered[["state", "file_name"]].itertuples(index=False):
+                    state = new
+                    if name and not self.names.containsKey((name,)):
+                        known += 1
+                        self.names.updateValue((name,), (known,))
+            self.state.update((state,))
+            yield pd.DataFrame({"session_id": [key[0]], "state": [state], "names": [known]})
+
+        def close(self) -> None:
+            pass
+
+    return Tracker()
 
 
 def track_uploads(events: DataFrame) -> DataFrame:
     """Current state of each session touched in a batch, from a stream of events."""
     return events.groupBy("session_id").transformWithStateInPandas(
-        statefulProcessor=_Tracker(),
+        statefulProcessor=_tracker(),
         outputStructType="session_id bigint, state string, names bigint",
         outputMode="update",
         timeMode="ProcessingTime",
