@@ -723,7 +723,7 @@ def preference_resolution(spark, folder):
     FROM preferences""",
 )
 def preference_update(spark, folder):
-    """Every second user changes style and temperature, and names a model that does not exist."""
+    """All users name a model that does not exist; every second one changes style and temperature."""
     stored = preferences(spark, folder).select(
         "user_id",
         F.lit(None).cast("string").alias("theme"),
@@ -733,14 +733,15 @@ def preference_update(spark, folder):
         "model_name",
         F.lit(None).cast("double").alias("temperature"),
     )
-    changes = stored.filter("user_id % 2 = 0").select(
+    even = F.col("user_id") % 2 == 0
+    changes = stored.select(
         "user_id",
         F.lit(None).cast("string").alias("theme"),
         F.lit(None).cast("string").alias("language"),
         F.lit(None).cast("boolean").alias("citation_enabled"),
-        F.lit("detailed").alias("response_style"),
+        F.when(even, "detailed").alias("response_style"),
         F.lit("nothing").alias("model_name"),
-        F.lit(0.2).alias("temperature"),
+        F.when(even, 0.2).alias("temperature"),
     )
     return prompts.update_preferences(stored, changes).drop("citation_enabled")
 

@@ -109,19 +109,16 @@ def records(spark, folder):
     sql=f"""
     WITH {VERSIONS_SQL}, lasts AS (
       SELECT vector_id, arg_max(doc_id, doc_id) AS doc_id FROM records GROUP BY 1)
-    SELECT r.* FROM records r JOIN lasts USING (vector_id, doc_id)""",
+    SELECT r.* REPLACE (doc_id AS version) FROM records r JOIN lasts USING (vector_id, doc_id)""",
 )
 def upserted_records(spark, folder):
-    """Later records of a name replace earlier ones; one record per name and batch."""
-    rows = records(spark, folder)
-    newest = F.max_by(F.struct("doc_id", "session_id", "version", "size"), "doc_id")
-
-    def batch(part):
-        return part.groupBy("vector_id").agg(newest.alias("r")).select("vector_id", "r.*")
-
-    even = batch(rows.filter("version % 2 = 0"))
-    odd = batch(rows.filter("version % 2 = 1"))
-    return wr.upsert(even, odd)
+    """The last record of every name replaces its first one."""
+    rows = records(spark, folder).withColumn("version", F.col("doc_id"))
+    record = F.struct("doc_id", "session_id", "version", "size")
+    ends = rows.groupBy("vector_id").agg(
+        F.min_by(record, "doc_id").alias("first"), F.max_by(record, "doc_id").alias("last")
+    )
+    return wr.upsert(ends.select("vector_id", "first.*"), ends.select("vector_id", "last.*"))
 
 
 @query(

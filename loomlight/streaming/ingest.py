@@ -1,43 +1,95 @@
-"""Ingestion of uploads as they arrive."""
+"""Ingestion of uploads as they arrive.
+
+Two tables grow together: the chunks, and one row per ingested content in an
+index of hashes. The index is partitioned by the first digits of the hash, so
+a batch reads only the partitions its own hashes fall into.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from loomlight.operators.dedup import with_hash
 from loomlight.plans.ingest import new_chunks
-from loomlight.sources.writers import append_chunks
 from loomlight.streaming.jobs import INGESTION_LOCK, drop_redelivered, start
 
+# 256 partitions of the index; three or four digits suit billions of contents.
+PREFIX_DIGITS = 2
 
-def ingest_batch(uploads: DataFrame, table: str) -> None:
-    """Append the chunks of contents the table does not hold yet.
 
-    Content hashes make the step safe to repeat: a batch delivered again finds
-    its hashes in the table. Sessions of known contents move by
-    ``repoint_chunks`` when the table is next rewritten.
-    """
-    spark = uploads.sparkSession
-    hashed = with_hash(uploads)
-    stored = _stored_hashes(spark, table)
-    fresh = hashed if stored is None else hashed.join(stored, "content_hash", "left_anti")
-    append_chunks(new_chunks(fresh), table)
+def index_path(table: str) -> str:
+    return table.rstrip("/") + "_hashes"
+
 
+def _prefixed(rows: DataFrame, digits: int) -> DataFrame:
+    return rows.withColumn("prefix", F.substring("content_hash", 1, digits))
 
-def _stored_hashes(spark, table: str) -> DataFrame | None:
-    path = spark._jvm.org.apache.hadoop.fs.Path(table)
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+
+def known_in_index(
+    hashes: DataFrame, table: str, batch: str, digits: int = PREFIX_DIGITS
+) -> DataFrame | None:
+    """Which of the hashes other batches ingested; null before the first batch."""
+    spark: SparkSession = hashes.sparkSession
+    try:
+        index = spark.read.parquet(index_path(table))
+    except AnalysisException:
         return None
-    return spark.read.parquet(table).select("content_hash").distinct()
+    stored = index.filter(F.col("ingest_batch") != batch).select("prefix", "content_hash")
+    # An inner join lets the batch's prefixes prune the index partitions.
+    return _prefixed(hashes, digits).join(stored, ["prefix", "content_hash"]).select("content_hash")
+
+
+def _write(rows: DataFrame, path: str, *folders: str) -> None:
+    """Replace the partitions of this batch only, so a repeated batch adds nothing."""
+    (
+        rows.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(*folders)
+        .parquet(path)
+    )
+
+
+def ingest_batch(
+    uploads: DataFrame, table: str, batch: str, digits: int = PREFIX_DIGITS
+) -> None:
+    """Add the chunks of contents that are not in the table yet.
+
+    Everything a batch writes lies in partitions named after it: a batch that
+    is run again replaces what it wrote before. Sessions of known contents move
+    by ``repoint_chunks`` when the table is next rewritten.
+    """
+    hashed = with_hash(uploads).persist()
+    try:
+        known = known_in_index(hashed.select("content_hash").distinct(), table, batch, digits)
+        fresh = hashed if known is None else hashed.join(known, "content_hash", "left_anti")
+        chunks = new_chunks(fresh).withColumn("ingest_batch", F.lit(batch))
+        _write(chunks, table, "ingest_batch", "source_type")
+        added = _prefixed(fresh.select("content_hash").distinct(), digits)
+        _write(
+            added.withColumn("ingest_batch", F.lit(batch)).repartition("prefix"),
+            index_path(table),
+            "prefix",
+            "ingest_batch",
+        )
+    finally:
+        hashed.unpersist()
 
 
-def ingest_stream(jobs: DataFrame, table: str, name: str = "ingest"):
+def ingest_stream(
+    jobs: DataFrame, table: str, name: str = "ingest", digits: int = PREFIX_DIGITS
+):
     """Deduplicate redelivered jobs and ingest each batch.
 
-    ``jobs`` carries job_id, ts and the upload columns with their text.
+    ``jobs`` carries job_id, ts and the upload columns with their text. The
+    name and ``digits`` must stay the same over restarts of one stream.
     """
     firsts = drop_redelivered(jobs, "job_id", INGESTION_LOCK)
     return start(
-        firsts, name, lambda batch, _: ingest_batch(batch.drop("job_id", "ts"), table)
+        firsts,
+        name,
+        lambda rows, number: ingest_batch(
+            rows.drop("job_id", "ts"), table, f"{name}-{number}", digits
+        ),
     )
-

@@ -302,3 +302,99 @@ def test_salted_top_k_equals_plain(spark):
     plain = top_k(rows, ["k"], [F.col("o")], 40).collect()
     salted = top_k(rows, ["k"], [F.col("o")], 40, salt_by="o").collect()
     assert sorted(map(tuple, plain)) == sorted(map(tuple, salted))
+
+
+@pytest.fixture(scope="module")
+def corpus(spark):
+    """Two sources of text chunks and one of images."""
+    words = ["river", "mountain", "valley", "forest", "desert", "island"]
+    rows = []
+    for i in range(90):
+        source = ["alpha notes", "beta notes", "gamma"][i % 3]
+        content = f"{words[i % 6]} {words[(i * 5 + 1) % 6]} the quick text number{i}"
+        rows.append((f"{i:03d}", content, source, "IMAGE" if source == "gamma" else "TEXT", i % 4, i // 3,
+                     f"http://i/{i}" if source == "gamma" else None))
+    chunks = spark.createDataFrame(
+        rows,
+        "vector_id string, content string, source_name string, source_type string, "
+        "session_id bigint, chunk_index int, image_url string",
+    ).withColumn("source_url", F.lit(None).cast("string"))
+    return chunks.withColumn("embedding", hashed_terms(F.col("content"))).cache()
+
+
+def plans(spark, rows):
+    layout = (
+        "plan_id string, question string, target_documents array<string>, mode string, "
+        "scope string"
+    )
+    return pr.plan_queries(
+        spark.createDataFrame(rows, layout).withColumns(
+            {
+                "request_id": F.lit(1),
+                "plan_pos": F.lit(0),
+                "purpose": F.lit("p"),
+                "optimized_query": F.lit(None).cast("string"),
+                "entities": F.array().cast("array<string>"),
+                "session_id": F.lit(1).cast("bigint"),
+            }
+        )
+    )
+
+
+def test_whole_document_plan_reads_its_first_sixty_chunks(spark, corpus):
+    asked = plans(spark, [("w", "river valley text", ["Alpha_Notes.pdf"], "WHOLE_DOCUMENT", "CORPUS")])
+    pool = pr.whole_documents(asked, corpus, 10).orderBy("document_rank").collect()
+    assert [r.chunk_index for r in pool] == list(range(10))
+    found = pr.retrieve_evidence(asked, corpus).collect()
+    assert found and {r.source_name for r in found} == {"alpha notes"}
+    assert all(r.whole_document_match for r in found)
+    assert pr.whole_documents(asked, corpus, None).count() == 30
+
+
+def test_targets_limit_lexical_search_only_when_asked(spark, corpus):
+    asked = plans(spark, [("t", "the quick text", ["beta-notes.txt"], "RANKED_RETRIEVAL", "CORPUS")])
+    open_pool = pr.hybrid_retrieve(asked, corpus)
+    closed = pr.hybrid_retrieve(asked, corpus, targets_in_lexical=True)
+    assert open_pool.select("source_name").distinct().count() > 1
+    assert {r.source_name for r in closed.collect()} == {"beta notes"}
+
+
+def test_visual_search_sees_images_only(spark, corpus):
+    asked = plans(spark, [("v", "river valley text", [], "RANKED_RETRIEVAL", "CORPUS")])
+    shown = pr.visual_evidence(asked, corpus).collect()
+    assert 0 < len(shown) <= 3 and all(r.image_url for r in shown)
+
+
+def test_expansion_searches_everything_for_weak_plans(spark, corpus):
+    asked = plans(
+        spark,
+        [
+            ("missing", "river mountain", ["nowhere.txt"], "RANKED_RETRIEVAL", "CORPUS"),
+            ("fine", "mountain valley", [], "RANKED_RETRIEVAL", "CORPUS"),
+        ],
+    )
+    evidence, status = pr.retrieve_with_expansion(asked, corpus)
+    by_plan = {r.plan_id: r for r in status.collect()}
+    assert by_plan["missing"].expanded_scope and by_plan["missing"].reason == "NO_RESULTS"
+    assert not by_plan["fine"].expanded_scope and by_plan["fine"].reason == "NONE"
+    assert {r.plan_id for r in evidence.select("plan_id").distinct().collect()} == {"missing", "fine"}
+
+
+def test_iteration_follows_the_decider(spark, corpus):
+    asked = plans(
+        spark,
+        [("go", "zzz", [], "RANKED_RETRIEVAL", "CORPUS"), ("stop", "river", [], "RANKED_RETRIEVAL", "CORPUS")],
+    )
+
+    def decide(observed):
+        going = F.col("plan_id") == "go"
+        return observed.select(
+            "plan_id",
+            F.when(going, "SEARCH").otherwise("STOP").alias("type"),
+            F.when(going, "river mountain").alias("next_query"),
+        )
+
+    found = pr.iterate_retrieval(asked, corpus, decide, max_iterations=3)
+    rounds = {(r.plan_id, r.iteration) for r in found.select("plan_id", "iteration").distinct().collect()}
+    assert ("go", 2) in rounds and ("go", 3) in rounds
+    assert {i for p, i in rounds if p == "stop"} == {1}
