@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions.text import content_hash, is_blank
+from loomlight.lineage import materialize
 
 
 def with_hash(documents: DataFrame, text: str = "text") -> DataFrame:
@@ -25,11 +26,16 @@ def known_hashes(chunks: DataFrame) -> DataFrame:
 
 
 def split_by_known(uploads: DataFrame, chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(new uploads, uploads whose content the corpus already holds)."""
-    known = known_hashes(chunks)
+    """(new uploads, uploads whose content the corpus already holds).
+
+    Hashes meet hashes first. The hashes found are written, so the joins that
+    touch the texts are planned with their size known.
+    """
+    arriving = uploads.select("content_hash").distinct()
+    seen = materialize(arriving.join(known_hashes(chunks), "content_hash", "left_semi"), "seen")
     return (
-        uploads.join(known, "content_hash", "left_anti"),
-        uploads.join(known, "content_hash", "left_semi"),
+        uploads.join(seen, "content_hash", "left_anti"),
+        uploads.join(seen, "content_hash", "left_semi"),
     )
 
 

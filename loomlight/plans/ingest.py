@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions.text import normalize_source_name
+from loomlight.lineage import materialize
 from loomlight.operators.chunking import chunk_documents
 from loomlight.operators.dedup import first_and_latest, repoint_chunks, split_by_known, with_hash
 
@@ -21,17 +22,19 @@ def new_chunks(uploads: DataFrame) -> DataFrame:
     ``uploads`` has doc_id, session_id, uploaded_at, text, content_hash,
     file_name, source_type, image_url and source_url. The shuffle that finds
     copies carries hashes and ids only. What comes back to the texts is one row
-    per content that was uploaded more than once: usually little enough to be
-    broadcast, so the texts stay where they were read.
+    per content that was uploaded more than once. It is written first, so that
+    its size is known when the join with the texts is planned: if it can be
+    broadcast, the texts stay where they were read.
     """
-    repeated = (
+    repeated = materialize(
         first_and_latest(uploads)
         .filter("copies > 1")
         .select(
             "content_hash",
             F.col("doc_id").alias("first_doc"),
             F.col("session_id").alias("owner_session"),
-        )
+        ),
+        "repeated",
     )
     is_first = F.col("first_doc").isNull() | (F.col("first_doc") == F.col("doc_id"))
     texts = (

@@ -92,7 +92,9 @@ def hybrid_retrieve(
     if targets_in_lexical:
         scored = _inside_targets(scored, queries, lexical_side)
     lexical = best_matches(scored, k, "plan_id", "vector_id")
-    fused = fuse_ranks(dense, lexical, query_id="plan_id")
+    # Written, so its size is known: a pool that can be broadcast meets the chunks
+    # where they are read, instead of both sides being shuffled.
+    fused = materialize(fuse_ranks(dense, lexical, query_id="plan_id"), "fused")
     pool = fused.join(chunks.select(*CHUNK_FIELDS), "vector_id")
     return spread_sources(pool, query_id="plan_id")
 

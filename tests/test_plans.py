@@ -5,9 +5,10 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from loomlight.catalog import tables
+from loomlight.catalog import retrieval, tables
 from loomlight.operators import lexical, sessions
 from loomlight.plans.ingest import ingest
+from loomlight.plans.retrieval import hybrid_retrieve
 
 FOLDER = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables")
@@ -22,12 +23,19 @@ def test_history_limits_groups_before_the_shuffle(spark):
     assert plan.count("WindowGroupLimit") == 2
 
 
-def test_ingestion_cuts_each_text_once(spark):
+def test_ingestion_cuts_each_text_once_where_it_is_read(spark):
     plan = plan_of(ingest(tables.uploads(spark, FOLDER))[0])
     assert plan.count("MapInArrow") == 1
-    # The shuffle that finds copies carries hashes and ids, no text.
-    below = plan[plan.index("SortAggregate") :]
-    assert "text#" not in below.split("partial_min_by")[0]
+    # Repeated contents are broadcast to the texts; only the deal to all cores moves these.
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert "hashpartitioning" not in plan
+
+
+def test_pool_is_broadcast_to_the_chunks(spark):
+    asked, chunks = retrieval.queries_of(spark, FOLDER), retrieval.embedded_chunks(spark, FOLDER)
+    plan = plan_of(hybrid_retrieve(asked, chunks))
+    scan = [line for line in plan.splitlines() if "FileScan" in line and "content#" in line]
+    assert len(scan) == 1 and "SortMergeJoin" not in plan
 
 
 def test_keyword_scoring_is_one_stage(spark):
