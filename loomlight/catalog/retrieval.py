@@ -550,6 +550,14 @@ def observations(spark, folder):
     return pr.observations(asked, evidence).select("plan_id", "observation")
 
 
+def prefixed(ctes: str, prefix: str, *more: str) -> str:
+    """The same chain of named queries under other names, for a second round."""
+    names = set(re.findall(r"(?:^|,|\n)\s*(\w+) AS \(", ctes)) | set(more)
+    for name in sorted(names, key=len, reverse=True):
+        ctes = re.sub(rf"(?<![.\w]){name}(?![\w(])", f"{prefix}_{name}", ctes)
+    return ctes
+
+
 # Both rounds in SQL: with targets, and for the weak ones without.
 def both_rounds_sql() -> str:
     first = ranked_sql(True)
@@ -557,9 +565,7 @@ def both_rounds_sql() -> str:
     {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(5)}, {SIGNALS_SQL.format(n=5)}"""
     # The second round drops the target signal together with the targets.
     tail = tail.replace("contains(lower(s.source_name), s.target)", "false")
-    names = set(re.findall(r"\b(nearby|dense|fused|spread|scored|pairs|pick_\d|signed|ranked)\b", tail))
-    for name in sorted(names, key=len, reverse=True):
-        tail = re.sub(rf"(?<![.\w]){name}(?![\w(])", f"wide_{name}", tail)
+    tail = prefixed(tail, "wide")
     return f"""{first}, {QUALITY_SQL}, {tail},
 failing AS (
   SELECT q.plan_id, CASE WHEN y.confidence IS NULL THEN 'NO_RESULTS' ELSE 'LOW_CONFIDENCE' END
@@ -652,11 +658,28 @@ def merged_evidence(spark, folder):
     return merged.select("request_id", "plan_id", "vector_id", "purpose", "position")
 
 
-@query("C3")
+IMAGE_CHUNKS_SQL = (
+    t.CHUNKS_SQL.replace("\nchunks AS (", "\nall_chunks AS (")
+    + """,
+chunks AS (SELECT * FROM all_chunks WHERE source_type IN ('IMAGE', 'PDF_IMAGE'))"""
+)
+
+
+@query(
+    "C3",
+    sql=f"""
+    WITH RECURSIVE {IMAGE_CHUNKS_SQL}, {t.QUESTIONS_SQL}, {LEXICAL_SQL}, {dense_sql(True)},
+    {FUSED_SQL}, {SPREAD_SQL}, {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(3)},
+    {SIGNALS_SQL.format(n=3)}
+    SELECT request_id, plan_id, 0 AS plan_pos, final_rank::INTEGER AS visual_rank,
+      vector_id AS semantic_id, image_url, content AS caption, round(final_score, 6) AS score,
+      source_name
+    FROM ranked WHERE final_rank <= 3""",
+)
 def visual_evidence(spark, folder):
     """Image chunks for every question."""
     shown = pr.visual_evidence(queries_of(spark, folder), embedded_chunks(spark, folder))
-    return shown.withColumn("score", F.round("score", 6)).drop("entities")
+    return shown.withColumn("score", F.round("score", 6))
 
 
 @query(
@@ -699,7 +722,29 @@ def whole_documents(spark, folder):
     )
 
 
-@query("C7")
+NEXT_ROUND_SQL = prefixed(
+    f"""{LEXICAL_SQL}, {dense_sql(False)}, {FUSED_SQL}, {SPREAD_SQL},
+    {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(5)}, {SIGNALS_SQL.format(n=5)}""",
+    "next",
+    "questions",
+)
+
+
+@query(
+    "C7",
+    "U3",
+    sql=f"""
+    WITH RECURSIVE {ranked_sql()}, {QUALITY_SQL},
+    next_questions AS (
+      SELECT plan_id, request_id, entity, session_id, NULL::VARCHAR AS target,
+        array_to_string({sc.WORDS_SQL.format("query_text")}, ' ') AS query_text
+      FROM questions LEFT JOIN quality USING (plan_id)
+      WHERE top_score IS NULL OR top_score <= 0.8),
+    {NEXT_ROUND_SQL}
+    SELECT plan_id, 1 AS iteration, vector_id, round(final_score, 6) AS final_score FROM ranked
+    UNION ALL
+    SELECT plan_id, 2, vector_id, round(final_score, 6) FROM next_ranked""",
+)
 def iterated_retrieval(spark, folder):
     """Two rounds with the rule that refines a question to its content words."""
     found = pr.iterate_retrieval(queries_of(spark, folder), embedded_chunks(spark, folder))
