@@ -419,9 +419,15 @@ ranked AS (
   WHERE final_score >= greatest(best * 0.8, 0.1))"""
 
 
+def signals_sql(n: int, targets: bool = True) -> str:
+    """Signal ranking of the n picks; plans without targets get no target signal."""
+    ranked = SIGNALS_SQL.format(n=n)
+    return ranked if targets else ranked.replace("contains(lower(s.source_name), s.target)", "false")
+
+
 def ranked_sql(targets: bool = True) -> str:
     return f"""{hybrid_sql(targets)}, {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(5)},
-    {SIGNALS_SQL.format(n=5)}"""
+    {signals_sql(5, targets)}"""
 
 
 def scored_pool(spark, folder):
@@ -562,9 +568,7 @@ def prefixed(ctes: str, prefix: str, *more: str) -> str:
 def both_rounds_sql() -> str:
     first = ranked_sql(True)
     tail = f"""{dense_sql(False).split(VECTOR_SQL + ",")[1]}, {FUSED_SQL}, {SPREAD_SQL},
-    {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(5)}, {SIGNALS_SQL.format(n=5)}"""
-    # The second round drops the target signal together with the targets.
-    tail = tail.replace("contains(lower(s.source_name), s.target)", "false")
+    {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(5)}, {signals_sql(5, False)}"""
     tail = prefixed(tail, "wide")
     return f"""{first}, {QUALITY_SQL}, {tail},
 failing AS (
@@ -670,7 +674,7 @@ chunks AS (SELECT * FROM all_chunks WHERE source_type IN ('IMAGE', 'PDF_IMAGE'))
     sql=f"""
     WITH RECURSIVE {IMAGE_CHUNKS_SQL}, {t.QUESTIONS_SQL}, {LEXICAL_SQL}, {dense_sql(True)},
     {FUSED_SQL}, {SPREAD_SQL}, {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(3)},
-    {SIGNALS_SQL.format(n=3)}
+    {signals_sql(3)}
     SELECT request_id, plan_id, 0 AS plan_pos, final_rank::INTEGER AS visual_rank,
       vector_id AS semantic_id, image_url, content AS caption, round(final_score, 6) AS score,
       source_name
@@ -724,7 +728,7 @@ def whole_documents(spark, folder):
 
 NEXT_ROUND_SQL = prefixed(
     f"""{LEXICAL_SQL}, {dense_sql(False)}, {FUSED_SQL}, {SPREAD_SQL},
-    {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(5)}, {SIGNALS_SQL.format(n=5)}""",
+    {COVERAGE_SQL.format(pool="spread")}, {diverse_sql(5)}, {signals_sql(5, False)}""",
     "next",
     "questions",
 )
