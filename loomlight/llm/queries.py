@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlight.llm.jaccard_join import similarity_classes
 from loomlight.llm.rows import documents
 from loomlight.llm.substring_dedup import remove_repeated_words
 from loomlight.llm.suffix_array_dedup import remove_repeated_bytes
@@ -17,6 +18,11 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    classes = similarity_classes(documents(spark, folder).select("doc_id", "text"))
+    return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeated_bytes(documents(spark, folder).select("doc_id", "text"))
     return kept.select(
