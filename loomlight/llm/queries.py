@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loomlight.llm.jaccard_join import similarity_classes
 from loomlight.llm.rows import documents
+from loomlight.llm.source_mixing import mix_sources
 from loomlight.llm.substring_dedup import remove_repeated_words
 from loomlight.llm.suffix_array_dedup import remove_repeated_bytes
 
@@ -18,6 +19,11 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mixed = mix_sources(documents(spark, folder).select("doc_id", "text", "source"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "epochs")
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     classes = similarity_classes(documents(spark, folder).select("doc_id", "text"))
     return classes.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
