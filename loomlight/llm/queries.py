@@ -8,12 +8,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlight.llm.jaccard_join import similarity_classes
+from loomlight.llm.language_id import identify_languages, remainder
 from loomlight.llm.rows import documents
 from loomlight.llm.source_mixing import mix_sources
 from loomlight.llm.substring_dedup import remove_repeated_words
 from loomlight.llm.suffix_array_dedup import remove_repeated_bytes
 
 
+def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text", "lang")
+    held_out = remainder("doc_id", 4) == 2
+    return identify_languages(docs, F.coalesce(~held_out, F.lit(False))).select(
+        "doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score", "languages"
+    )
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeated_words(documents(spark, folder).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
