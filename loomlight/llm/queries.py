@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlight.llm.decontamination import find_leaks
 from loomlight.llm.jaccard_join import similarity_classes
 from loomlight.llm.language_id import identify_languages, remainder
 from loomlight.llm.rows import documents
@@ -49,6 +50,13 @@ def op7_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{folder}/benchmark.parquet")
+    found = find_leaks(documents(spark, folder).select("doc_id", "text"), benchmark)
+    leaks = found.select("doc_id", F.explode("matches").alias("m"))
+    return leaks.select("doc_id", "m.item_id", "m.distance", "m.start", "m.stop", "m.item_words")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: run for name, run in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
