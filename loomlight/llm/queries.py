@@ -14,6 +14,7 @@ from loomlight.llm.quality_rules import judge_quality
 from loomlight.llm.rows import documents
 from loomlight.llm.source_mixing import mix_sources
 from loomlight.llm.substring_dedup import remove_repeated_words
+from loomlight.llm.suffix_scoring import score_texts
 from loomlight.llm.suffix_array_dedup import remove_repeated_bytes
 
 
@@ -30,6 +31,15 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op4_suffix_tree_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    held_out = F.coalesce(remainder("doc_id", 5) == 1, F.lit(False))
+    scored = score_texts(docs, ~held_out)
+    return scored.select(
+        F.col("id").alias("doc_id"), (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
 def op5_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mixed = mix_sources(documents(spark, folder).select("doc_id", "text", "source"))
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", "epochs")
