@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from loomlight.llm.decontamination import find_leaks
 from loomlight.llm.jaccard_join import similarity_classes
 from loomlight.llm.language_id import identify_languages, remainder
+from loomlight.llm.page_text import extract_text
 from loomlight.llm.quality_rules import judge_quality
 from loomlight.llm.rows import documents
 from loomlight.llm.source_mixing import mix_sources
@@ -68,6 +69,11 @@ def op8_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     return leaks.select("doc_id", "m.item_id", "m.distance", "m.start", "m.stop", "m.item_words")
 
 
+def op9_host_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    return extract_text(pages.select("page_id", "url", "html"))
+
+
 def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = judge_quality(documents(spark, folder).select("doc_id", "text", "lang"))
     return judged.withColumnRenamed("id", "doc_id")
