@@ -208,6 +208,8 @@ def find_repeats(
         .filter("n > 1")
         .select("bucket", (F.col("least") == F.col("most")).alias("one"))
     )
+    # Written first, so that Spark can split a frequent bucket of the join.
+    buckets = materialize(buckets, "buckets")
     live = materialize(runs.join(buckets, "bucket"), "live")
     several = live.filter("not one")
     classes = materialize(
