@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlight.lineage import materialize
 from loomlight.llm.decontamination import find_leaks
+from loomlight.llm.fixity_audit import audit, build_tree, placed_records, record_hash, warc_records
 from loomlight.llm.jaccard_join import similarity_classes
 from loomlight.llm.language_id import identify_languages, remainder
 from loomlight.llm.page_text import extract_text
@@ -27,6 +29,51 @@ def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_merkle_fixity_audit(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents as WARC records against a replica with known damage.
+
+    Every 97th record has its letter e flipped to 3, every 193rd is lost.
+    """
+    docs = documents(spark, folder).select("doc_id", "text")
+    records = warc_records(docs)
+    # One pass hashes the records of both replicas; texts are not shuffled.
+    number = F.col("n")
+    damaged = F.when(F.pmod(number, F.lit(97)) == 13, F.translate("payload", "e", "3")).otherwise(F.col("payload"))
+    size = F.octet_length("header") + F.octet_length("payload") + 4
+    hashed = records.select(
+        "file", "n", "record_id", size.cast("long").alias("size"),
+        record_hash(F.col("header"), F.col("payload")).alias("hash"),
+        record_hash(F.col("header"), damaged).alias("damaged"),
+    )
+    placed = materialize(placed_records(hashed), "records")
+    first = build_tree(placed.drop("damaged"))
+    replica = placed.filter(F.pmod(number, F.lit(193)) != 7)
+    second = build_tree(replica.drop("hash").withColumnRenamed("damaged", "hash"))
+    return audit(first, second)
+
+
+OP2_SQL = """
+with records as (
+  select doc_id, doc_id >> 11 as file,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: ' || case when text is null then 'metadata' else 'resource' end
+      || chr(13) || chr(10) || 'WARC-Record-ID: <urn:doc:' || doc_id || '>' || chr(13) || chr(10)
+      || 'Content-Length: ' || strlen(coalesce(text, '')) || chr(13) || chr(10) || chr(13) || chr(10) as header,
+    coalesce(text, '') as payload
+  from documents
+), placed as (
+  select *, coalesce(sum(strlen(header) + strlen(payload) + 4) over (
+      partition by file order by doc_id rows between unbounded preceding and 1 preceding), 0) as start_at
+  from records
+)
+select file, cast(start_at as bigint) as "offset", cast(doc_id as varchar) as record_id,
+  case when doc_id % 193 = 7 then 'missing' else 'altered' end as finding,
+  sha256(header || payload) as first_hash,
+  case when doc_id % 193 <> 7 then sha256(header || replace(payload, 'e', '3')) end as second_hash
+from placed
+where doc_id % 193 = 7 or (doc_id % 97 = 13 and contains(payload, 'e'))
+"""
+
+
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     kept = remove_repeated_words(documents(spark, folder).select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -82,4 +129,4 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: run for name, run in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_merkle_fixity_audit": OP2_SQL}
