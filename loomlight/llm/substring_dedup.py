@@ -54,7 +54,7 @@ def subtree_repeats(units, start, anchor, lo, hi, key, window):
     return context[order[leaf]], offset[order[leaf]]
 
 
-def _keep(batch: pa.RecordBatch) -> dict:
+def _keep(batch: pa.RecordBatch, layout: bool) -> dict:
     texts = batch.column("text").to_pylist()
     n_words, n_removed, kept, spans = [], [], [], []
     for text, (start, stop) in zip(texts, span_arrays(batch), strict=True):
@@ -66,7 +66,8 @@ def _keep(batch: pa.RecordBatch) -> dict:
         for a, b in zip(start.tolist(), stop.tolist(), strict=True):
             parts += words[at:a]
             at = b
-        kept.append(b" ".join(parts + words[at:]).decode())
+        whole = layout and not len(start)
+        kept.append(text if whole else b" ".join(parts + words[at:]).decode())
     return {"row": batch.column("row"), "kept": kept, "n_words": n_words, "n_removed": n_removed, "removed_spans": spans}
 
 
@@ -77,6 +78,7 @@ def remove_repeated_words(
     window: int = WINDOW,
     prefix: int = PREFIX,
     group_limit: int = GROUP_LIMIT,
+    keep_layout: bool = False,
 ) -> DataFrame:
     """The input with repeated words removed from ``text_col``.
 
@@ -85,6 +87,7 @@ def remove_repeated_words(
     and ``removed_spans`` (word ranges of the input) are added in place of any
     columns of those names. Windows are judged on the input. Rows with equal
     id and text are repeats of each other. An empty table gives an empty one.
+    With ``keep_layout`` a text that loses nothing stays as it is, null included.
     """
     spans = find_repeats(docs, text_col, id_col, "word", window, prefix, subtree_repeats, group_limit)
     rows = joined_spans(docs, text_col, id_col, spans)
@@ -100,7 +103,7 @@ def remove_repeated_words(
             ),
         ]
     )
-    done = map_batches(rows, _keep, schema)
+    done = map_batches(rows, lambda batch: _keep(batch, keep_layout), schema)
     kept = [c for c in with_results(docs, RESULTS)]
     return done.select(
         *[done["kept"].alias(c) if c == text_col else done["row"].getField(c).alias(c) for c in kept], *RESULTS
