@@ -143,10 +143,13 @@ def audit(first: list[DataFrame], second: list[DataFrame]) -> DataFrame:
     roots end the audit after one comparison. Trees of different heights are
     compared from the height that both have; the taller one's top is skipped.
     """
-    height = min(len(first), len(second))
+    roots = [levels[-1].first()["hash"] for levels in (first, second)]
+    height = min(len(first), len(second)) - 1
     a, b = first[:height], second[:height]
+    if roots[0] == roots[1]:
+        a, b = [a[0].limit(0)], [b[0].limit(0)]
     wrong: DataFrame | None = None
-    for level in range(height - 1, 0, -1):
+    for level in range(len(a) - 1, 0, -1):
         x, y = a[level], b[level]
         if wrong is not None:
             x = x.join(wrong, _same(x, wrong, "up_file", "up"), "left_semi")

@@ -63,9 +63,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int)
     left = F.sum("source_size").over(everyone) - F.coalesce(F.sum(cap).over(before), F.lit(0))
     level = weighed.withColumn("level", left / F.sum("weight").over(after))
     full = level.withColumn("full", cap <= F.col("level") * F.col("weight"))
-    # All sources past the first that stays below its cap share its level.
-    shared = F.min(F.when(~F.col("full"), F.struct((cap / F.col("weight")).alias("at"), F.col("level"))))
-    return full.withColumn("common", shared.over(everyone)["level"]).select(
+    # All sources from the first that stays below its cap share its level, which
+    # is the highest of theirs: those after it subtract caps that are not reached.
+    shared = F.max(F.when(~F.col("full"), F.col("level")))
+    return full.withColumn("common", shared.over(everyone)).select(
         "source",
         "source_size",
         F.when(F.col("full"), cap.cast("double")).otherwise(F.col("common") * F.col("weight")).alias("target"),
