@@ -253,15 +253,14 @@ def find_repeats(
         part = part.unionByName(more)
     part = part.select("bucket", "whole", F.struct("start", "stop").alias("r"))
     part = part.groupBy("bucket", "whole").agg(F.collect_set("r").alias("parts"))
-    part = materialize(part, "parts")
     whole = F.array(F.struct(F.lit(0).alias("start"), (F.col("last") - F.col("first")).cast("int").alias("stop")))
     equal = classes.filter("n > 1").select("bucket", "whole")
+    # Written first, so that Spark can split a frequent class of the join.
+    part = materialize(part.join(equal, ["bucket", "whole"], "left_anti"), "parts")
     spans = [
         live.filter("one").select("k1", "k2", "first", whole.alias("parts"), "last"),
         several.join(equal, ["bucket", "whole"], "left_semi").select("k1", "k2", "first", whole.alias("parts"), "last"),
-        several.join(
-            part.join(equal, ["bucket", "whole"], "left_anti"), ["bucket", "whole"]
-        ).select("k1", "k2", "first", "parts", "last"),
+        several.join(part, ["bucket", "whole"]).select("k1", "k2", "first", "parts", "last"),
     ]
     rows = spans[0].unionByName(spans[1]).unionByName(spans[2])
     moved = F.transform(
