@@ -15,7 +15,7 @@ from loomlight.plans.ingest import ingest
 CHUNK_ROWS_SQL = f"""
     WITH RECURSIVE {t.CHUNKS_SQL}
     SELECT vector_id, content_hash, session_id, source_name, source_type, original_file_name,
-      source_url, chunk_index::INTEGER AS chunk_index, total_chunks::INTEGER AS total_chunks,
+      enriched_file_name, asset_classification, asset_tags, source_url, chunk_index::INTEGER AS chunk_index, total_chunks::INTEGER AS total_chunks,
       content FROM chunks"""
 
 
@@ -40,7 +40,8 @@ def ingest_uploads(spark, folder):
     made, _ = ingest(t.uploads(spark, folder))
     return made.select(
         "vector_id", "content_hash", "session_id", "source_name", "source_type",
-        "original_file_name", "source_url", "chunk_index", "total_chunks", "content",
+        "original_file_name", "enriched_file_name", "asset_classification", "asset_tags",
+        "source_url", "chunk_index", "total_chunks", "content",
     )
 
 

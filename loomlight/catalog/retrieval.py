@@ -636,7 +636,7 @@ merged AS (
     sql=f"""
     WITH RECURSIVE {ranked_sql(False)}, {MERGED_SQL}
     SELECT request_id, plan_id, vector_id, 'Retrieval' AS purpose,
-      plan_pos * 1048576 + final_rank AS position FROM merged""",
+      plan_pos::BIGINT * 4294967296 + final_rank AS position FROM merged""",
 )
 def merged_evidence(spark, folder):
     """Four questions make one request; requests take turns in how they merge."""

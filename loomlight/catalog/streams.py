@@ -62,20 +62,40 @@ def stream_of(spark, folder, name):
     return spark.readStream.schema(schema).option("pathGlobFilter", file).parquet(folder)
 
 
+def split_stream(rows, key, files=4):
+    """A table as a stream of several files, one a batch; a key's rows share a file.
+
+    Each file spans all times, so every batch after the first is late.
+    """
+    spark = rows.sparkSession
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    path = f"{shared_folder(spark)}/loomlight/split-{uuid.uuid4().hex}"
+    rows.repartition(files, key).write.parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "X1",
     sql="""
-    SELECT DISTINCT user_id || ' ' || strftime(ts, '%Y-%m-%d %H') AS job_id FROM events""",
+    WITH RECURSIVE d AS (
+      SELECT user_id || ' ' || strftime(ts, '%Y-%m-%d %H') AS job_id, ts FROM events),
+    accepted(job_id, ts) AS (
+      SELECT job_id, min(ts) FROM d GROUP BY 1
+      UNION ALL
+      SELECT a.job_id, min(d.ts) FROM accepted a JOIN d ON d.job_id = a.job_id
+      WHERE d.ts >= a.ts + INTERVAL 10 MINUTE GROUP BY a.job_id)
+    SELECT job_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS accepted_at FROM accepted""",
 )
 def accepted_deliveries(spark, folder):
     """A stream of deliveries: all of a user's events in an hour deliver one job."""
     hour = F.date_format("ts", "yyyy-MM-dd HH")
-    deliveries = stream_of(spark, folder, "events").select(
+    deliveries = t.table(spark, folder, "events").select(
         F.concat_ws(" ", F.col("user_id").cast("string"), hour).alias("job_id"),
         F.col("ts").cast("timestamp").alias("ts"),
     )
-    firsts = jb.drop_redelivered(deliveries, "job_id", jb.INGESTION_LOCK)
-    return jb.finish(firsts, "deliveries").select("job_id")
+    accepted = jb.drop_redelivered(split_stream(deliveries, "job_id"), "job_id", jb.INGESTION_LOCK)
+    done = jb.finish(accepted, "deliveries")
+    return done.select("job_id", t.stamp("ts").alias("accepted_at"))
 
 
 @query(
@@ -302,17 +322,20 @@ def progress_notices(spark, folder):
     "X5",
     sql="""
     WITH e AS (
-      SELECT *, (SELECT max(ts) FROM events) - INTERVAL 1 HOUR AS as_of FROM events),
+      SELECT user_id AS session_id, event_id, event_type, props, ts,
+        lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+    born AS (
+      SELECT session_id, max(ts) AS born_at FROM e
+      WHERE before IS NULL OR before + INTERVAL 5 MINUTE <= ts GROUP BY 1),
     s AS (
-      SELECT user_id AS session_id, arg_max(event_type, (ts, event_id)) AS kind,
-        count(DISTINCT props) AS names, max(ts) AS changed_at, any_value(as_of) AS as_of
-      FROM e WHERE ts <= as_of GROUP BY 1)
+      SELECT session_id, arg_max(event_type, (ts, event_id)) AS kind,
+        count(DISTINCT props) AS names FROM e JOIN born USING (session_id) WHERE ts >= born_at GROUP BY 1)
     SELECT session_id, CASE kind WHEN 'click' THEN 'EMBEDDING' WHEN 'view' THEN 'INGESTING'
       WHEN 'purchase' THEN 'READY' WHEN 'error' THEN 'FAILED' ELSE 'UPLOADING' END AS state, names
-    FROM s WHERE changed_at + INTERVAL 5 MINUTE > as_of""",
+    FROM s""",
 )
 def upload_states(spark, folder):
-    """Sessions with a live state an hour before the last event."""
+    """Every session's state two minutes after its last event."""
     kind = F.col("event_type")
     state = (
         F.when(kind == "click", "EMBEDDING")
@@ -328,8 +351,11 @@ def upload_states(spark, folder):
         state.alias("state"),
         F.col("props").alias("file_name"),
     )
-    as_of = events.agg(F.max("ts") - F.expr("interval '1' hour")).scalar()
-    return up.upload_states(events, as_of).select("session_id", "state", "names")
+    ends = events.groupBy("session_id").agg(F.max("ts").alias("ended"))
+    asked = F.col("ended") + F.expr("interval '2' minute")
+    return up.upload_states(events.join(ends, "session_id"), asked).select(
+        "session_id", "state", "names"
+    )
 
 
 @query(
@@ -355,28 +381,42 @@ def export_results(spark, folder):
 @query(
     "J12",
     sql="""
-    SELECT a.event_id AS message_id, a.user_id AS session_id,
-      strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS ready_at, r.ts IS NULL AS still_indexing
-    FROM events a LEFT JOIN events r ON r.user_id % 20 = a.user_id % 20
-      AND r.event_type = 'signup' AND r.ts >= a.ts AND r.ts <= a.ts + INTERVAL 120 SECOND
-    WHERE a.event_type = 'click'""",
+    WITH s AS (
+      SELECT user_id % 20 AS session_id, ts, event_id, CASE event_type WHEN 'view' THEN 'EMBEDDING'
+        WHEN 'error' THEN 'INGESTING' ELSE 'READY' END AS state
+      FROM events WHERE event_type IN ('view', 'error', 'signup')),
+    a AS (
+      SELECT event_id AS message_id, user_id, user_id % 20 AS session_id, ts
+      FROM events WHERE event_type = 'click'),
+    l AS (
+      SELECT message_id, arg_max(state, (s.ts, event_id)) AS state
+      FROM a JOIN s ON s.session_id = a.session_id AND s.ts <= a.ts
+        AND s.ts > a.ts - INTERVAL 5 MINUTE GROUP BY 1),
+    r AS (
+      SELECT message_id, min(s.ts) AS ready_at
+      FROM a JOIN s ON s.session_id = a.session_id AND state = 'READY' AND s.ts > a.ts
+        AND s.ts <= a.ts + INTERVAL 120 SECOND GROUP BY 1)
+    SELECT message_id, user_id AS session_id,
+      CASE WHEN state IN ('EMBEDDING', 'INGESTING')
+        THEN strftime(ready_at, '%Y-%m-%d %H:%M:%S') END AS ready_at,
+      coalesce(state IN ('EMBEDDING', 'INGESTING'), false) AND ready_at IS NULL AS still_indexing
+    FROM a LEFT JOIN l USING (message_id) LEFT JOIN r USING (message_id)""",
 )
 def ingestion_gate(spark, folder):
-    """Clicks as answers that wait for a signup of their user's group, the finished ingestion."""
+    """Clicks as answers; views, errors and signups of the user's group as upload states."""
     events = t.table(spark, folder, "events")
+    session = (F.col("user_id") % 20).alias("session_id")
     answers = events.filter("event_type = 'click'").select(
-        F.col("event_id").alias("message_id"),
-        F.col("user_id").alias("asker"),
-        (F.col("user_id") % 20).alias("session_id"),
-        F.col("ts").alias("asked_at"),
+        F.struct("event_id", "user_id").alias("message_id"), session, F.col("ts").alias("asked_at")
     )
-    ready = events.filter("event_type = 'signup'").select(
-        (F.col("user_id") % 20).alias("session_id"), F.col("ts").alias("ready_at")
+    kind = F.col("event_type")
+    state = F.when(kind == "view", "EMBEDDING").when(kind == "error", "INGESTING").otherwise("READY")
+    states = events.filter(kind.isin("view", "error", "signup")).select(
+        session, "ts", "event_id", state.alias("state")
     )
-    gated = jb.gate_on_ingestion(answers.drop("asker"), ready)
-    return gated.join(answers.select("message_id", "asker"), "message_id").select(
-        "message_id",
-        F.col("asker").alias("session_id"),
+    return jb.gate_on_ingestion(answers, states).select(
+        F.col("message_id.event_id").alias("message_id"),
+        F.col("message_id.user_id").alias("session_id"),
         t.stamp("ready_at").alias("ready_at"),
         "still_indexing",
     )

@@ -60,11 +60,21 @@ def uploads_from(docs: DataFrame) -> DataFrame:
         minutes_after_start("doc_id").alias("uploaded_at"),
         content_hash(F.col("text")).alias("content_hash"),
         "text",
+        "lang",
+        "source",
     )
     return (
         route_uploads(rows)
         .withColumnRenamed("type", "source_type")
         .withColumn("source_url", F.concat(F.lit(FILES), F.substring("content_hash", 1, 16)))
+        .withColumns(
+            {
+                "enriched_file_name": F.concat("lang", F.lit(" "), "file_name"),
+                "asset_classification": F.when(F.col("source_type") == "IMAGE", "photo"),
+                "asset_tags": F.concat("lang", F.lit(","), "source"),
+            }
+        )
+        .drop("lang", "source")
         .withColumn(
             "image_url",
             F.when(
@@ -87,12 +97,15 @@ UPLOADS_SQL = r"""uploads AS (
          TIMESTAMP '2024-01-01 00:00:00' + doc_id * INTERVAL 1 MINUTE AS uploaded_at,
          sha256(regexp_replace(regexp_replace(text, '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g'),
                                '\s+', ' ', 'g')) AS content_hash,
-         text
+         text, lang, source
   FROM documents),
 files AS (
   SELECT *, 'https://files.example/' || substr(content_hash, 1, 16) AS source_url,
          CASE WHEN source_type = 'IMAGE'
-              THEN 'https://assets.example/' || doc_id || '.png' END AS image_url
+              THEN 'https://assets.example/' || doc_id || '.png' END AS image_url,
+         lang || ' ' || file_name AS enriched_file_name,
+         CASE WHEN source_type = 'IMAGE' THEN 'photo' END AS asset_classification,
+         lang || ',' || source AS asset_tags
   FROM uploads)"""
 
 
@@ -240,9 +253,10 @@ numbered AS (
          count(*) OVER (PARTITION BY doc_id) AS total_chunks
   FROM emitted),
 chunks AS (
-  SELECT substr(t.content_hash, 1, 24) || '-' || lpad(n.chunk_index::VARCHAR, 6, '0') AS vector_id,
+  SELECT t.content_hash || '-' || lpad(n.chunk_index::VARCHAR, 6, '0') AS vector_id,
          t.content_hash, t.owner_session AS session_id, t.source_name, t.source_type,
-         t.file_name AS original_file_name, t.image_url, t.source_url,
+         t.file_name AS original_file_name, t.enriched_file_name, t.asset_classification,
+         t.asset_tags, t.image_url, t.source_url,
          n.chunk_index, n.total_chunks, n.content, t.doc_id
   FROM numbered n JOIN texts t ON n.doc_id = t.doc_id)"""
 )

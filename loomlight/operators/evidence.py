@@ -220,9 +220,12 @@ def stable_visuals(
 ) -> DataFrame:
     """Visuals with stable ids IMG_01, IMG_02, … and display titles.
 
-    A request has at most three visuals per plan.
+    A request has at most three visuals per plan; plan follows plan where
+    ``plan_pos`` is given, and chunk or attachment ids settle equal ranks.
     """
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    ties = [c for c in ("vector_id", "attachment_id") if c in visuals.columns]
+    plans = [c for c in ("plan_pos",) if c in visuals.columns]
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(*plans, order, *ties))
     return (
         visuals.withColumn("visual_no", nth)
         .withColumn("stable_id", F.format_string("IMG_%02d", "visual_no"))

@@ -296,7 +296,8 @@ def merge_evidence(evidence: DataFrame, requests: DataFrame, rank: str = "final_
     placed = tagged.join(firsts, ["request_id", "vector_id"], "left").filter(
         F.col("_first").isNull() | (F.col("_first") == order)
     )
-    position = F.col("plan_pos").cast("bigint") * (1 << 20) + F.col(rank)
+    # Ranks of a plan stay below 2**32, so plans never interleave.
+    position = F.col("plan_pos").cast("bigint") * (1 << 32) + F.col(rank)
     return placed.withColumn("position", position).drop("_first")
 
 

@@ -7,10 +7,10 @@ a batch reads only the partitions its own hashes fall into.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomlight.lineage import materialize, path_exists
 from loomlight.operators.dedup import with_hash
 from loomlight.plans.ingest import new_chunks
 from loomlight.streaming.jobs import INGESTION_LOCK, drop_redelivered, start
@@ -32,10 +32,9 @@ def known_in_index(
 ) -> DataFrame | None:
     """Which of the hashes other batches ingested; null before the first batch."""
     spark: SparkSession = hashes.sparkSession
-    try:
-        index = spark.read.parquet(index_path(table))
-    except AnalysisException:
+    if not path_exists(spark, index_path(table)):
         return None
+    index = spark.read.parquet(index_path(table))
     stored = index.filter(F.col("ingest_batch") != batch).select("prefix", "content_hash")
     # An inner join lets the batch's prefixes prune the index partitions.
     return _prefixed(hashes, digits).join(stored, ["prefix", "content_hash"]).select("content_hash")
@@ -60,21 +59,20 @@ def ingest_batch(
     is run again replaces what it wrote before. Sessions of known contents move
     by ``repoint_chunks`` when the table is next rewritten.
     """
-    hashed = with_hash(uploads).persist()
-    try:
-        known = known_in_index(hashed.select("content_hash").distinct(), table, batch, digits)
-        fresh = hashed if known is None else hashed.join(known, "content_hash", "left_anti")
-        chunks = new_chunks(fresh).withColumn("ingest_batch", F.lit(batch))
-        _write(chunks, table, "ingest_batch", "source_type")
-        added = _prefixed(fresh.select("content_hash").distinct(), digits)
-        _write(
-            added.withColumn("ingest_batch", F.lit(batch)).repartition("prefix"),
-            index_path(table),
-            "prefix",
-            "ingest_batch",
-        )
-    finally:
-        hashed.unpersist()
+    hashed = materialize(with_hash(uploads), "batch")
+    known = known_in_index(hashed.select("content_hash").distinct(), table, batch, digits)
+    if known is not None:
+        known = materialize(known, "known")
+    fresh = hashed if known is None else hashed.join(known, "content_hash", "left_anti")
+    chunks = new_chunks(fresh).withColumn("ingest_batch", F.lit(batch))
+    _write(chunks, table, "ingest_batch", "source_type")
+    added = _prefixed(fresh.select("content_hash").distinct(), digits)
+    _write(
+        added.withColumn("ingest_batch", F.lit(batch)).repartition("prefix"),
+        index_path(table),
+        "prefix",
+        "ingest_batch",
+    )
 
 
 def ingest_stream(

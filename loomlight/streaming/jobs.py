@@ -1,20 +1,24 @@
 """Job logs: parsing, redelivery, status and results.
 
 The functions take and give DataFrames, streaming or not. Delivery is at least
-once; a repeated delivery is dropped while the event-time lock of the first one
-lasts.
+once; a repeated delivery is dropped while the event-time lock of an accepted
+one lasts.
 """
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
 
 from loomlight.lineage import shared_folder
 from loomlight.schemas import CHAT_RECORD, EXPORT_RECORD, INGESTION_PAYLOAD
+from loomlight.streaming.uploads import BUSY, STATE_MINUTES
 
 # How long a delivery locks its job, and how long a result is kept.
 INGESTION_LOCK = "10 minutes"
@@ -86,9 +90,61 @@ LOG_SCHEMAS = {
 }
 
 
-def drop_redelivered(jobs: DataFrame, key: str, lock: str, ts: str = "ts") -> DataFrame:
-    """The first delivery of each job; state is kept for the length of the lock only."""
-    return jobs.withWatermark(ts, lock).dropDuplicatesWithinWatermark([key])
+def _lock(names: list[str], ts: str, lock_us: int, memory_us: int, ttl_ms: int | None) -> StatefulProcessor:
+    """Built here so that it travels with its code to Spark's stream runner."""
+
+    class Lock(StatefulProcessor):
+        """Start times of the locks of one job, as far back as ``memory_us``."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.taken = handle.getValueState("taken", "at array<bigint>", ttlDurationMs=ttl_ms)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows), ignore_index=True).sort_values(ts, kind="stable")
+            taken = list(self.taken.get()[0]) if self.taken.exists() else []
+            keep = []
+            for at in batch[ts]:
+                if pd.isna(at):
+                    keep.append(True)
+                    continue
+                us = int(pd.Timestamp(at).value // 1000)
+                free = not any(start <= us < start + lock_us for start in taken)
+                keep.append(free)
+                if free:
+                    taken.append(us)
+            newest = max(taken, default=0)
+            self.taken.update(([start for start in taken if start > newest - memory_us],))
+            accepted = batch[keep]
+            if len(accepted):
+                yield accepted[names]
+
+        def close(self) -> None:
+            pass
+
+    return Lock()
+
+
+def drop_redelivered(
+    jobs: DataFrame, key: str, lock: str, ts: str = "ts", memory_hours: int = 24, expire: bool = False
+) -> DataFrame:
+    """Deliveries of a stream that find no lock of their job.
+
+    A delivery that is accepted locks its job from its own time on for ``lock``.
+    A late job is not lost: whatever no lock covers is accepted, and so is a
+    delivery older than the locks still known (``memory_hours``), as delivery
+    is at least once. Rows of one batch are taken in order of ``ts``. With
+    ``expire`` a job untouched for that long leaves the state by the clock; such
+    a stream runs on, so it does not suit a run over what a source holds now.
+    """
+    lock_us = int(pd.Timedelta(lock).total_seconds() * 1_000_000)
+    ttl = memory_hours * 3_600_000 if expire else None
+    processor = _lock(jobs.columns, ts, lock_us, memory_hours * 3_600_000_000, ttl)
+    return jobs.groupBy(key).transformWithStateInPandas(
+        statefulProcessor=processor,
+        outputStructType=jobs.schema,
+        outputMode="append",
+        timeMode="ProcessingTime" if expire else "None",
+    )
 
 
 def job_status(events: DataFrame) -> DataFrame:
@@ -126,31 +182,46 @@ def export_status(results: DataFrame, as_of) -> DataFrame:
     )
 
 
-def gate_on_ingestion(answers: DataFrame, ready: DataFrame) -> DataFrame:
-    """Answer jobs with ``still_indexing``: true when their session's ingestion
-    was not ready within 120 seconds.
+def gate_on_ingestion(answers: DataFrame, states: DataFrame) -> DataFrame:
+    """Answer jobs with ``ready_at`` and ``still_indexing``, one row per answer.
 
-    ``answers`` has message_id, session_id and asked_at; ``ready`` one row per
-    finished ingestion with session_id and ready_at. A stream joins the other
-    within the wait, and unmatched answers come out once the watermark has
-    passed it.
+    ``answers`` has message_id, session_id and asked_at; ``states`` the upload
+    states of sessions, with session_id, ts, event_id and state. An answer
+    waits only if its session is busy when it is asked, by the latest state
+    not older than its five minutes of life; it then waits 120 seconds for the
+    first READY. A session without a state is not waited for.
+
+    States are copied to the five-minute buckets next to their own, so each
+    answer finds what it needs inside its own bucket, and the windows are over
+    (session, bucket): a session of any length is cut by time.
     """
-    wait = F.expr(f"interval '{WAIT_SECONDS}' second")
-    left = answers.withWatermark("asked_at", "1 minute").alias("a")
-    right = ready.withWatermark("ready_at", "1 minute").alias("r")
-    joined = left.join(
-        right,
-        (F.col("a.session_id") == F.col("r.session_id"))
-        & (F.col("ready_at") >= F.col("asked_at"))
-        & (F.col("ready_at") <= F.col("asked_at") + wait),
-        "leftOuter",
-    )
-    return joined.select(
+    width = STATE_MINUTES * 60
+    bucket = F.floor(F.unix_micros(F.col("at").cast("timestamp")) / (width * 1_000_000))
+    none = F.lit(None)
+    asked = answers.select(
+        "session_id", F.col("asked_at").alias("at"), F.lit(1).alias("kind"), none.cast("bigint").alias("seq"),
+        none.cast("string").alias("state"), "message_id",
+    ).withColumn("bucket", bucket)
+    known = states.select(
+        "session_id", F.col("ts").alias("at"), F.lit(0).alias("kind"), F.col("event_id").cast("bigint").alias("seq"),
+        "state", none.cast(answers.schema["message_id"].dataType).alias("message_id"),
+    ).withColumn("bucket", F.explode(F.sequence(bucket - 1, bucket + 1)))
+    order = Window.partitionBy("session_id", "bucket").orderBy("at", "kind", "seq")
+    is_state = F.col("kind") == 0
+    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    after = order.rowsBetween(1, Window.unboundedFollowing)
+    last = F.last(F.when(is_state, F.struct("at", "state")), ignorenulls=True).over(before)
+    ready = F.min(F.when(is_state & (F.col("state") == "READY"), F.col("at"))).over(after)
+    seen = asked.unionByName(known).withColumns({"_last": last, "_ready": ready}).filter("kind = 1")
+    alive = F.col("_last.at") + F.expr(f"interval '{STATE_MINUTES}' minute") > F.col("at")
+    busy = F.coalesce(F.col("_last.state").isin(BUSY) & alive, F.lit(False))
+    in_time = F.col("_ready") <= F.col("at") + F.expr(f"interval '{WAIT_SECONDS}' second")
+    return seen.select(
         "message_id",
-        F.col("a.session_id").alias("session_id"),
-        "asked_at",
-        "ready_at",
-        F.col("ready_at").isNull().alias("still_indexing"),
+        "session_id",
+        F.col("at").alias("asked_at"),
+        F.when(busy & in_time, F.col("_ready")).alias("ready_at"),
+        (busy & ~F.coalesce(in_time, F.lit(False))).alias("still_indexing"),
     )
 
 

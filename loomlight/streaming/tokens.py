@@ -13,6 +13,7 @@ from loomlight.ordering import join_segments
 from loomlight.schemas import PROGRESS, SCOPE_EXPANSION
 
 TOKENS_PER_SEGMENT = 1000
+STATE_HOURS = 24
 # Events that carry something other than text, and the two
 # notices a widened search gives.
 CONTROL_EVENTS = ["citations", "visuals", "progress", "scope_expansion", "error", "done", "retry"]
@@ -77,36 +78,41 @@ def assembled_text(events: DataFrame) -> DataFrame:
     return join_segments(tokens, ["message_id"], "seq", "data", size=TOKENS_PER_SEGMENT)
 
 
-def _assembler() -> StatefulProcessor:
+def _assembler(ttl_ms: int | None) -> StatefulProcessor:
     """Built here so that it travels with its code to Spark's stream runner."""
 
     class Assembler(StatefulProcessor):
         """Text of one message so far; emits on ``done``."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.text = handle.getValueState("text", "text string, status string")
+            self.text = handle.getValueState("text", "text string, failing boolean", ttlDurationMs=ttl_ms)
+            # What arrives after ``done`` is ignored as long as this mark lasts.
+            self.done = handle.getValueState("done", "done boolean", ttlDurationMs=ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            text, status = self.text.get() if self.text.exists() else ("", "PROCESSING")
-            finished = status != "PROCESSING" and status != "FAILING"
-            ended = None
-            for batch in rows:
-                for event, data in batch.sort_values("seq")[["event", "data"]].itertuples(index=False):
-                    if finished:
-                        continue
-                    if event == "retry":
-                        text = ""
-                    elif event == "error":
-                        status = "FAILING"
-                    elif event == "done":
-                        finished = True
-                        status = "FAILED" if status == "FAILING" else "COMPLETED"
-                        ended = status
-                    elif event not in CONTROL_EVENTS:
-                        text += data
-            self.text.update((text, status))
+            batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
+            if self.done.exists():
+                return
+            text, failing = self.text.get() if self.text.exists() else ("", False)
+            parts, ended = [text], False
+            for event, data in batch[["event", "data"]].itertuples(index=False):
+                if event == "retry":
+                    parts = []
+                elif event == "error":
+                    failing = True
+                elif event == "done":
+                    ended = True
+                    break
+                elif event not in CONTROL_EVENTS:
+                    parts.append(data)
+            text = "".join(parts)
             if ended:
-                yield pd.DataFrame({"message_id": [key[0]], "text": [text], "status": [ended]})
+                self.text.clear()
+                self.done.update((True,))
+                status = "FAILED" if failing else "COMPLETED"
+                yield pd.DataFrame({"message_id": [key[0]], "text": [text], "status": [status]})
+            else:
+                self.text.update((text, failing))
 
         def close(self) -> None:
             pass
@@ -114,17 +120,20 @@ def _assembler() -> StatefulProcessor:
     return Assembler()
 
 
-def assemble_stream(events: DataFrame) -> DataFrame:
+def assemble_stream(events: DataFrame, expire: bool = False) -> DataFrame:
     """Finished answers of a token stream: message_id, text and status.
 
-    Events of one message arrive in order; within a batch they are sorted by
-    ``seq``. Needs the RocksDB state store.
+    Events of one message come in batches in order; all that one batch holds
+    of a message is sorted by ``seq``, however many there are. The text leaves
+    the state when the answer is done; a mark stays. With ``expire`` marks and
+    abandoned answers leave after a day, by the clock; such a stream runs on.
+    Needs the RocksDB state store.
     """
     return events.groupBy("message_id").transformWithStateInPandas(
-        statefulProcessor=_assembler(),
+        statefulProcessor=_assembler(STATE_HOURS * 3_600_000 if expire else None),
         outputStructType="message_id bigint, text string, status string",
         outputMode="append",
-        timeMode="None",
+        timeMode="ProcessingTime" if expire else "None",
     )
 
 

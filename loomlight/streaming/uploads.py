@@ -5,9 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.window import Window
+
+from loomlight.lineage import materialize
 
 # Fixed values.
 STATE_MINUTES = 5
@@ -15,45 +18,72 @@ STATES = ["UPLOADING", "EMBEDDING", "INGESTING", "READY", "FAILED"]
 BUSY = ["EMBEDDING", "INGESTING"]
 
 
-def upload_states(events: DataFrame, as_of) -> DataFrame:
+def upload_states(events: DataFrame, as_of: Column) -> DataFrame:
     """State of every session at ``as_of``: session_id, state, names, changed_at.
 
-    ``events`` has session_id, ts, state and file_name. A session untouched for
-    five minutes has no state. The batch form of :func:`track_uploads`.
+    ``events`` has session_id, ts, event_id, state and file_name; ``as_of`` may
+    differ between sessions. A session untouched for five minutes has no state,
+    and what it held is forgotten: only its last life counts, the events since
+    the last gap of five minutes. Whether an event has one in the five minutes
+    before it is seen in buckets of that width, each with a copy of the bucket
+    before, so a long session is cut by time. The batch form of
+    :func:`track_uploads`.
     """
-    seen = events.filter(F.col("ts") <= as_of)
-    states = seen.groupBy("session_id").agg(
+    life = F.expr(f"interval '{STATE_MINUTES}' minute")
+    seen = events.withColumn("_as_of", as_of).filter(F.col("ts") <= F.col("_as_of"))
+    width = STATE_MINUTES * 60 * 1_000_000
+    bucket = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / width)
+    copied = seen.select(
+        "session_id", "ts", "event_id", F.explode(F.array(bucket, bucket + 1)).alias("bucket"), bucket.alias("own")
+    )
+    order = Window.partitionBy("session_id", "bucket").orderBy("ts", "event_id")
+    before = F.lag("ts").over(order)
+    follows = F.coalesce(before + life > F.col("ts"), F.lit(False))
+    starts = (
+        copied.withColumn("_follows", follows)
+        .filter("bucket = own and not _follows")
+        .groupBy("session_id")
+        .agg(F.max("ts").alias("_born"))
+    )
+    starts = materialize(starts, "lives")
+    lives = seen.join(starts, "session_id").filter(F.col("ts") >= F.col("_born"))
+    states = lives.groupBy("session_id").agg(
         F.max_by("state", F.struct("ts", "event_id")).alias("state"),
         F.countDistinct("file_name").alias("names"),
         F.max("ts").alias("changed_at"),
+        F.first("_as_of").alias("_as_of"),
     )
-    return states.filter(
-        F.col("changed_at") + F.expr(f"interval '{STATE_MINUTES}' minute") > as_of
-    )
+    return states.filter(F.col("changed_at") + life > F.col("_as_of")).drop("_as_of")
 
 
 def _tracker() -> StatefulProcessor:
     """Built here so that it travels with its code to Spark's stream runner."""
 
     class Tracker(StatefulProcessor):
-        """State and file names of one session; both expire on their own."""
+        """State and file names of one session; they expire together."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            life = STATE_MINUTES * 60 * 1000
-            self.state = handle.getValueState("state", "state string", ttlDurationMs=life)
-            self.names = handle.getMapState("names", "name string", "place int", ttlDurationMs=life)
+            # The longest a state can be of use; lives end by the events' own times.
+            keep = 24 * 3600 * 1000
+            self.state = handle.getValueState("state", "state string, at bigint", ttlDurationMs=keep)
+            self.names = handle.getMapState("names", "name string", "place int", ttlDurationMs=keep)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            state = self.state.get()[0] if self.state.exists() else STATES[0]
+            state, at = self.state.get() if self.state.exists() else (STATES[0], None)
             known = sum(1 for _ in self.names.keys())
-            for batch in rows:
-                ordered = batch.sort_values(["ts", "event_id"])
-                for new, name in ordered[["state", "file_name"]].itertuples(index=False):
-                    state = new
-                    if name and not self.names.containsKey((name,)):
-                        known += 1
-                        self.names.updateValue((name,), (known,))
-            self.state.update((state,))
+            batch = pd.concat(list(rows), ignore_index=True).sort_values(["ts", "event_id"])
+            for when, new, name in batch[["ts", "state", "file_name"]].itertuples(index=False):
+                ms = int(pd.Timestamp(when).value // 1_000_000)
+                if at is not None and ms < at:
+                    continue  # late: a newer event has set the state
+                if at is not None and ms - at >= STATE_MINUTES * 60_000:
+                    self.names.clear()
+                    known = 0
+                state, at = new, ms
+                if name and not self.names.containsKey((name,)):
+                    known += 1
+                    self.names.updateValue((name,), (known,))
+            self.state.update((state, at))
             yield pd.DataFrame({"session_id": [key[0]], "state": [state], "names": [known]})
 
         def close(self) -> None:

@@ -152,21 +152,50 @@ def test_upload_tracking_stream(spark, tmp_path):
         running.stop()
 
 
-def test_answers_wait_for_ingestion_in_a_stream(spark, tmp_path):
-    asked = [{"message_id": 1, "session_id": 1, "asked_at": at(0)},
-             {"message_id": 2, "session_id": 2, "asked_at": at(0)}]
-    write(tmp_path / "asked", "0", asked)
-    write(tmp_path / "asked", "1", [{"message_id": 3, "session_id": 9, "asked_at": at(60)}])
-    write(tmp_path / "ready", "0", [{"session_id": 1, "ready_at": at(1)}])
-    write(tmp_path / "ready", "1", [{"session_id": 8, "ready_at": at(60)}])
-    time.sleep(0.02)
-    write(tmp_path / "asked", "2", [{"message_id": 4, "session_id": 9, "asked_at": at(90)}])
-    write(tmp_path / "ready", "2", [{"session_id": 8, "ready_at": at(90)}])
-    answers = stream(spark, tmp_path / "asked", "message_id int, session_id int, asked_at timestamp")
-    ready = stream(spark, tmp_path / "ready", "session_id int, ready_at timestamp")
-    gated = jobs.finish(jobs.gate_on_ingestion(answers, ready), "gate").collect()
-    got = {r.message_id: r.still_indexing for r in gated}
-    assert got[1] is False and got[2] is True
+def test_answers_wait_for_busy_sessions(spark):
+    asked = [(1, 1, at(10)), (2, 2, at(10)), (3, 3, at(10)), (4, 4, at(10)), (5, 5, at(10)), (6, 1, at(15))]
+    states = [
+        (1, at(9), 1, "EMBEDDING"), (1, at(11), 2, "READY"), (1, at(11.5), 3, "READY"),
+        (2, at(9), 4, "INGESTING"), (2, at(12.5), 5, "READY"),  # too late
+        (3, at(8), 6, "EMBEDDING"), (3, at(9), 7, "READY"),  # ready before the question
+        (4, at(4), 8, "EMBEDDING"),  # forgotten
+    ]
+    answers = spark.createDataFrame(asked, "message_id int, session_id int, asked_at timestamp")
+    events = spark.createDataFrame(states, "session_id int, ts timestamp, event_id int, state string")
+    rows = jobs.gate_on_ingestion(answers, events).collect()
+    got = {r.message_id: (r.ready_at, r.still_indexing) for r in rows}
+    none = (None, False)
+    assert len(rows) == 6
+    assert got == {1: (at(11), False), 2: (None, True), 3: none, 4: none, 5: none, 6: none}
+
+
+def test_late_jobs_are_not_lost(spark, tmp_path):
+    for i, (job, minute) in enumerate([("a", 120), ("b", 180), ("late", 0), ("a", 60), ("a", 121)]):
+        write(tmp_path / "log", f"{i}", [{"job_id": job, "ts": at(minute)}])
+        time.sleep(0.02)
+    log = stream(spark, tmp_path / "log", "job_id string, ts timestamp")
+    taken = jobs.finish(jobs.drop_redelivered(log, "job_id", jobs.INGESTION_LOCK), "late")
+    got = sorted((r.job_id, int((r.ts - START).total_seconds() // 60)) for r in taken.collect())
+    assert got == [("a", 60), ("a", 120), ("b", 180), ("late", 0)]
+
+
+def test_long_answer_in_one_batch_keeps_its_order(spark, tmp_path):
+    n = 25_000
+    events = [{"message_id": 1, "seq": i, "event": "message", "data": f"{i} "} for i in range(n)]
+    events.append({"message_id": 1, "seq": n, "event": "done", "data": ""})
+    write(tmp_path / "tokens", "0", events[::-1])
+    out = jobs.finish(tokens.assemble_stream(stream(spark, tmp_path / "tokens", TOKENS)), "long")
+    row = out.first()
+    assert row.status == "COMPLETED" and row.text == "".join(f"{i} " for i in range(n))
+
+
+def test_upload_states_forget_earlier_lives(spark):
+    rows = [(1, i, at(i * 4), "READY", f"f{i}") for i in range(5)]
+    rows += [(1, 9, at(60), "EMBEDDING", "f0"), (1, 10, at(64), "INGESTING", "z")]
+    events = spark.createDataFrame(rows, UPLOADS)
+    live = uploads.upload_states(events, F.lit(at(66))).first()
+    assert (live.state, live.names, live.changed_at) == ("INGESTING", 2, at(64))
+    assert uploads.upload_states(events, F.lit(at(18))).first().names == 5
 
 
 def test_streamed_counters_and_visits(spark, tmp_path):
