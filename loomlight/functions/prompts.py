@@ -61,11 +61,12 @@ DIRECTIVES = {
         "Infer the concept from the underlying evidence present in the retrieved context. "
         "Map thematic evidence to the abstract concept the user asked about and answer accordingly."
     ),
-    "META_DOC_SEARCH": (
-        "Your task is to identify WHICH documents are relevant to the user's query and name them "
-        "explicitly. Judge by theme, not by exact wording."
-    ),
 }
+# Not fixed: what a search for documents is told; callers pass their own.
+DOCUMENT_SEARCH_DIRECTIVE = (
+    "Say which documents answer the question and name each of them. "
+    "Judge by theme, not by exact wording."
+)
 DIRECTIVE_SLOT = "<inferenceDirective>"
 
 
@@ -105,10 +106,16 @@ def user_prompt(question: Column, context: Column, history: Column, session: Col
 
 
 def system_prompt(
-    no_evidence: Column, strategy: Column, history: Column, grounded: str, general: str
+    no_evidence: Column,
+    strategy: Column,
+    history: Column,
+    grounded: str,
+    general: str,
+    document_search: str = DOCUMENT_SEARCH_DIRECTIVE,
 ) -> Column:
     """The grounded prompt with its directive; the general one without evidence and history."""
-    directive = F.coalesce(lookup(DIRECTIVES, strategy), F.lit(LITERAL_DIRECTIVE))
+    known = {**DIRECTIVES, "META_DOC_SEARCH": document_search}
+    directive = F.coalesce(lookup(known, strategy), F.lit(LITERAL_DIRECTIVE))
     filled = F.replace(F.lit(grounded), F.lit(DIRECTIVE_SLOT), directive)
     return F.when(no_evidence & is_blank(history), F.lit(general)).otherwise(filled)
 

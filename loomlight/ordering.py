@@ -20,8 +20,6 @@ from pyspark.sql.window import Window
 
 from loomlight.lineage import materialize
 
-# Spark drops the partial group limit above this k (windowGroupLimitThreshold).
-GROUP_LIMIT_MAX = 1000
 SALTS = 64
 
 

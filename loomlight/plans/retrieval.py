@@ -37,7 +37,6 @@ MIN_CONFIDENCE = 0.42
 TOP_WEIGHT, MEAN_WEIGHT, MEAN_OF = 0.6, 0.4, 5
 FOUND_ABOVE, PARTIAL_ABOVE = 0.8, 0.5
 MAX_ITERATIONS = 2
-RETRY_ITERATIONS = 3
 IMAGE_TYPES = ["IMAGE", "PDF_IMAGE"]
 
 CHUNK_FIELDS = [

@@ -17,23 +17,16 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from loomlight.lineage import shared_folder
-from loomlight.schemas import CHAT_RECORD, EXPORT_RECORD, INGESTION_PAYLOAD
+from loomlight.schemas import INGESTION_PAYLOAD
 from loomlight.streaming.uploads import BUSY, STATE_MINUTES
 
 # How long a delivery locks its job, and how long a result is kept.
 INGESTION_LOCK = "10 minutes"
-EXPORT_LOCK = "10 minutes"
-CHAT_LOCK = "5 minutes"
 RESULT_MINUTES = 30
 WAIT_SECONDS = 120
 DONE_PROGRESS = 100
 
 
-def read_log(spark: SparkSession, folder: str, schema: str) -> DataFrame:
-    """A job log kept as a folder of JSON files."""
-    return spark.readStream.schema(schema).json(folder)
-
-
 def ingestion_jobs(log: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(parsed jobs, dropped records) of a log with a text ``payload`` and ``ts``.
 
@@ -83,13 +76,6 @@ def export_jobs(log: DataFrame) -> DataFrame:
     )
 
 
-LOG_SCHEMAS = {
-    "ingestion_jobs": "payload string, ts timestamp",
-    "chat_jobs": CHAT_RECORD,
-    "pdf_export_jobs": EXPORT_RECORD,
-}
-
-
 def _lock(names: list[str], ts: str, lock_us: int, memory_us: int, ttl_ms: int | None) -> StatefulProcessor:
     """Built here so that it travels with its code to Spark's stream runner."""
 

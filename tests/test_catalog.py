@@ -23,7 +23,9 @@ def test_query_matches_sql(spark, name):
     # No cross products and no row-at-a-time Python.
     assert [word for word in FORBIDDEN if word in plan] == []
     problems = differences(QUERIES[name], spark, FOLDER, built)
-    assert [p for p in problems if p not in ("the SQL gives no rows", "no rows")] == []
+    # Only the smallest tables may lack what a query looks for.
+    empty = ("the SQL gives no rows", "no rows") if FOLDER.endswith("sf0.001") else ()
+    assert [p for p in problems if p not in empty] == []
 
 
 def test_contract(spark):
