@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-SLICE = 1 << 20  # units (bytes or words) handled at once
+SLICE = 1 << 18  # units (bytes or words) handled at once
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -69,7 +69,6 @@ def byte_values() -> np.ndarray:
     return mix(np.arange(1, 257, dtype=U64))
 
 
-@lru_cache(maxsize=4)
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     base, inverse = _BASE, pow(_BASE, -1, 1 << 64)
@@ -86,11 +85,14 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return up, down
 
 
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = []
+
+
 def _room(n: int) -> tuple[np.ndarray, np.ndarray]:
-    size = 1 << 16
-    while size < n:
-        size *= 2
-    return powers(size)
+    """Powers up to n at least; a process keeps one table, the longest it needed."""
+    if not _POWERS or len(_POWERS[0][0]) < n:
+        _POWERS[:] = [powers(max(n + n // 8, 1 << 16))]
+    return _POWERS[0]
 
 
 class Hashes:

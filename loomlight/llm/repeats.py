@@ -229,6 +229,8 @@ def find_repeats(
         CONTEXTS,
     )
     held = materialize(held, "contexts")
+    # About as many units at once as a slice of texts has, whatever a unit is.
+    rows = max(500, 2 * flat.SLICE // (2 * window))
     found: list[DataFrame] = []
     while True:
         sizes = held.groupBy("key").agg(
@@ -237,7 +239,7 @@ def find_repeats(
         large = materialize(sizes.filter(f"n > {group_limit} or single"), "large")
         bounded = held.join(large, "key", "left_anti")
         found.append(
-            map_groups(bounded, "key", lambda table: _resolve(table, unit, window, resolver), FOUND)
+            map_groups(bounded, "key", lambda table: _resolve(table, unit, window, resolver), FOUND, rows)
         )
         if large.isEmpty():
             break
@@ -262,7 +264,7 @@ def find_repeats(
         several.join(equal, ["bucket", "whole"], "left_semi").select("k1", "k2", "first", whole.alias("parts"), "last"),
         several.join(part, ["bucket", "whole"]).select("k1", "k2", "first", "parts", "last"),
     ]
-    rows = spans[0].unionByName(spans[1]).unionByName(spans[2])
+    joined = spans[0].unionByName(spans[1]).unionByName(spans[2])
     moved = F.transform(
         "parts",
         lambda p: F.struct(
@@ -270,7 +272,7 @@ def find_repeats(
         ),
     )
     return (
-        rows.select("k1", "k2", moved.alias("parts"))
+        joined.select("k1", "k2", moved.alias("parts"))
         .groupBy("k1", "k2")
         .agg(F.flatten(F.collect_list("parts")).alias("spans"))
     )
