@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -32,10 +33,22 @@ def with_results(docs: DataFrame, results: Iterable[str]) -> list[str]:
     return [c for c in docs.columns if c.lower() not in names]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Arrow batches of few rows for the jobs that run inside; rows are large there."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def map_batches(
     df: DataFrame, function: Callable[[pa.RecordBatch], dict | None], schema: str | T.StructType
 ) -> DataFrame:
-    """Apply a function of one Arrow batch that returns columns by name."""
+    """Apply a function of one Arrow batch to columns by name, or several such."""
     fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,7 +61,7 @@ def map_batches(
             out = function(batch)
             if out is None:
                 continue
-            for columns in out if isinstance(out, list) else [out]:
+            for columns in [out] if isinstance(out, dict) else out:
                 arrays = [
                     c if isinstance(c, pa.Array) and c.type == f.type else pa.array(c, f.type)
                     for c, f in ((columns[f.name], f) for f in target)

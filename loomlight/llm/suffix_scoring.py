@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from loomlight.lineage import materialize
 from loomlight.llm import flat
-from loomlight.llm.rows import map_batches, map_groups
+from loomlight.llm.rows import map_batches, map_groups, small_batches
 
 U64 = np.uint64
 DEPTH = 5
@@ -86,6 +86,7 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: list[tuple[np.ndarray, np.ndarray]] = []
+        fresh = 0
 
         def merged() -> tuple[np.ndarray, np.ndarray]:
             every, place = np.unique(np.concatenate([c for c, _ in parts]), return_inverse=True)
@@ -93,11 +94,12 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
         for batch in batches:
             data, starts, ends = flat.buffers(batch.column(0))
-            for lo, hi in flat.row_slices(starts, ends, BATCH):
+            for lo, hi in flat.row_slices(starts, ends):
                 tokens, row, *_ = token_bytes(data, starts[lo:hi], ends[lo:hi])
                 parts.append(np.unique(gram_codes(tokens, row), return_counts=True))
-                if len(parts) > 8:
-                    parts = [merged()]
+                fresh += len(parts[-1][0])
+                if fresh > max(1 << 19, len(parts[0][0])):
+                    parts, fresh = [merged()], 0
         if parts:
             codes, n = merged()
             for at in range(0, len(codes), 1 << 16):
@@ -144,7 +146,8 @@ def _code(column: str, length: int) -> Column:
 
 def learn_tree(rows: DataFrame) -> SuffixTree:
     """The tree of the (text) rows; candidate counting and divergence tests are joins."""
-    grams = materialize(count_grams(rows), "grams")
+    with small_batches(rows.sparkSession, 2000):
+        grams = materialize(count_grams(rows), "grams")
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     zero = np.zeros(256)
     for r in grams.groupBy(_code("code", 1).alias("b")).agg(F.sum("n").alias("n")).collect():
@@ -198,19 +201,21 @@ MESSAGE = "bucket bigint, shard bigint, kind int, payload binary"
 ASK, CARD, ANSWER, DISTINCT = 0, 1, 2, 3
 
 
-def _ask(batch: pa.RecordBatch, tree: SuffixTree, buckets: int, turn: list[int]) -> list[dict]:
+def _ask(batch: pa.RecordBatch, tree: SuffixTree, buckets: int, turn: list[int]) -> Iterator[dict]:
     data, starts, ends = flat.buffers(batch.column("text"))
     ids = batch.column("id").to_pylist()
     train = np.array(batch.column("train").to_pylist(), bool)
-    out = []
     for lo, hi in flat.row_slices(starts, ends, BATCH):
         n = hi - lo
-        tokens, byte_row, begin, stop, row = token_bytes(data, starts[lo:hi], ends[lo:hi])
-        codes, place = np.unique(gram_codes(tokens, byte_row), return_inverse=True)
-        score = np.bincount(byte_row, weights=tree.log10(codes)[place], minlength=n)
-        hashes = flat.word_hashes(tokens, begin, stop) if len(begin) else np.zeros(0, U64)
-        names = np.concatenate([hashes, np.full(n, _END_NAME)])
-        owner = np.concatenate([row, np.arange(n)])
+        scores, found, owners = [], [np.full(n, _END_NAME)], [np.arange(n)]
+        for a, b in flat.row_slices(starts[lo:hi], ends[lo:hi]):
+            tokens, byte_row, begin, stop, row = token_bytes(data, starts[lo + a : lo + b], ends[lo + a : lo + b])
+            codes, place = np.unique(gram_codes(tokens, byte_row), return_inverse=True)
+            scores.append(np.bincount(byte_row, weights=tree.log10(codes)[place], minlength=b - a))
+            if len(begin):
+                found.append(flat.word_hashes(tokens, begin, stop))
+                owners.append(row + a)
+        score, names, owner = np.concatenate(scores), np.concatenate(found), np.concatenate(owners)
         # Distinct words by bucket, then name; tokens refer to them by number.
         every, number = np.unique(names, return_inverse=True)
         bucket = (every % U64(buckets)).astype(np.int64)
@@ -232,6 +237,7 @@ def _ask(batch: pa.RecordBatch, tree: SuffixTree, buckets: int, turn: list[int])
             "buckets": bucket[at].tolist(),
             "edges": edge.tolist(),
             "pairs": len(pair),
+            "times": "<u1" if times.max() < 256 else "<i4",
         }
         head = json.dumps(card).encode()
         payload = b"".join(
@@ -239,31 +245,27 @@ def _ask(batch: pa.RecordBatch, tree: SuffixTree, buckets: int, turn: list[int])
                 len(head).to_bytes(8, "little"),
                 head,
                 score.tobytes(),
-                (pair // len(every)).astype(np.int32).tobytes(),
+                np.bincount(pair // len(every), minlength=n).astype(np.int32).tobytes(),
                 (pair % len(every)).astype(np.int32).tobytes(),
-                times.astype(np.int32).tobytes(),
+                times.astype(card["times"]).tobytes(),
             ]
         )
         asked = [
             every[a:b].tobytes() + count[a:b].tobytes() for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)
         ]
-        out.append(
-            {
-                "bucket": np.concatenate([bucket[at], [shard % buckets]]),
-                "shard": np.full(len(at) + 1, shard),
-                "kind": np.array([ASK] * len(at) + [CARD], np.int32),
-                "payload": [*asked, payload],
-            }
-        )
-    return out
+        yield {
+            "bucket": np.concatenate([bucket[at], [shard % buckets]]),
+            "shard": np.full(len(at) + 1, shard),
+            "kind": np.array([ASK] * len(at) + [CARD], np.int32),
+            "payload": [*asked, payload],
+        }
 
 
 def _answer(table: pa.Table) -> list[dict]:
     """Total counts of the words each shard asks a bucket for."""
     bucket, shard = table.column("bucket").to_numpy(), table.column("shard").to_numpy()
     kind, payload = table.column("kind").to_numpy(), table.column("payload").to_pylist()
-    cards = np.flatnonzero(kind == CARD)
-    out = [{"bucket": bucket[cards], "shard": shard[cards], "kind": kind[cards], "payload": [payload[i] for i in cards]}]
+    out = []
     asked = np.flatnonzero(kind == ASK)
     for b in np.unique(bucket[asked]):
         mine = asked[bucket[asked] == b]
@@ -301,7 +303,9 @@ def _settle(table: pa.Table) -> list[dict]:
         n, pairs = len(card["ids"]), card["pairs"]
         rest = memoryview(raw)[8 + size :]
         score = np.frombuffer(rest[: 8 * n], np.float64)
-        doc, word, times = np.frombuffer(rest[8 * n :], np.int32).reshape(3, pairs)
+        doc = np.repeat(np.arange(n), np.frombuffer(rest[8 * n : 12 * n], np.int32))
+        word = np.frombuffer(rest[12 * n : 12 * n + 4 * pairs], np.int32)
+        times = np.frombuffer(rest[12 * n + 4 * pairs :], card["times"]).astype(np.int64)
         answers = {int(bucket[i]): np.frombuffer(payload[i], np.int64) for i in mine if kind[i] == ANSWER}
         counts = np.concatenate([answers[b] for b in card["buckets"]])
         found = counts[word]
@@ -338,9 +342,12 @@ def score_texts(docs: DataFrame, train_on: Column, text_col: str = "text", id_co
     tree = learn_tree(texts.filter("train").select("text"))
     buckets = 8 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     turn = [0]  # of a task: each one gets a copy of its own
-    asked = map_batches(texts, lambda batch: _ask(batch, tree, buckets, turn), MESSAGE)
-    answered = map_groups(asked, "bucket", _answer, MESSAGE, rows=4000)
-    settled = materialize(map_groups(answered, "shard", _settle, SCORED, rows=2000), "settled")
+    with small_batches(docs.sparkSession, 2000):
+        asked = materialize(map_batches(texts, lambda batch: _ask(batch, tree, buckets, turn), MESSAGE), "asked")
+    answered = map_groups(asked.filter(F.col("kind") == ASK), "bucket", _answer, MESSAGE, rows=4000)
+    messages = answered.unionByName(asked.filter(F.col("kind") == CARD))
+    with small_batches(docs.sparkSession, 1000):
+        settled = materialize(map_groups(messages, "shard", _settle, SCORED, rows=1000), "settled")
     whole = settled.agg(
         F.coalesce(F.sum(F.when(F.col("train"), F.col("n_tokens"))), F.lit(0)).alias("n"),
         F.coalesce(F.sum("distinct_words"), F.lit(0)).alias("v"),
