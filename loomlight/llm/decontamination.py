@@ -40,6 +40,8 @@ RECALL = 0.99
 SAMPLED = 3
 BLOCK_ITEMS = 20_000
 MAX_REPEATS = 200
+WALKS = 8  # random walks that the repetitions share
+CHUNK = 1 << 23  # bytes of text whose windows are embedded together
 RESULTS = ("matches",)
 
 _WORD = np.full(256, 32, np.uint8)
@@ -57,25 +59,29 @@ def word_symbols(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return flat.word_hashes(plain, begin, stop), row
 
 
-def _steps(j: int, symbols: np.ndarray, repetition: int) -> np.ndarray:
-    return (flat.mix(symbols ^ U64((j * 0x9E3779B97F4A7C15 + repetition * 0xD1B54A32D192ED03) % (1 << 64))) >> U64(63)).astype(np.int64)
+def _steps(j: int, symbols: np.ndarray, walk: int) -> np.ndarray:
+    return (flat.mix(symbols ^ U64((j * 0x9E3779B97F4A7C15 + walk * 0xD1B54A32D192ED03) % (1 << 64))) >> U64(63)).astype(np.int64)
 
 
-def embed_samples(symbols: np.ndarray, start: np.ndarray, size: int, samples: np.ndarray, repetition: int) -> np.ndarray:
-    """Hash of the sampled coordinates of each window's embedding.
+def embed(symbols: np.ndarray, start: np.ndarray, size: int, walk: int) -> np.ndarray:
+    """The 3 * size coordinates of each window's embedding by one random walk.
 
-    ``samples`` are ascending coordinates below 3 * size; a walk that has left
-    the window reads blanks.
+    A walk that has left the window reads blanks.
     """
     at = np.zeros(len(start), np.int64)
-    out = np.full(len(start), U64(size))
-    wanted = set(samples.tolist())
-    for j in range(int(samples[-1]) + 1):
+    out = np.zeros((3 * size, len(start)), U64)
+    for j in range(3 * size):
         inside = at < size
-        symbol = np.where(inside, symbols[start + np.minimum(at, size - 1)], U64(0))
-        if j in wanted:
-            out = flat.mix(out * U64(0x9E3779B97F4A7C15) + symbol)
-        at = at + _steps(j, symbol, repetition)
+        out[j] = np.where(inside, symbols[start + np.minimum(at, size - 1)], U64(0))
+        at = at + _steps(j, out[j], walk)
+    return out
+
+
+def sampled_key(embedding: np.ndarray, size: int, repetition: int) -> np.ndarray:
+    """Hash of a repetition's sampled coordinates of each embedding."""
+    out = np.full(embedding.shape[1], U64(size))
+    for coordinate in sampled_coordinates(size, repetition):
+        out = flat.mix(out * U64(0x9E3779B97F4A7C15) + embedding[coordinate])
     return out
 
 
@@ -117,8 +123,9 @@ def repetitions(items: list[np.ndarray], recall: float, share: float = EDIT_SHAR
         copy = edited_copies(item, math.floor(share * n), rng)
         pair = np.concatenate([item, np.resize(np.concatenate([copy, np.zeros(n, U64)]), n)])
         hits = 0
+        walks = [embed(pair, np.array([0, n]), n, walk) for walk in range(WALKS)]
         for r in range(24):
-            both = embed_samples(pair, np.array([0, n]), n, sampled_coordinates(n, r), r)
+            both = sampled_key(walks[r % WALKS], n, r)
             hits += int(both[0] == both[1])
         rates.append((hits + 0.5) / 25)
     found = np.array(rates)
@@ -171,8 +178,9 @@ class Items:
             self.seeds[size] = (keys, np.cumsum(counts) - counts, counts, np.concatenate(places))
         for n, members in by_size.items():
             joined = np.concatenate([words[i] for i in members])
+            walks = [embed(joined, np.arange(len(members)) * n, n, walk) for walk in range(WALKS)]
             for r in range(self.repeats):
-                keys = embed_samples(joined, np.arange(len(members)) * n, n, sampled_coordinates(n, r), r)
+                keys = sampled_key(walks[r % WALKS], n, r)
                 table = defaultdict(list)
                 for key, i in zip(keys.tolist(), members, strict=True):
                     table[key].append(i)
@@ -206,8 +214,10 @@ class Items:
         padded = np.concatenate([blank, symbols, blank])
         for n in np.unique(windows[:, 1]).tolist():
             start = windows[windows[:, 1] == n, 0]
+            walks = [embed(padded, start + len(blank), n, walk) for walk in range(min(WALKS, self.repeats))]
+            tried: set[tuple[int, int]] = set()
             for r in range(self.repeats):
-                keys = embed_samples(padded, start + len(blank), n, sampled_coordinates(n, r), r)
+                keys = sampled_key(walks[r % WALKS], n, r)
                 table = self.buckets[n, r]
                 known = np.array(list(table), U64)
                 for w in np.flatnonzero(np.isin(keys, known)).tolist():
@@ -217,8 +227,9 @@ class Items:
                     lo = max(int(start[w]) - slack, int(edge[owner]))
                     hi = min(int(start[w]) + n + slack, int(edge[owner + 1]))
                     for i in table[int(keys[w])]:
-                        if (owner, i) in best and best[owner, i][0] == 0:
+                        if (w, i) in tried or (owner, i) in best and best[owner, i][0] == 0:
                             continue
+                        tried.add((w, i))
                         distance, a, b = window_distance(self.words[i], symbols[lo:hi])
                         if distance <= slack:
                             at = (distance, lo + a - int(edge[owner]), lo + b - int(edge[owner]))
@@ -233,8 +244,12 @@ def _mark(batch: pa.RecordBatch, items: Items) -> list[dict]:
     data, starts, ends = flat.buffers(batch.column("text"))
     before = batch.column("matches").to_pylist()
     out = []
-    for lo, hi in flat.row_slices(starts, ends):
-        symbols, row = word_symbols(data, starts[lo:hi], ends[lo:hi])
+    for lo, hi in flat.row_slices(starts, ends, CHUNK):
+        parts = []
+        for a, b in flat.row_slices(starts[lo:hi], ends[lo:hi]):
+            part, owner = word_symbols(data, starts[lo + a : lo + b], ends[lo + a : lo + b])
+            parts.append((part, owner + a))
+        symbols, row = (np.concatenate(x) for x in zip(*parts, strict=True))
         found = items.leaks(symbols, row, hi - lo) if len(symbols) else [[] for _ in range(hi - lo)]
         out.append(
             {
