@@ -104,6 +104,30 @@ def test_tree_sums_to_one(spark):
     assert tree.log10(suffix_scoring.gram_codes(tokens, row)).mean() > -1.2
 
 
+def canonical(text):
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    tokens, row, *_ = suffix_scoring.token_bytes(data, np.array([0]), np.array([len(data)]))
+    return suffix_scoring.gram_codes(tokens, row)
+
+
+def test_buckets_grow_the_whole_tree(messy, scored):
+    train = F.coalesce(language_id.remainder("doc_id", 5) != 1, F.lit(False))
+    tree = suffix_scoring.learn_tree(messy.filter(train).select("text"))
+    want = Counter((r.doc_id, round(float(tree.log10(canonical(r.text)).sum()), 1)) for r in messy.collect())
+    assert Counter((r.id, round(r.score, 1)) for r in scored) == want
+
+
+def test_rare_contexts_are_kept(spark):
+    # Twelve times in 2.8 million bytes; a share of all bytes would drop it.
+    rng = random.Random(3)
+    rare = "qwzj vxqk pjqx zkwv jqvz"
+    rows = [(i, prose(rng, "xx", 4000)) for i in range(120)] + [(1000 + i, rare) for i in range(12)] + [(5000, rare)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.id: r for r in suffix_scoring.score_texts(docs, F.col("doc_id") < 5000).collect()}
+    assert sum(len(t) for _, t in rows) > 2_500_000
+    assert got[5000].score > -10 and not got[5000].train
+
+
 def test_scores_of_nothing(messy):
     assert suffix_scoring.score_texts(messy.limit(0), F.lit(True)).count() == 0
     untaught = suffix_scoring.score_texts(messy, F.lit(False)).collect()
