@@ -4,15 +4,18 @@ Texts and items are word sequences (A-Z in lower case, ASCII punctuation
 dropped). A passage leaks an item of n words if at most ``floor(0.2 n)`` word
 edits turn one into the other.
 
-1. A passage within that distance shares a run of ``SEED`` words with the item
-   (by the pigeonhole principle), so windows of the item's size are placed
-   where a word run of some item occurs, aligned with it.
+1. A passage within that distance shares a run of ``seed_length`` words with
+   the item (by the pigeonhole principle), so windows of the item's size are
+   placed where a word run of some item occurs, aligned with it.
 2. The random walk of Chakraborty, Goldenberg and Koucky embeds windows and
    items: step j copies the symbol it stands on and moves on if a random bit of
    (j, symbol) says so. Edit distance becomes Hamming distance.
 3. Each repetition samples coordinates of the embedding; equal samples make a
-   window a candidate. The number of repetitions follows from the collision
-   rate of items with copies at the largest distance and the target recall.
+   window a candidate. The repetitions of a size are those that found all
+   ``COPIES`` or more of its items' copies at the largest distance, which bounds
+   the recall, confirmed by as many other copies. Any other size is not sampled:
+   every window with a word run of an item is a candidate for that item if it
+   holds n - floor(0.2 n) of its words, which all its leaks do.
 4. Candidates are verified by exact edit distance against the text around the
    window, so every reported leak is one.
 
@@ -23,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections import defaultdict
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +43,9 @@ EDIT_SHARE = 0.2
 RECALL = 0.99
 SAMPLED = 3
 BLOCK_ITEMS = 20_000
-MAX_REPEATS = 200
+MAX_REPEATS = 200  # sizes that need more are compared without sampling
+COPIES = 320  # all found: with 95 % confidence a recall above 0.99
+CELLS = 1 << 21  # words of windows compared together
 WALKS = 8  # random walks that the repetitions share
 CHUNK = 1 << 23  # bytes of text whose windows are embedded together
 RESULTS = ("matches",)
@@ -109,33 +115,57 @@ def edited_copies(item: np.ndarray, edits: int, rng: np.random.Generator) -> np.
     return np.array(words, U64)
 
 
-def repetitions(items: list[np.ndarray], recall: float, share: float = EDIT_SHARE, trials: int = 64) -> int:
-    """How many repetitions give the recall at the largest distance.
+def seed_length(n: int) -> int:
+    """Words in a row that an item of n words shares with every passage that leaks it."""
+    edits = math.floor(EDIT_SHARE * n)
+    return min(SEED, math.ceil((n - edits) / (edits + 1)))
 
-    Measured on edited copies of at most ``trials`` of the items: each of the
-    first 24 repetitions gives every copy's chance to collide.
+
+def placed_copy(item: np.ndarray, copy: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The first window that seeds place on a copy in other text; there may be more."""
+    n, size = len(item), seed_length(len(item))
+    around = rng.integers(1, 1 << 62, 3 * n).astype(U64)
+    text = np.concatenate([around[:n], copy, around[n:]])
+    first = {gram: at for at, gram in reversed(list(enumerate(flat.Hashes(item).grams(size).tolist())))}
+    shift = next((at - first[g] for at, g in enumerate(flat.Hashes(copy).grams(size).tolist()) if g in first), 0)
+    start = max(n + shift, 0)
+    return text[start : start + n]
+
+
+def repetitions(items: list[np.ndarray], recall: float, share: float = EDIT_SHARE) -> int | None:
+    """How many repetitions find copies of items of one size at the largest distance.
+
+    ``None`` if the recall's lower bound (Wilson, 95 %) misses the target after
+    ``MAX_REPEATS``. Every item has at least one copy.
     """
-    rng = np.random.default_rng(7)
-    sizes = [i for i in items if math.floor(share * len(i)) > 0]
-    if not sizes:
+    n = len(items[0])
+    edits = math.floor(share * n)
+    if not edits:
         return 1
-    pick = [sizes[i] for i in rng.permutation(len(sizes))[:trials]]
-    rates = []
-    for item in pick:
-        n = len(item)
-        copy = edited_copies(item, math.floor(share * n), rng)
-        pair = np.concatenate([item, np.resize(np.concatenate([copy, np.zeros(n, U64)]), n)])
-        hits = 0
-        walks = [embed(pair, np.array([0, n]), n, walk) for walk in range(WALKS)]
-        for r in range(24):
-            both = sampled_key(walks[r % WALKS], n, r)
-            hits += int(both[0] == both[1])
-        rates.append((hits + 0.5) / 25)
-    found = np.array(rates)
-    for count in range(1, MAX_REPEATS):
-        if (1 - (1 - found) ** count).mean() >= recall:
-            return count
-    return MAX_REPEATS
+    originals = items * -(-COPIES // len(items))
+    total = len(originals)
+
+    def hits(seed: int):
+        """Which copies were found so far, after each repetition."""
+        rng = np.random.default_rng([seed, n])
+        copies = [placed_copy(i, edited_copies(i, edits, rng), rng) for i in originals]
+        joined = np.concatenate([*originals, *copies])
+        walks = [embed(joined, np.arange(2 * total) * n, n, walk) for walk in range(WALKS)]
+        hit = np.zeros(total, bool)
+        for r in range(MAX_REPEATS):
+            keys = sampled_key(walks[r % WALKS], n, r)
+            hit |= keys[:total] == keys[total:]
+            yield hit.mean()
+
+    def least(rate: float, z: float = 1.645) -> float:
+        spread = z * math.sqrt(rate * (1 - rate) / total + z * z / (4 * total * total))
+        return (rate + z * z / (2 * total) - spread) / (1 + z * z / total)
+
+    # Stopping at the first good number flatters it: other copies must confirm it.
+    count = next((r for r, rate in enumerate(hits(7), 1) if least(rate) >= recall), None)
+    if count is None or least(next(islice(hits(8), count - 1, None))) < recall:
+        return None
+    return count
 
 
 def window_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
@@ -164,35 +194,41 @@ class Items:
 
     def __init__(self, ids: list, words: list[np.ndarray], recall: float):
         self.ids, self.words = ids, words
-        self.repeats = repetitions(words, recall)
-        seeds: dict[int, dict] = defaultdict(lambda: defaultdict(list))
-        self.buckets: dict[tuple[int, int], dict[int, list[int]]] = {}
         by_size = defaultdict(list)
         for i, item in enumerate(words):
-            size = min(SEED, len(item))
-            for at, gram in enumerate(flat.Hashes(item).grams(size).tolist()):
-                seeds[size][gram].append((len(item), at))
             by_size[len(item)].append(i)
+        self.repeats = {n: repetitions([words[i] for i in members], recall) for n, members in by_size.items()}
+        seeds: dict[tuple[bool, int], dict] = defaultdict(lambda: defaultdict(set))
+        for i, item in enumerate(words):
+            size = seed_length(len(item))
+            exact = self.repeats[len(item)] is None
+            for at, gram in enumerate(flat.Hashes(item).grams(size).tolist()):
+                seeds[exact, size][gram].add((i if exact else len(item), at))
         self.seeds = {}
-        for size, grams in seeds.items():
+        for kind, grams in seeds.items():
             keys = np.array(sorted(grams), U64)
-            places = [np.array(sorted(set(grams[int(k)]))) for k in keys]
+            places = [np.array(sorted(grams[int(k)])) for k in keys]
             counts = np.array([len(p) for p in places])
-            self.seeds[size] = (keys, np.cumsum(counts) - counts, counts, np.concatenate(places))
+            self.seeds[kind] = (keys, np.cumsum(counts) - counts, counts, np.concatenate(places))
+        self.buckets: dict[tuple[int, int], dict[int, list[int]]] = {}
         for n, members in by_size.items():
             joined = np.concatenate([words[i] for i in members])
+            if self.repeats[n] is None:
+                continue
             walks = [embed(joined, np.arange(len(members)) * n, n, walk) for walk in range(WALKS)]
-            for r in range(self.repeats):
+            for r in range(self.repeats[n]):
                 keys = sampled_key(walks[r % WALKS], n, r)
                 table = defaultdict(list)
                 for key, i in zip(keys.tolist(), members, strict=True):
                     table[key].append(i)
                 self.buckets[n, r] = dict(table)
 
-    def windows(self, symbols: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """(start, size) of windows placed by seeds, each once; starts may be negative."""
+    def windows(self, symbols: np.ndarray, row: np.ndarray, exact: bool = False) -> np.ndarray:
+        """(start, size or item, row) of windows placed by seeds, each once; starts may be negative."""
         found = []
-        for size, (keys, first, counts, places) in self.seeds.items():
+        for (kind, size), (keys, first, counts, places) in self.seeds.items():
+            if kind != exact:
+                continue
             grams = flat.Hashes(symbols).grams(size)
             if not len(grams):
                 continue
@@ -205,21 +241,52 @@ class Items:
             at, place = at[sure], place[sure]
             count = counts[place]
             pick = np.repeat(first[place] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-            found.append(np.stack([np.repeat(at, count) - places[pick, 1], places[pick, 0]], axis=1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 2), np.int64)
+            at = np.repeat(at, count)
+            found.append(np.stack([at - places[pick, 1], places[pick, 0], row[at]], axis=1))
+        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+
+    def _whole(self, symbols: np.ndarray, row: np.ndarray, edge: np.ndarray, best: dict) -> None:
+        """Adds the leaks of the items whose size is not sampled."""
+        placed = self.windows(symbols, row, True)
+        placed = placed[np.argsort(placed[:, 1], kind="stable")]
+        cut = np.flatnonzero(np.diff(placed[:, 1], prepend=-1, append=-1)) if len(placed) else np.zeros(0, np.int64)
+        for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+            i = int(placed[a, 1])
+            item = self.words[i]
+            n = len(item)
+            slack = math.floor(EDIT_SHARE * n)
+            known = np.unique(item)
+            step = max(1, CELLS // (n + 2 * slack))
+            for c in range(a, b, step):
+                start, owner = placed[c : min(c + step, b), 0], placed[c : min(c + step, b), 2]
+                at = (start - slack)[:, None] + np.arange(n + 2 * slack)
+                inside = (at >= edge[owner][:, None]) & (at < edge[owner + 1][:, None])
+                word = symbols[np.clip(at, 0, len(symbols) - 1)]
+                place = np.minimum(np.searchsorted(known, word), len(known) - 1)
+                enough = ((known[place] == word) & inside).sum(axis=1) >= n - slack
+                for first, text in zip(start[enough].tolist(), owner[enough].tolist(), strict=True):
+                    if (text, i) in best and best[text, i][0] == 0:
+                        continue
+                    lo, hi = max(first - slack, int(edge[text])), min(first + n + slack, int(edge[text + 1]))
+                    distance, x, y = window_distance(item, symbols[lo:hi])
+                    if distance <= slack:
+                        found = (distance, lo + x - int(edge[text]), lo + y - int(edge[text]))
+                        best[text, i] = min(best.get((text, i), found), found)
 
     def leaks(self, symbols: np.ndarray, row: np.ndarray, n_rows: int) -> list[list[dict]]:
         """Verified leaks of each row, one (the nearest) for each item."""
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         windows = self.windows(symbols, row)
         edge = np.searchsorted(row, np.arange(n_rows + 1))
+        self._whole(symbols, row, edge, best)
         blank = np.zeros(max((len(w) for w in self.words), default=1), U64)
         padded = np.concatenate([blank, symbols, blank])
         for n in np.unique(windows[:, 1]).tolist():
-            start = windows[windows[:, 1] == n, 0]
-            walks = [embed(padded, start + len(blank), n, walk) for walk in range(min(WALKS, self.repeats))]
+            start = np.unique(windows[windows[:, 1] == n, 0])
+            repeats = self.repeats[n]
+            walks = [embed(padded, start + len(blank), n, walk) for walk in range(min(WALKS, repeats))]
             tried: set[tuple[int, int]] = set()
-            for r in range(self.repeats):
+            for r in range(repeats):
                 keys = sampled_key(walks[r % WALKS], n, r)
                 table = self.buckets[n, r]
                 known = np.array(list(table), U64)

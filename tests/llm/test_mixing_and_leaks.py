@@ -127,6 +127,22 @@ def test_leaks(leaky):
     assert len(got) >= 0.97 * len(want) and {k for k, v in want.items() if v == 0} <= set(got)
 
 
+@pytest.mark.parametrize("size, copies", [(5, 60), (50, 30), (200, 12), (400, 8)])
+def test_recall_at_the_largest_distance(spark, size, copies):
+    rng = np.random.default_rng(size)
+    items, docs = [], []
+    for k in range(copies):
+        words = rng.integers(0, 1 << 40, size)
+        changed = decontamination.edited_copies(words.astype(np.uint64), size // 5, rng)
+        items.append((k, " ".join(f"w{w}" for w in words)))
+        docs.append((k, "before it " + " ".join(f"w{w}" for w in changed) + " behind"))
+    found = decontamination.find_leaks(
+        spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    )
+    got = {(r.doc_id, m.item_id) for r in found.collect() for m in r.matches}
+    assert {(k, k) for k in range(copies)} <= got
+
+
 def test_leaks_of_nothing(leaky):
     docs, items = leaky
     assert decontamination.find_leaks(docs.limit(0), items).count() == 0
