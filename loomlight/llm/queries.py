@@ -15,10 +15,12 @@ from loomlight.llm.language_id import identify_languages, remainder
 from loomlight.llm.page_text import extract_text
 from loomlight.llm.quality_rules import judge_quality
 from loomlight.llm.rows import documents
+from loomlight.llm.source_divergence import divergence
 from loomlight.llm.source_mixing import mix_sources
 from loomlight.llm.substring_dedup import remove_repeated_words
 from loomlight.llm.suffix_scoring import score_texts
 from loomlight.llm.suffix_array_dedup import remove_repeated_bytes
+from loomlight.llm.vector_codes import compress_vectors, with_label_error
 
 
 def op1_language_id(spark: SparkSession, folder: str) -> DataFrame:
@@ -126,7 +128,115 @@ def op10_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.withColumnRenamed("id", "doc_id")
 
 
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    coded, books = compress_vectors(vectors, "embedding", "vec_id", "label")
+    return with_label_error(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256")
+    )
+
+
+def _op11_sql(rounds: int = 4) -> str:
+    """Lloyd rounds, one after the other."""
+    steps = ["book0 as (select position, n - 1 as entry, part from parts where n <= 256)"]
+    for r in range(rounds + 1):
+        steps.append(
+            f"""near{r} as (
+  select p.vec_id, p.position, min(struct_pack(d := list_sum(list_transform(list_zip(p.part, b.part),
+      lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint, e := b.entry)) as best
+  from parts p join book{r} b using (position) group by 1, 2)"""
+        )
+        if r < rounds:
+            steps.append(
+                f"""flat{r} as (
+  select position, best.e as entry, unnest(part) as x, generate_subscripts(part, 1) as i
+  from near{r} join parts using (vec_id, position)),
+mean{r} as (
+  select position, entry, list(m order by i) as part from (
+    select position, entry, i, floor(sum(x)::double / count(*))::bigint as m from flat{r} group by 1, 2, 3)
+  group by 1, 2),
+book{r + 1} as (
+  select b.position, b.entry, coalesce(m.part, b.part) as part
+  from book{r} b left join mean{r} m using (position, entry))"""
+            )
+    every = ",\n".join(steps)
+    return f"""
+with kept as (
+  select vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v,
+    row_number() over (order by vec_id) as n
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), parts as (
+  select vec_id, label, n, p as position, v[p * len(v) // 4 + 1 : (p + 1) * len(v) // 4] as part
+  from kept, range(4) as r(p)
+), {every},
+coded as (
+  select vec_id, string_agg(printf('%02x', best.e), '' order by position) as code, sum(best.d)::bigint as error
+  from near{rounds} group by 1
+), labelled as (
+  select vec_id, label, code, error, sum(error) over (partition by label)::bigint as label_error
+  from coded join kept using (vec_id)
+), entries as (
+  select position, entry, unnest(part) as x, generate_subscripts(part, 1) as i from book{rounds}
+)
+select vec_id, code, error, label_error,
+  (select sha256(string_agg(x::varchar, ',' order by position, entry, i)) from entries) as codebooks_sha256
+from labelled"""
+
+
+def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return divergence(documents(spark, folder).select("text", "lang", "source"))
+
+
+OP13_SQL = r"""
+with docs as (
+  select row_number() over () as d, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents
+), words as (
+  select d, lang, source, unnest(regexp_extract_all(t, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from docs
+), kept as (
+  select lang, term from words group by 1, 2 having count(distinct d) >= 3
+), groups as (
+  select distinct lang, source from docs
+), sizes as (
+  select lang, count(*) as v from kept group by 1
+), used as (
+  select lang, source, term, count(*) as n from words semi join kept using (lang, term) group by 1, 2, 3
+), dense as (
+  select g.lang, g.source, k.term, coalesce(n, 0) as n from groups g join kept k using (lang)
+    left join used u on u.lang = g.lang and u.source = g.source and u.term = k.term
+), p as (
+  select lang, source, term, n,
+    1 + (1000000000::hugeint * (n + 1)) // (sum(n) over (partition by lang, source)::hugeint + v) as p
+  from dense join sizes using (lang)
+), langs as (
+  select lang, term, sum(n) as n from dense group by 1, 2
+), q as (
+  select lang, term, 1 + (1000000000::hugeint * (n + 1)) // (sum(n) over (partition by lang)::hugeint + v) as q
+  from langs join sizes using (lang)
+), far as (
+  select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+  from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by 1, 2, 3
+), pairs as (
+  select a.lang, a.source, 'pair' as part, b.source as item, coalesce(f.value, 0)::bigint as value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join far f on f.lang = a.lang and f.source = a.source and f.item = b.source
+), terms as (
+  select lang, source, 'term' as part, term as item, ((p.p - q) * (p.p - q) // q)::bigint as value
+  from p join q using (lang, term) where n > 0 and p.p > q
+), ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, item)::integer as rank
+  from (select * from pairs union all select * from terms)
+)
+select * from ranked where part = 'pair' or rank <= 200"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: run for name, run in list(globals().items()) if name.startswith("op") and name[2].isdigit()
 }
-SQL: dict[str, str] = {"op2_merkle_fixity_audit": OP2_SQL}
+SQL: dict[str, str] = {
+    "op2_merkle_fixity_audit": OP2_SQL,
+    "op11_vector_codes": _op11_sql(),
+    "op13_source_divergence": OP13_SQL,
+}
