@@ -12,6 +12,7 @@ from loomlight.llm.decontamination import find_leaks
 from loomlight.llm.fixity_audit import audit, build_tree, placed_records, record_hash, warc_records
 from loomlight.llm.jaccard_join import similarity_classes
 from loomlight.llm.language_id import identify_languages, remainder
+from loomlight.llm.minhash import compare_neighbours
 from loomlight.llm.page_text import extract_text
 from loomlight.llm.quality_rules import judge_quality
 from loomlight.llm.rows import documents
@@ -184,6 +185,11 @@ select vec_id, code, error, label_error,
 from labelled"""
 
 
+def op12_minhash_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "text")
+    return compare_neighbours(docs).withColumnRenamed("id", "doc_id")
+
+
 def op13_source_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return divergence(documents(spark, folder).select("text", "lang", "source"))
 

@@ -151,6 +151,32 @@ def test_op10(spark, docs):
     assert n == len(docs)
 
 
+@pytest.mark.parametrize("name", ["op11_vector_codes", "op13_source_divergence"])
+def test_by_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    duck = duckdb.connect()
+    for table in ("documents", "embeddings"):
+        duck.sql(f"create view {table} as select * from '{FOLDER}/{table}.parquet'")
+    frame = QUERIES[name](spark, FOLDER)
+    want = duck.sql(SQL[name]).select(", ".join(frame.columns)).fetchall()
+    assert want and Counter(tuple(r) for r in frame.collect()) == Counter(want)
+
+
+def test_op12(spark, docs):
+    got, n = result(spark, "op12_minhash_fingerprints")
+    order = sorted(docs, reverse=True)
+    for i, after in zip(order, order[1:] + order[:1], strict=True):
+        text, other = docs[i].text or "", docs[after].text or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + other[:half]
+        r = got[i]
+        assert (r.n_chars, r.edited_sha256) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
+        for near, t in ((r.near_edited, edited), (r.near_next, other)):
+            a, b = brute.shingles(text, 5), brute.shingles(t, 5)
+            assert abs(near - (len(a & b) / len(a | b) if a | b else 1)) < 0.2
+    assert n == len(docs)
+
+
 def test_pipeline(spark, docs):
     before = {i: r.text for i, r in docs.items()}
     frame = spark.read.parquet(f"{FOLDER}/documents.parquet")
