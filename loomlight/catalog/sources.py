@@ -9,6 +9,7 @@ from loomlight.catalog import tables as t
 from loomlight.catalog.registry import query
 from loomlight.functions import text
 from loomlight.lineage import shared_folder
+from loomlight.sources import manifest as mf
 from loomlight.sources import readers as rd
 from loomlight.sources import writers as wr
 
@@ -72,9 +73,13 @@ def html_page_source(spark, folder):
     FROM chunks GROUP BY 1""",
 )
 def appended_chunks(spark, folder):
-    """The chunk table after an append, read back by its partitions."""
+    """The chunk table after two appends, one of them retried, read back by its partitions."""
     path = fresh_path(spark, "chunk-table")
-    wr.append_chunks(t.chunks(spark, folder), path)
+    chunks = t.chunks(spark, folder)
+    odd = F.substring("content_hash", 1, 1).isin(*"13579bdf")
+    wr.append_chunks(chunks.filter(odd), path, "a")
+    for _ in range(2):
+        wr.append_chunks(chunks.filter(~odd), path, "b")
     return (
         spark.read.parquet(path)
         .groupBy("source_type")
@@ -121,6 +126,31 @@ def upserted_records(spark, folder):
     return wr.upsert(ends.select("vector_id", "first.*"), ends.select("vector_id", "last.*"))
 
 
+@query(
+    "S5",
+    "S6",
+    sql=f"""
+    WITH {VERSIONS_SQL}, lasts AS (
+      SELECT vector_id, arg_max(doc_id, (doc_id % 3, doc_id)) AS doc_id FROM records GROUP BY 1)
+    SELECT vector_id, r.doc_id, session_id, size FROM records r JOIN lasts USING (vector_id, doc_id)
+    WHERE size % 5 <> 0 OR doc_id % 3 = 2""",
+)
+def logged_records(spark, folder):
+    """Three batches of records by name, one retried, some deleted before the last, then compacted."""
+    path = fresh_path(spark, "record-log")
+    rows = records(spark, folder).drop("version")
+    newest = F.max_by(F.struct("doc_id", "session_id", "size"), "doc_id").alias("row")
+    for number in (0, 1, 0):
+        part = rows.filter(F.col("doc_id") % 3 == number)
+        wr.upsert_records(part.groupBy("vector_id").agg(newest).select("vector_id", "row.*"), path, number)
+    wr.delete_records(wr.read_records(spark, path).filter("size % 5 = 0"), path, 2)
+    part = rows.filter(F.col("doc_id") % 3 == 2)
+    wr.upsert_records(part.groupBy("vector_id").agg(newest).select("vector_id", "row.*"), path, 3)
+    mf.compact(spark, path, "vector_id")
+    mf.remove_unreferenced(spark, path)
+    return wr.read_records(spark, path)
+
+
 @query(
     "S5",
     sql=f"""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from loomlight.catalog import tables as t
 from loomlight.catalog.registry import query
 from loomlight.lineage import shared_folder
+from loomlight.sources import manifest as mf
 from loomlight.streaming import ingest as ig
 from loomlight.streaming import jobs as jb
 from loomlight.streaming import tokens as tk
@@ -74,6 +75,34 @@ def split_stream(rows, key, files=4):
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
+DISORDER_HOURS = 36
+
+
+def disordered_stream(rows, ts, files=4):
+    """A table as a stream in batches of time, with rows up to 36 hours out of place.
+
+    A row's place is its time plus a drawn part of the disorder. A last row,
+    null but for its time, closes the stream.
+    """
+    spark = rows.sparkSession
+    spark.conf.set(STATE_STORE, ROCKSDB)
+    drawn = F.pmod(F.xxhash64(*rows.columns), F.lit(DISORDER_HOURS * 3600))
+    placed = rows.withColumn("_place", F.unix_seconds(F.col(ts)) + drawn)
+    low, high = placed.agg(F.min("_place"), F.max("_place")).first()
+    after = F.col(ts) + F.expr(f"interval '{10 * DISORDER_HOURS}' hour")
+    end = rows.agg(F.max(ts).alias(ts)).select(
+        *[(after if f.name == ts else F.lit(None).cast(f.dataType)).alias(f.name) for f in rows.schema]
+    )
+    width = (high - low) // files + 1
+    path = f"{shared_folder(spark)}/loomlight/split-{uuid.uuid4().hex}"
+    # The file source reads older files first.
+    for number in range(files):
+        part = placed.filter(F.floor((F.col("_place") - low) / width) == number).drop("_place")
+        part.repartition(1).write.mode("append").parquet(path)
+    end.repartition(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
 @query(
     "X1",
     sql="""
@@ -106,13 +135,14 @@ def accepted_deliveries(spark, folder):
     FROM events GROUP BY 1""",
 )
 def streamed_visitors(spark, folder):
-    """First visits of a stream, counted per day."""
-    visits = stream_of(spark, folder, "events").select(
-        "user_id", F.col("ts").cast("timestamp").alias("ts")
+    """First visits of a stream in four batches, counted per day; many come after retention."""
+    events = t.table(spark, folder, "events").select(
+        "event_id", "user_id", F.col("ts").cast("timestamp").alias("ts")
     )
-    firsts = jb.finish(us.first_visits(visits), "visits")
-    return firsts.groupBy(F.date_format("date", "yyyy-MM-dd").alias("date")).agg(
-        F.count(F.lit(1)).alias("unique_visitors")
+    visits = split_stream(events, "event_id").drop("event_id")
+    firsts = jb.finish(us.first_visits(visits, retention="1 day"), "visits")
+    return us.daily_visitors(firsts).select(
+        F.date_format("date", "yyyy-MM-dd").alias("date"), "unique_visitors"
     )
 
 
@@ -127,9 +157,12 @@ def streamed_visitors(spark, folder):
     FROM events GROUP BY 1""",
 )
 def streamed_counters(spark, folder):
-    """Daily counters of a stream of outcomes; cheap signups count as failed uploads."""
+    """Daily counters of a stream of outcomes in four batches; cheap signups count as failed uploads.
+
+    Changed days are logged after every batch, and the newest row of a day counts.
+    """
     kind = F.col("event_type")
-    outcomes = stream_of(spark, folder, "events").select(
+    outcomes = split_stream(t.table(spark, folder, "events"), "event_id").select(
         F.col("ts").cast("timestamp").alias("ts"),
         F.when(kind == "click", "chat")
         .when(kind == "signup", "document")
@@ -140,18 +173,15 @@ def streamed_counters(spark, folder):
         F.lit(0).alias("tokens"),
         F.col("value").alias("duration_ms"),
     )
-    name = f"counters_{uuid.uuid4().hex}"
-    # One row per day, so the result fits the in-memory sink.
-    running = (
-        us.daily_counters(outcomes)
-        .writeStream.format("memory")
-        .queryName(name)
-        .outputMode("complete")
-        .trigger(availableNow=True)
-        .start()
-    )
-    running.awaitTermination()
-    return spark.table(name).select(
+    run = uuid.uuid4().hex
+    table = f"{shared_folder(spark)}/loomlight/counters-{run}"
+    jb.start(
+        us.daily_counters(outcomes),
+        f"counters-{run}",
+        lambda rows, number: mf.upsert_rows(rows, table, "date", "counters", number),
+        mode="update",
+    ).awaitTermination()
+    return mf.newest_rows(spark, table, "date").select(
         F.date_format("date", "yyyy-MM-dd").alias("date"),
         "chat_requests",
         "documents_uploaded",
@@ -258,26 +288,29 @@ def answer_status(spark, folder):
     GROUP BY 1""",
 )
 def streamed_answers(spark, folder):
-    """Finished answers of a token stream, assembled in keyed state."""
-    said = stream_of(spark, folder, "conversations")
-    return jb.finish(tk.assemble_stream(token_events(said)), "answers")
+    """Finished answers of a token stream in four batches, each with tokens of every answer."""
+    events = token_events(t.table(spark, folder, "conversations"))
+    return jb.finish(tk.assemble_stream(split_stream(events, "seq")), "answers")
 
 
 @query(
     "X8",
+    "W6",
     sql=f"""
-    WITH RECURSIVE {t.CHUNKS_SQL}
-    SELECT content_hash, chunk_index::INTEGER AS chunk_index, content FROM chunks""",
+    WITH RECURSIVE {t.CHUNKS_SQL}, owners AS (
+      SELECT content_hash, arg_max(session_id, (uploaded_at, doc_id)) AS session_id FROM uploads GROUP BY 1)
+    SELECT c.content_hash, o.session_id, c.chunk_index::INTEGER AS chunk_index, c.content
+    FROM chunks c JOIN owners o USING (content_hash)""",
 )
 def streamed_ingestion(spark, folder):
-    """Documents arriving as a stream, ingested batch by batch into a chunk table."""
-    arriving = t.uploads_from(stream_of(spark, folder, "documents")).withColumns(
+    """Documents arriving in four batches, ingested into a chunk table; copies move it to their session."""
+    arriving = t.uploads(spark, folder).withColumns(
         {"job_id": F.col("doc_id"), "ts": F.col("uploaded_at").cast("timestamp")}
     )
     run = uuid.uuid4().hex
     table = f"{shared_folder(spark)}/loomlight/streamed-{run}"
-    ig.ingest_stream(arriving, table, f"ingest-{run}").awaitTermination()
-    return spark.read.parquet(table).select("content_hash", "chunk_index", "content")
+    ig.ingest_stream(split_stream(arriving, "doc_id"), table, f"ingest-{run}").awaitTermination()
+    return ig.read_chunks(spark, table).select("content_hash", "session_id", "chunk_index", "content")
 
 
 @query(
@@ -378,9 +411,7 @@ def export_results(spark, folder):
     return jb.export_status(results, as_of).select("job_id", "shown_status")
 
 
-@query(
-    "J12",
-    sql="""
+GATE_SQL = """
     WITH s AS (
       SELECT user_id % 20 AS session_id, ts, event_id, CASE event_type WHEN 'view' THEN 'EMBEDDING'
         WHEN 'error' THEN 'INGESTING' ELSE 'READY' END AS state
@@ -400,28 +431,119 @@ def export_results(spark, folder):
       CASE WHEN state IN ('EMBEDDING', 'INGESTING')
         THEN strftime(ready_at, '%Y-%m-%d %H:%M:%S') END AS ready_at,
       coalesce(state IN ('EMBEDDING', 'INGESTING'), false) AND ready_at IS NULL AS still_indexing
-    FROM a LEFT JOIN l USING (message_id) LEFT JOIN r USING (message_id)""",
-)
-def ingestion_gate(spark, folder):
-    """Clicks as answers; views, errors and signups of the user's group as upload states."""
-    events = t.table(spark, folder, "events")
+    FROM a LEFT JOIN l USING (message_id) LEFT JOIN r USING (message_id)"""
+
+
+def gated_events(events):
+    """(answers, upload states) of events, streaming or not: clicks are the answers.
+
+    Views, errors and signups of the user's group are upload states. Rows
+    without a type only close a stream.
+    """
     session = (F.col("user_id") % 20).alias("session_id")
-    answers = events.filter("event_type = 'click'").select(
-        F.struct("event_id", "user_id").alias("message_id"), session, F.col("ts").alias("asked_at")
-    )
     kind = F.col("event_type")
+    answers = events.filter((kind == "click") | kind.isNull()).select(
+        F.concat_ws(" ", "event_id", "user_id").alias("message_id"), session, F.col("ts").alias("asked_at")
+    )
     state = F.when(kind == "view", "EMBEDDING").when(kind == "error", "INGESTING").otherwise("READY")
     states = events.filter(kind.isin("view", "error", "signup")).select(
         session, "ts", "event_id", state.alias("state")
     )
-    return jb.gate_on_ingestion(answers, states).select(
-        F.col("message_id.event_id").alias("message_id"),
-        F.col("message_id.user_id").alias("session_id"),
+    return answers, states
+
+
+def gated(decided):
+    parts = F.split("message_id", " ")
+    return decided.select(
+        parts[0].cast("bigint").alias("message_id"),
+        parts[1].cast("bigint").alias("session_id"),
         t.stamp("ready_at").alias("ready_at"),
         "still_indexing",
     )
 
 
+@query("J12", sql=GATE_SQL)
+def ingestion_gate(spark, folder):
+    return gated(jb.gate_on_ingestion(*gated_events(t.table(spark, folder, "events"))))
+
+
+@query("J12", sql=GATE_SQL)
+def streamed_ingestion_gate(spark, folder):
+    """The same from a stream whose answers and states come out of order, in five batches."""
+    events = t.table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    answers, states = gated_events(disordered_stream(events, "ts"))
+    decided = jb.gate_stream(answers, states, delay=f"{DISORDER_HOURS + 1} hours")
+    return gated(jb.finish(decided, "gate"))
+
+
+@query(
+    "X5",
+    "T5",
+    sql="""
+    WITH e AS (
+      SELECT user_id AS session_id, event_id, event_type, ts,
+        'File ' || (event_id % 4) || '-' || event_type || '.txt' AS file_name,
+        'file ' || (event_id % 4) || ' ' || event_type AS spoken,
+        lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events),
+    lives AS (
+      SELECT *, sum(CASE WHEN before IS NULL OR before + INTERVAL 5 MINUTE <= ts THEN 1 ELSE 0 END)
+        OVER (PARTITION BY session_id ORDER BY ts, event_id) AS life FROM e),
+    ends AS (
+      SELECT session_id, life, min(ts) AS began, max(ts) AS changed,
+        arg_max(event_type, (ts, event_id)) AS kind,
+        count(DISTINCT file_name) AS names FROM lives GROUP BY 1, 2),
+    named AS (
+      SELECT session_id, life, file_name, min((ts, event_id)) AS first_at,
+        max((ts, event_id)) AS last_at, min(spoken) AS spoken
+      FROM lives GROUP BY 1, 2, 3),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY session_id, life ORDER BY first_at) AS n FROM named),
+    written AS (
+      SELECT session_id, life, ['first', 'second', 'third', 'fourth', 'fifth', 'sixth', 'seventh',
+        'eighth', 'ninth', 'tenth'][n] AS alias, file_name, first_at AS written_at FROM ranked WHERE n <= 10
+      UNION ALL
+      SELECT session_id, life, unnest(list_concat(['latest', 'last'], string_split(spoken, ' '))),
+        file_name, last_at FROM ranked),
+    aliases AS (
+      SELECT session_id, life, alias, arg_max(file_name, written_at) AS file_name FROM written GROUP BY 1, 2, 3)
+    SELECT session_id, strftime(began, '%Y-%m-%d %H:%M:%S') AS began,
+      strftime(changed, '%Y-%m-%d %H:%M:%S') AS changed,
+      CASE kind WHEN 'click' THEN 'EMBEDDING' WHEN 'view' THEN 'INGESTING'
+        WHEN 'purchase' THEN 'READY' WHEN 'error' THEN 'FAILED' ELSE 'UPLOADING' END AS state,
+      names, string_agg(alias || '=' || file_name, ',' ORDER BY alias) AS aliases
+    FROM ends JOIN aliases USING (session_id, life) GROUP BY ALL""",
+)
+def streamed_session_lives(spark, folder):
+    """Every life of a session's uploads, from events out of order, in five batches."""
+    kind = F.col("event_type")
+    state = (
+        F.when(kind == "click", "EMBEDDING")
+        .when(kind == "view", "INGESTING")
+        .when(kind == "purchase", "READY")
+        .when(kind == "error", "FAILED")
+        .otherwise("UPLOADING")
+    )
+    number = (F.col("event_id") % 4).cast("string")
+    events = t.table(spark, folder, "events").select(
+        F.col("user_id").alias("session_id"),
+        "event_id",
+        F.col("ts").cast("timestamp").alias("ts"),
+        state.alias("state"),
+        F.concat(F.lit("File "), number, F.lit("-"), kind, F.lit(".txt")).alias("file_name"),
+    )
+    stream = disordered_stream(events, "ts")
+    lives = jb.finish(up.session_lives(stream, delay=f"{DISORDER_HOURS + 1} hours"), "lives")
+    pairs = F.transform("aliases", lambda a: F.concat(a["alias"], F.lit("="), a["file_name"]))
+    return lives.filter("kind = 'ended'").select(
+        "session_id",
+        t.stamp("began").alias("began"),
+        t.stamp("changed").alias("changed"),
+        "state",
+        F.col("names").cast("bigint").alias("names"),
+        F.array_join(pairs, ",").alias("aliases"),
+    )
+
+
 @query(
     "S8",
     sql="""

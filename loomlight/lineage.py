@@ -9,6 +9,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,15 +34,29 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+_written: ContextVar[list[str] | None] = ContextVar("written", default=None)
+
+
+@contextmanager
+def tables_removed_after(spark: SparkSession) -> Iterator[None]:
+    """Remove what ``materialize`` wrote inside, once the result that reads it is written."""
+    paths: list[str] = []
+    token = _written.set(paths)
+    try:
+        yield
+    finally:
+        _written.reset(token)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once and read it back; the result depends on files only."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/loomlight/{label}-{uuid.uuid4().hex}"
+    paths = _written.get()
+    if paths is not None:
+        paths.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a path exists in the store that Spark reads it from."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)

@@ -1,30 +1,37 @@
 """Chunk, record, transcript and memory sinks.
 
-Every writer is a plain Spark write. Upserts and deletes give the new state of
-a table as a DataFrame; the caller decides where to put it.
+Every writer is a plain Spark write. Upserts and deletes come in two forms: as
+a log by key behind a manifest, which a retried batch leaves as it is, and as
+the new state of a table as a DataFrame, for the caller to put somewhere.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomlight.functions.intent import is_remembered
 from loomlight.functions.text import attachment_type, storage_folder
+from loomlight.sources import manifest
 
 RECORDS_PER_FILE = 1_000_000
 
 
-def append_chunks(chunks: DataFrame, path: str) -> None:
-    """Append to the chunk table, one folder per source type."""
-    (
-        chunks.write.mode("append")
-        .partitionBy("source_type")
-        .option("maxRecordsPerFile", RECORDS_PER_FILE)
-        .parquet(path)
-    )
+def append_chunks(chunks: DataFrame, path: str, batch: str | None = None) -> None:
+    """Append to the chunk table, one folder per source type.
+
+    A named ``batch`` has folders of its own, which it replaces when it is
+    written again: a retried job adds nothing.
+    """
+    if batch is None:
+        writer = chunks.write.mode("append").partitionBy("source_type")
+    else:
+        named = chunks.withColumn("ingest_batch", F.lit(batch))
+        writer = named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer = writer.partitionBy("ingest_batch", "source_type")
+    writer.option("maxRecordsPerFile", RECORDS_PER_FILE).parquet(path)
 
 
 def vector_records(chunks: DataFrame, metadata: Sequence[str]) -> DataFrame:
@@ -41,6 +48,19 @@ def write_vector_records(chunks: DataFrame, metadata: Sequence[str], path: str)
     ).text(path)
 
 
+def upsert_records(rows: DataFrame, path: str, batch: int, writer: str = "records", key: str = "vector_id") -> bool:
+    """Log a batch of records by id; false if it is there already. ``read_records`` gives the newest."""
+    return manifest.upsert_rows(rows, path, key, writer, batch)
+
+
+def delete_records(ids: DataFrame, path: str, batch: int, writer: str = "records", key: str = "vector_id") -> bool:
+    return manifest.delete_keys(ids, path, key, writer, batch)
+
+
+def read_records(spark: SparkSession, path: str, key: str = "vector_id") -> DataFrame | None:
+    return manifest.newest_rows(spark, path, key)
+
+
 def upsert(
     stored: DataFrame, incoming: DataFrame, key: str = "vector_id", version: str = "version"
 ) -> DataFrame:

@@ -211,6 +211,109 @@ def gate_on_ingestion(answers: DataFrame, states: DataFrame) -> DataFrame:
     )
 
 
+def _gate(message_type: str) -> StatefulProcessor:
+    """Built here so that it travels with its code to Spark's stream runner."""
+    life_us, wait_us = STATE_MINUTES * 60_000_000, WAIT_SECONDS * 1_000_000
+    # Next to rows without one, whole numbers come as floating-point ones.
+    to_message = str if message_type == "string" else int
+
+    def to_ms(us: int) -> int:
+        return -(-us // 1000)
+
+    class Gate(StatefulProcessor):
+        """Answers of one session and bucket of time that wait for upload states."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.states = handle.getListState("states", "at bigint, seq bigint, state string")
+            self.waiting = handle.getMapState("waiting", f"message_id {message_type}", "at bigint, late boolean")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows), ignore_index=True)
+            now = timerValues.getCurrentWatermarkInMs()
+            known = batch[batch["kind"] == 0]
+            if len(known):
+                self.states.appendList([(int(a), int(s), k) for a, s, k in known[["at", "seq", "state"]].itertuples(index=False)])
+            moments = {to_ms(int(a)) for a in known.loc[known["state"] == "READY", "at"]}
+            for message, at in batch.loc[batch["kind"] == 1, ["message_id", "at"]].itertuples(index=False):
+                message, at = to_message(message), int(at)
+                late = to_ms(at + wait_us) < now
+                self.waiting.updateValue((message,), (at, late))
+                moments |= {to_ms(at), to_ms(at + wait_us)}
+            bucket_end = (int(key[1]) + 1) * life_us
+            moments.add(to_ms(bucket_end + wait_us))
+            for moment in moments:
+                self.handle.registerTimer(moment)
+            return iter(())
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = timerValues.getCurrentWatermarkInMs()
+            states = sorted(self.states.get()) if self.states.exists() else []
+            done = []
+            for (message,), (at, late) in list(self.waiting.iterator()):
+                if to_ms(at) >= now:
+                    continue  # a state before the question may still come
+                before = [s for s in states if s[0] <= at]
+                busy = bool(before) and before[-1][2] in BUSY and before[-1][0] + life_us > at
+                ready = next((s[0] for s in states if s[2] == "READY" and at < s[0] <= at + wait_us), None)
+                sure = not busy or to_ms(at + wait_us) < now or (ready is not None and to_ms(ready) < now)
+                if sure:
+                    done.append((message, at, ready if busy else None, busy and ready is None, late))
+                    self.waiting.removeKey((message,))
+            if to_ms((int(key[1]) + 1) * life_us + wait_us) < now:
+                self.states.clear()
+            if done:
+                out = pd.DataFrame(done, columns=["message_id", "asked", "ready", "still_indexing", "late"])
+                out["session_id"] = key[0]
+                out["ready"] = out["ready"].astype("Int64")
+                yield out[["message_id", "session_id", "asked", "ready", "still_indexing", "late"]]
+
+        def close(self) -> None:
+            pass
+
+    return Gate()
+
+
+def gate_stream(answers: DataFrame, states: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """The stream form of :func:`gate_on_ingestion`, with ``late`` as one more column.
+
+    An answer is decided by event-time timers: at once if its session is not
+    busy when it is asked, at the first READY, or when its 120 seconds are over,
+    each as soon as all rows up to that moment are known, which is when the
+    newest row is ``delay`` ahead. Every answer gives one row. One that comes
+    when its wait is over already is decided by the states still held and marked
+    ``late``. ``message_id`` is a number or string. Rows with a null session only move the time on. State is kept per
+    (session, five minutes) and leaves once that time and the wait are past.
+    Needs the RocksDB state store.
+    """
+    message, session = (answers.schema[c].dataType.simpleString() for c in ("message_id", "session_id"))
+    none = F.lit(None)
+    asked = answers.select(
+        "session_id", F.col("asked_at").alias("ts"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("seq"),
+        none.cast("string").alias("state"), "message_id",
+    )
+    known = states.select(
+        "session_id", "ts", F.lit(0).alias("kind"), F.col("event_id").cast("bigint").alias("seq"),
+        "state", none.cast(message).alias("message_id"),
+    )
+    # A plain number: Spark's own filter of late rows finds no event time.
+    timed = asked.unionByName(known).withWatermark("ts", delay).withColumn("at", F.unix_micros("ts")).drop("ts")
+    own = F.floor(F.col("at") / (STATE_MINUTES * 60_000_000))
+    # Exploding nothing drops a row without a session; a filter would be moved below the watermark.
+    buckets = F.when(F.col("session_id").isNull(), F.lit(None).cast("array<bigint>")).when(F.col("kind") == 1, F.array(own))
+    dealt = timed.withColumn("bucket", F.explode(buckets.otherwise(F.sequence(own - 1, own + 1))))
+    decided = dealt.groupBy("session_id", "bucket").transformWithStateInPandas(
+        statefulProcessor=_gate(message),
+        outputStructType=f"message_id {message}, session_id {session}, asked bigint, ready bigint, still_indexing boolean, late boolean",
+        outputMode="append",
+        timeMode="EventTime",
+    )
+    return decided.select(
+        "message_id", "session_id", F.timestamp_micros("asked").alias("asked_at"),
+        F.timestamp_micros("ready").alias("ready_at"), "still_indexing", "late",
+    )
+
+
 def finish(stream: DataFrame, name: str) -> DataFrame:
     """Run an append stream over what its source holds now and read the result.
 
@@ -230,11 +333,11 @@ def finish(stream: DataFrame, name: str) -> DataFrame:
 
 
 def start(
-    stream: DataFrame, name: str, handle: Callable[[DataFrame, int], None], once: bool = True
+    stream: DataFrame, name: str, handle: Callable[[DataFrame, int], object], once: bool = True, mode: str = "append"
 ):
     """Run ``handle`` on each batch of a stream, with its progress in the shared folder."""
     folder = f"{shared_folder(stream.sparkSession)}/loomlight/streams/{name}"
-    writer = stream.writeStream.queryName(name).option("checkpointLocation", folder)
+    writer = stream.writeStream.queryName(name).outputMode(mode).option("checkpointLocation", folder)
     if once:
         writer = writer.trigger(availableNow=True)
     return writer.foreachBatch(handle).start()

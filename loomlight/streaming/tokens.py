@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -78,41 +78,76 @@ def assembled_text(events: DataFrame) -> DataFrame:
     return join_segments(tokens, ["message_id"], "seq", "data", size=TOKENS_PER_SEGMENT)
 
 
-def _assembler(ttl_ms: int | None) -> StatefulProcessor:
+def _assembler(first: int, ttl_ms: int | None, wait_ms: int) -> StatefulProcessor:
     """Built here so that it travels with its code to Spark's stream runner."""
 
+    def joined(events: Iterable[tuple[int, str, str]], done: int) -> tuple[str, bool]:
+        """(text, whether it failed) of the events before ``done``, each number once."""
+        parts, failing, seen = [], False, None
+        for seq, event, data in sorted(events, key=lambda e: e[0]):
+            if seq == seen or seq >= done:
+                continue
+            seen = seq
+            if event == "retry":
+                parts = []
+            elif event == "error":
+                failing = True
+            elif event not in CONTROL_EVENTS:
+                parts.append(data)
+        return "".join(parts), failing
+
+    def with_numbers(ranges: list[tuple[int, int]], numbers: Iterable[int]) -> list[tuple[int, int]]:
+        """Inclusive ranges of numbers with some more, touching ones joined."""
+        out: list[tuple[int, int]] = []
+        for low, high in sorted([*ranges, *((n, n) for n in numbers)]):
+            if out and low <= out[-1][1] + 1:
+                out[-1] = (out[-1][0], max(out[-1][1], high))
+            else:
+                out.append((low, high))
+        return out
+
     class Assembler(StatefulProcessor):
-        """Text of one message so far; emits on ``done``."""
+        """Events of one message, held until none is missing up to its end."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
-            self.text = handle.getValueState("text", "text string, failing boolean", ttlDurationMs=ttl_ms)
-            # What arrives after ``done`` is ignored as long as this mark lasts.
-            self.done = handle.getValueState("done", "done boolean", ttlDurationMs=ttl_ms)
+            self.handle = handle
+            self.events = handle.getListState("events", "seq bigint, event string, data string", ttlDurationMs=ttl_ms)
+            # Ranges of the numbers that came, and the number of the end.
+            self.come = handle.getValueState("come", "low array<bigint>, high array<bigint>, done bigint", ttlDurationMs=ttl_ms)
+            # What arrives for a finished answer is ignored as long as this mark lasts.
+            self.given = handle.getValueState("given", "given boolean", ttlDurationMs=ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-            batch = pd.concat(list(rows), ignore_index=True).sort_values("seq", kind="stable")
-            if self.done.exists():
+            batch = pd.concat(list(rows), ignore_index=True)
+            if self.given.exists():
                 return
-            text, failing = self.text.get() if self.text.exists() else ("", False)
-            parts, ended = [text], False
-            for event, data in batch[["event", "data"]].itertuples(index=False):
-                if event == "retry":
-                    parts = []
-                elif event == "error":
-                    failing = True
-                elif event == "done":
-                    ended = True
-                    break
-                elif event not in CONTROL_EVENTS:
-                    parts.append(data)
-            text = "".join(parts)
-            if ended:
-                self.text.clear()
-                self.done.update((True,))
-                status = "FAILED" if failing else "COMPLETED"
-                yield pd.DataFrame({"message_id": [key[0]], "text": [text], "status": [status]})
-            else:
-                self.text.update((text, failing))
+            low, high, done = self.come.get() if self.come.exists() else ([], [], None)
+            new = [(int(s), e, d) for s, e, d in batch[["seq", "event", "data"]].itertuples(index=False)]
+            ranges = with_numbers(list(zip(low, high, strict=True)), (s for s, _, _ in new))
+            ends = [s for s, e, _ in new if e == "done"]
+            done = min([*ends, *([] if done is None else [done])], default=None)
+            if done is not None and any(a <= first and done <= b for a, b in ranges):
+                held = list(self.events.get()) if self.events.exists() else []
+                text, failing = joined([*held, *new], done)
+                yield self.finished(key, text, "FAILED" if failing else "COMPLETED")
+                return
+            self.events.appendList(new)
+            self.come.update(([a for a, _ in ranges], [b for _, b in ranges], done))
+            if done is not None and ttl_ms is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait_ms)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.given.exists() or not self.come.exists():
+                return
+            _, _, done = self.come.get()
+            text, _ = joined(self.events.get(), done)
+            yield self.finished(key, text, "INCOMPLETE")
+
+        def finished(self, key, text: str, status: str) -> pd.DataFrame:
+            self.events.clear()
+            self.come.clear()
+            self.given.update((True,))
+            return pd.DataFrame({"message_id": [key[0]], "text": [text], "status": [status]})
 
         def close(self) -> None:
             pass
@@ -120,17 +155,20 @@ def _assembler(ttl_ms: int | None) -> StatefulProcessor:
     return Assembler()
 
 
-def assemble_stream(events: DataFrame, expire: bool = False) -> DataFrame:
+def assemble_stream(events: DataFrame, expire: bool = False, first: int = 1, wait: str = "10 minutes") -> DataFrame:
     """Finished answers of a token stream: message_id, text and status.
 
-    Events of one message come in batches in order; all that one batch holds
-    of a message is sorted by ``seq``, however many there are. The text leaves
-    the state when the answer is done; a mark stays. With ``expire`` marks and
-    abandoned answers leave after a day, by the clock; such a stream runs on.
-    Needs the RocksDB state store.
+    Events of a message may come in any order and batch, and more than once.
+    Their numbers run from ``first`` without a gap, so the end is known to be
+    the end only when every number up to it has come; until then the answer
+    waits. Its text then leaves the state; a mark stays. With ``expire`` the wait
+    for missing numbers ends after ``wait`` by the clock, and what has come is
+    given as INCOMPLETE; marks and abandoned answers leave after a day; such a
+    stream runs on. Needs the RocksDB state store.
     """
+    wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
     return events.groupBy("message_id").transformWithStateInPandas(
-        statefulProcessor=_assembler(STATE_HOURS * 3_600_000 if expire else None),
+        statefulProcessor=_assembler(first, STATE_HOURS * 3_600_000 if expire else None, wait_ms),
         outputStructType="message_id bigint, text string, status string",
         outputMode="append",
         timeMode="ProcessingTime" if expire else "None",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -10,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
+from loomlight.functions.text import normalize_source_name
 from loomlight.lineage import materialize
+from loomlight.operators.aliases import NEWEST, ORDINALS
 
 # Fixed values.
 STATE_MINUTES = 5
@@ -100,3 +103,122 @@ def track_uploads(events: DataFrame) -> DataFrame:
         outputMode="update",
         timeMode="ProcessingTime",
     )
+
+
+def _keeper(ordinals: list[str], newest: list[str]) -> StatefulProcessor:
+    """Built here so that it travels with its code to Spark's stream runner."""
+    life_ms = STATE_MINUTES * 60_000
+    words_of = re.compile(r"\s+")
+
+    class Keeper(StatefulProcessor):
+        """State, names, ordinals and aliases of one session; they end together."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.early = handle.getListState("early", "ms bigint, event_id bigint, state string, file_name string, spoken string")
+            self.life = handle.getValueState("life", "state string, began bigint, changed bigint, names int")
+            self.names = handle.getMapState("names", "file_name string", "ordinal int")
+            self.aliases = handle.getMapState("aliases", "alias string", "file_name string")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows), ignore_index=True)
+            if pd.isna(key[0]):
+                return  # a filter of such rows would be moved below the watermark
+            now = timerValues.getCurrentWatermarkInMs()
+            late = batch["ms"] < now
+            early = batch[~late]
+            if len(early):
+                columns = ["ms", "event_id", "state", "file_name", "spoken"]
+                self.early.appendList([(int(m), int(e), *rest) for m, e, *rest in early[columns].itertuples(index=False)])
+                self.handle.registerTimer(int(early["ms"].min()))
+            for ms, state, name in batch.loc[late, ["ms", "state", "file_name"]].itertuples(index=False):
+                yield self.row(key, state, int(ms), int(ms), 0, {}, "late", name)
+
+        def row(self, key, state, began, changed, names, aliases, kind, name=None) -> pd.DataFrame:
+            pairs = [{"alias": a, "file_name": f} for a, f in sorted(aliases.items())]
+            return pd.DataFrame({
+                "session_id": [key[0]], "state": [state], "began": [began], "changed": [changed], "names": [names],
+                "aliases": [pairs], "kind": [kind], "file_name": [name],
+            })
+
+        def spoken_for(self) -> dict[str, str]:
+            return {a: f for (a,), (f,) in self.aliases.iterator()}
+
+        def end(self, key) -> pd.DataFrame:
+            state, began, changed, names = self.life.get()
+            out = self.row(key, state, began, changed, names, self.spoken_for(), "ended")
+            self.life.clear()
+            self.names.clear()
+            self.aliases.clear()
+            return out
+
+        def apply(self, ms: int, state: str, name: str | None, spoken: str | None) -> None:
+            _, began, _, count = self.life.get() if self.life.exists() else (None, ms, None, 0)
+            if name is not None and name.strip():
+                if not self.names.containsKey((name,)):
+                    count += 1
+                    self.names.updateValue((name,), (count,))
+                    if count <= len(ordinals):
+                        self.aliases.updateValue((ordinals[count - 1],), (name,))
+                for word in [*newest, *(w for w in words_of.split(spoken or "") if w)]:
+                    self.aliases.updateValue((word,), (name,))
+            self.life.update((state, began, ms, count))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            now = timerValues.getCurrentWatermarkInMs()
+            held = sorted(self.early.get(), key=lambda e: (e[0], e[1])) if self.early.exists() else []
+            due = [e for e in held if e[0] < now]
+            for ms, _, state, name, spoken in due:
+                if self.life.exists() and ms - self.life.get()[2] >= life_ms:
+                    yield self.end(key)
+                self.apply(ms, state, name, spoken)
+            if due:
+                rest = held[len(due) :]
+                self.early.put(rest) if rest else self.early.clear()
+                if rest:
+                    self.handle.registerTimer(rest[0][0])
+            if not self.life.exists():
+                return
+            state, began, changed, names = self.life.get()
+            if changed + life_ms < now:
+                yield self.end(key)
+            elif due:
+                self.handle.registerTimer(changed + life_ms)
+                yield self.row(key, state, began, changed, names, self.spoken_for(), "live")
+
+        def close(self) -> None:
+            pass
+
+    return Keeper()
+
+
+def session_lives(events: DataFrame, delay: str = "1 minute") -> DataFrame:
+    """Upload state of sessions with their names and aliases, from a stream in any order.
+
+    ``events`` has session_id, ts, event_id, state and file_name. Events are
+    held until the newest row is ``delay`` ahead and then applied in order of
+    time, so the order of arrival does not matter. A name gets the next ordinal
+    word at its first upload in a life, and the newest words and its own words
+    again at every upload. A life ends by event time, five minutes after its
+    last event. Rows: kind ``live`` after events were applied, ``ended`` once a
+    life, with its final state, and ``late`` for an event that came after its
+    time was settled; that one changes nothing but is not lost. Rows with a null
+    session only move the time on. Needs the RocksDB state store.
+    """
+    session = events.schema["session_id"].dataType.simpleString()
+    # A plain number: Spark's own filter of late rows finds no event time.
+    timed = events.withWatermark("ts", delay).select(
+        "session_id", F.unix_millis("ts").alias("ms"), F.col("event_id").cast("bigint").alias("event_id"), "state", "file_name",
+        normalize_source_name(F.col("file_name")).alias("spoken"),
+    )
+    return (
+        timed.groupBy("session_id")
+        .transformWithStateInPandas(
+            statefulProcessor=_keeper(ORDINALS, NEWEST),
+            outputStructType=f"session_id {session}, state string, began bigint, changed bigint, names int, "
+            "aliases array<struct<alias string, file_name string>>, kind string, file_name string",
+            outputMode="append",
+            timeMode="EventTime",
+        )
+        .withColumns({"began": F.timestamp_millis("began"), "changed": F.timestamp_millis("changed")})
+    )

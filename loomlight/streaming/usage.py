@@ -1,37 +1,99 @@
-"""Daily counters from a stream of job outcomes."""
+"""Daily counters and visits from streams whose rows may come at any time."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+DAY_MS = 86_400_000
 
 
-def daily_counters(outcomes: DataFrame, late: str = "1 hour") -> DataFrame:
+def daily_counters(outcomes: DataFrame) -> DataFrame:
     """Running counters per day from (ts, kind, succeeded, tokens, duration_ms).
 
-    Documents and exports count on success, chats once generated. Run it in
-    update mode; a day's state goes when the watermark has passed the day.
+    Documents and exports count on success, chats once generated. The state is
+    one row a day, so no day is ever closed and a row counts however late it
+    comes. Run it in update mode; ``sources.manifest.upsert_rows`` keeps the newest row of
+    each day.
     """
     chat = (F.col("kind") == "chat") & F.col("succeeded")
-    day = F.window("ts", "1 day")
-    return (
-        outcomes.withWatermark("ts", late)
-        .groupBy(day.alias("day"))
-        .agg(
-            F.count_if(chat).alias("chat_requests"),
-            F.count_if((F.col("kind") == "document") & F.col("succeeded")).alias(
-                "documents_uploaded"
-            ),
-            F.count_if((F.col("kind") == "export") & F.col("succeeded")).alias("pdf_exports"),
-            F.sum(F.when(chat, F.col("tokens")).otherwise(0)).alias("tokens_generated"),
-            F.avg(F.when(chat, F.col("duration_ms"))).alias("avg_response_ms"),
-        )
-        .withColumn("date", F.to_date(F.col("day.start")))
-        .drop("day")
+    return outcomes.groupBy(F.to_date("ts").alias("date")).agg(
+        F.count_if(chat).alias("chat_requests"),
+        F.count_if((F.col("kind") == "document") & F.col("succeeded")).alias("documents_uploaded"),
+        F.count_if((F.col("kind") == "export") & F.col("succeeded")).alias("pdf_exports"),
+        F.sum(F.when(chat, F.col("tokens")).otherwise(0)).alias("tokens_generated"),
+        F.avg(F.when(chat, F.col("duration_ms"))).alias("avg_response_ms"),
     )
 
 
-def first_visits(visits: DataFrame, late: str = "1 day") -> DataFrame:
-    """The first visit per (date, user) of a stream; counting them gives daily visitors."""
-    dated = visits.withColumn("date", F.to_date("ts")).withWatermark("ts", late)
-    return dated.dropDuplicatesWithinWatermark(["date", "user_id"])
+def _earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One visit per (date, user) of each batch, so that a busy user costs a task few rows."""
+    for batch in batches:
+        yield batch.sort_values("ts", kind="stable").drop_duplicates(["date", "user_id"])
+
+
+def _visitor(retention_ms: int) -> StatefulProcessor:
+    """Built here so that it travels with its code to Spark's stream runner."""
+
+    class Visitor(StatefulProcessor):
+        """Whether one user was seen on one day; forgotten once the day is past retention."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.seen = handle.getValueState("seen", "seen boolean")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows), ignore_index=True)
+            if self.seen.exists() or batch.empty:
+                return
+            day_end = int(pd.Timestamp(key[0]).value // 1_000_000) + DAY_MS
+            past = day_end + retention_ms <= timerValues.getCurrentWatermarkInMs()
+            if not past:
+                self.seen.update((True,))
+                self.handle.registerTimer(day_end + retention_ms)
+            yield batch.nsmallest(1, "ts").assign(past_retention=past)[["date", "user_id", "ts", "past_retention"]]
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            self.seen.clear()
+            return iter(())
+
+        def close(self) -> None:
+            pass
+
+    return Visitor()
+
+
+def first_visits(visits: DataFrame, retention: str = "30 days", late: str = "1 hour") -> DataFrame:
+    """(date, user_id, ts, past_retention): visits that find no earlier one of their user and day.
+
+    State is kept per (date, user) and leaves by event time, ``retention`` after
+    the day, as seen from the newest row less ``late``. A visit that comes later
+    still is not dropped: nobody remembers whether its user was seen, so it is
+    given with ``past_retention`` set. ``daily_visitors`` counts both right.
+    Needs the RocksDB state store.
+    """
+    user = visits.schema["user_id"].dataType.simpleString()
+    # A pandas function gives plain columns: Spark's own filter of late rows finds no event time.
+    dated = visits.withWatermark("ts", late).select(F.to_date("ts").alias("date"), "user_id", "ts")
+    thinned = dated.mapInPandas(_earliest, f"date date, user_id {user}, ts timestamp")
+    return thinned.groupBy("date", "user_id").transformWithStateInPandas(
+        statefulProcessor=_visitor(int(pd.Timedelta(retention).total_seconds() * 1000)),
+        outputStructType=f"date date, user_id {user}, ts timestamp, past_retention boolean",
+        outputMode="append",
+        timeMode="EventTime",
+    )
+
+
+def split_by_retention(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(first visits, the side table of visits past retention)."""
+    rows = firsts.drop("past_retention")
+    return rows.filter(~firsts.past_retention), rows.filter(firsts.past_retention)
+
+
+def daily_visitors(firsts: DataFrame) -> DataFrame:
+    """Visitors per day, each once, whether their visit was in time or past retention."""
+    return firsts.select("date", "user_id").distinct().groupBy("date").agg(F.count(F.lit(1)).alias("unique_visitors"))

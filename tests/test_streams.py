@@ -1,10 +1,14 @@
 import json
 import time
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
+from loomlight import lineage
+from loomlight.plans.ingest import ingest as plan_ingest
+from loomlight.sources import manifest, writers
 from loomlight.streaming import ingest, jobs, tokens, uploads, usage
 
 START = datetime(2024, 1, 1)
@@ -233,4 +237,177 @@ def test_streamed_ingestion_twice_adds_nothing(spark, tmp_path):
     for run in ("a", "b"):
         source = stream(spark, tmp_path / "in", layout)
         ingest.ingest_stream(source, table, f"twice-{run}-{tmp_path.name}").awaitTermination()
-    assert spark.read.parquet(table).count() == 1
+    assert ingest.read_chunks(spark, table).count() == 1
+
+
+def test_known_content_moves_to_the_newest_session(spark, tmp_path):
+    layout = (
+        "doc_id bigint, session_id bigint, uploaded_at timestamp, file_name string, source_type string, "
+        "image_url string, source_url string, text string"
+    )
+
+    def rows(*uploads):
+        return spark.createDataFrame(
+            [(d, s, at(m), f"{d}.txt", "TEXT", None, None, text) for d, s, m, text in uploads], layout
+        )
+
+    first = rows((1, 1, 1, "shared text"), (2, 2, 2, "only here"), (3, 3, 3, "older copy"))
+    second = rows((4, 4, 4, "shared  text"), (5, 5, 0, "older copy"), (6, 6, 6, "fresh"), (7, 7, 7, "fresh"))
+    table = str(tmp_path / "chunks")
+    assert ingest.ingest_batch(first, table, 0)
+    kept = ingest.manifest.load(spark, table)
+    assert ingest.ingest_batch(second, table, 1) and not ingest.ingest_batch(second, table, 1)
+    got = {r.content: (r.session_id, r.original_file_name) for r in ingest.read_chunks(spark, table).collect()}
+    both, _ = plan_ingest(first.unionByName(second.filter("doc_id <> 5")))
+    assert got == {r.content: (r.session_id, r.original_file_name) for r in both.collect()}
+    assert got["shared text"] == (4, "1.txt") and got["older copy"] == (3, "3.txt")
+    # Only the bucket of the moved content was written anew.
+    now = ingest.manifest.load(spark, table)
+    assert sum(now.folders.get(b) != f for b, f in kept.folders.items()) == 1
+    assert not list((tmp_path / "chunks").glob("**/batch-*"))
+
+
+def test_records_are_logged_once(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(i, f"v{i}") for i in range(20)], "vector_id int, value string")
+    for _ in range(2):
+        writers.upsert_records(rows, path, 0)
+    assert manifest.read_table(spark, path).count() == 20
+    writers.upsert_records(rows.filter("vector_id < 5").withColumn("value", F.lit("new")), path, 0, writer="other")
+    writers.delete_records(rows.filter("vector_id >= 15"), path, 1)
+
+    def state():
+        return {r.vector_id: r.value for r in writers.read_records(spark, path).collect()}
+
+    want = {i: "new" if i < 5 else f"v{i}" for i in range(15)}
+    assert state() == want
+    assert manifest.compact(spark, path, "vector_id") and state() == want
+    assert manifest.read_table(spark, path).count() == 15
+    assert manifest.remove_unreferenced(spark, path) and state() == want
+    assert manifest.remove_unreferenced(spark, path) == []
+    writers.upsert_records(rows.filter("vector_id = 19"), path, 2)
+    assert state() == want | {19: "v19"}
+
+
+def test_a_conflicting_batch_changes_nothing(spark, tmp_path):
+    path = str(tmp_path / "log")
+    rows = spark.createDataFrame([(1, "a")], "vector_id int, value string")
+    assert writers.read_records(spark, path) is None
+    before = manifest.load(spark, path)
+    assert writers.upsert_records(rows, path, 0)
+    with pytest.raises(manifest.Conflict):
+        manifest.write_batch(rows, path, F.lit("0"), "late", 0, at=before)
+    assert manifest.load(spark, path).number == 1 and writers.read_records(spark, path).count() == 1
+
+
+def test_tables_written_inside_a_scope_go(spark):
+    with lineage.tables_removed_after(spark):
+        inside = lineage.materialize(spark.range(3), "inside")
+        path = inside.inputFiles()[0]
+        assert inside.count() == 3
+    outside = lineage.materialize(spark.range(3), "outside")
+    assert not Path(path.removeprefix("file://")).exists() and outside.count() == 3
+
+
+def test_answers_wait_for_missing_tokens(spark, tmp_path):
+    names = ["message_id", "seq", "event", "data"]
+    late = [(1, 1, "message", "a"), (1, 3, "message", "c"), (1, 4, "done", ""), (1, 2, "message", "b")]
+    again = [(2, 3, "done", ""), (2, 1, "message", "x"), (2, 1, "message", "x"), (2, 2, "error", "oops")]
+    after = [(1, 2, "message", "b"), (1, 5, "message", "stray"), (3, 1, "message", "open"), (3, 3, "done", "")]
+    for i, event in enumerate([*late, *again, *after]):
+        write(tmp_path / "tokens", f"{i:02d}", [dict(zip(names, event))])
+        time.sleep(0.02)
+    out = jobs.finish(tokens.assemble_stream(stream(spark, tmp_path / "tokens", TOKENS)), "gaps")
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "abc", "COMPLETED"), (2, "x", "FAILED")]
+
+
+def run_until(spark, frame, name, done):
+    running = frame.writeStream.format("memory").queryName(name).outputMode("append").start()
+    try:
+        deadline = time.time() + 90
+        while time.time() < deadline and not done(spark.table(name).collect()):
+            time.sleep(0.5)
+        return spark.table(name).collect()
+    finally:
+        running.stop()
+
+
+def test_missing_tokens_are_not_waited_for_for_ever(spark, tmp_path):
+    names = ["message_id", "seq", "event", "data"]
+    events = [(1, 1, "message", "a"), (1, 3, "message", "c"), (1, 4, "done", "")]
+    write(tmp_path / "tokens", "0", [dict(zip(names, e)) for e in events])
+    answers = tokens.assemble_stream(stream(spark, tmp_path / "tokens", TOKENS), expire=True, wait="2 seconds")
+    got = run_until(spark, answers, "incomplete", len)
+    assert [tuple(r) for r in got] == [(1, "ac", "INCOMPLETE")]
+
+
+def test_visits_past_retention_go_to_the_side(spark, tmp_path):
+    day = 24 * 60
+    for i, (user, minute) in enumerate([(1, 0), (2, 9 * day), (1, 5), (3, 9 * day), (1, 10), (2, 9 * day + 1)]):
+        write(tmp_path / "visits", f"{i}", [{"user_id": user, "ts": at(minute)}])
+        time.sleep(0.02)
+    visits = stream(spark, tmp_path / "visits", "ts timestamp, user_id int")
+    rows = jobs.finish(usage.first_visits(visits, retention="2 days"), "retention")
+    firsts, side = usage.split_by_retention(rows)
+    assert sorted(r.user_id for r in firsts.collect()) == [1, 2, 3]
+    # The first of user 1's late visits may still meet the state that its arrival ends.
+    assert {r.user_id for r in side.collect()} == {1}
+    counted = {r.date.day: r.unique_visitors for r in usage.daily_visitors(rows).collect()}
+    assert counted == {1: 1, 10: 2}
+    whole = jobs.finish(usage.first_visits(visits, retention="30 days"), "whole")
+    assert whole.count() == 3 and whole.filter("past_retention").isEmpty()
+
+
+def test_streamed_gate(spark, tmp_path):
+    states = [
+        (1, 9, "EMBEDDING"), (1, 11, "READY"), (1, 11.5, "READY"),
+        (2, 9, "INGESTING"), (2, 12.5, "READY"),  # too late
+        (3, 8, "EMBEDDING"), (3, 9, "READY"),  # ready before the question
+        (4, 4, "EMBEDDING"),  # forgotten
+        (5, 9.5, "INGESTING"), (5, 9.9, "FAILED"),  # the second comes in the last batch
+        (7, 10, "EMBEDDING"), (7, 12, "READY"),  # both at the edge
+    ]
+    asked = [(1, 1), (2, 2), (3, 3), (4, 4), (5, 5), (6, 6), (7, 7)]
+    rows = [{"session_id": s, "ts": at(m), "event_id": i, "state": k} for i, (s, m, k) in enumerate(states)]
+    rows += [{"session_id": s, "ts": at(10), "message_id": m} for m, s in asked]
+    order = [rows[i] for i in (1, 4, 12, 6, 8, 13, 14, 15, 16, 17, 18, 0, 2, 3, 5, 7, 10, 11, 9)]
+    for i in range(0, len(order), 5):
+        write(tmp_path / "log", f"{i:02d}", order[i : i + 5])
+        time.sleep(0.02)
+    write(tmp_path / "log", "98", [{"ts": at(60)}])
+    time.sleep(0.02)
+    write(tmp_path / "log", "99", [{"session_id": 1, "ts": at(10), "message_id": 99}])
+    log = stream(spark, tmp_path / "log", "session_id int, ts timestamp, event_id int, state string, message_id int")
+    answers = log.filter("state is null").select("message_id", "session_id", F.col("ts").alias("asked_at"))
+    decided = jobs.gate_stream(answers, log.filter("state is not null"), delay="10 minutes")
+    out = jobs.finish(decided, "gate").collect()
+    got = {r.message_id: (r.ready_at, r.still_indexing) for r in out}
+    none = (None, False)
+    late = [r.message_id for r in out if r.late]
+    assert late == [99] and len(out) == 8
+    del got[99]
+    assert got == {1: (at(11), False), 2: (None, True), 3: none, 4: none, 5: none, 6: none, 7: (at(12), False)}
+
+
+def test_session_lives(spark, tmp_path):
+    rows = [
+        (1, 1, 0, "EMBEDDING", "Notes_a.txt"), (1, 2, 1, "INGESTING", "b.pdf"), (1, 3, 2, "READY", "Notes_a.txt"),
+        (1, 4, 2, "READY", " "), (1, 5, 10, "UPLOADING", "c.png"), (2, 6, 3, "FAILED", None),
+    ]
+    names = ["session_id", "event_id", "ts", "state", "file_name"]
+    order = [rows[i] for i in (4, 2, 0, 3, 5, 1)]
+    for i, (s, e, m, k, f) in enumerate(order):
+        write(tmp_path / "up", f"{i}", [dict(zip(names, (s, e, at(m), k, f)))])
+        time.sleep(0.02)
+    write(tmp_path / "up", "8", [{"ts": at(90)}])
+    time.sleep(0.02)
+    write(tmp_path / "up", "9", [dict(zip(names, (2, 9, at(1), "READY", "late.txt")))])
+    lives = jobs.finish(uploads.session_lives(stream(spark, tmp_path / "up", UPLOADS), "20 minutes"), "lives").collect()
+    ended = {(r.session_id, r.began): r for r in lives if r.kind == "ended"}
+    assert set(ended) == {(1, at(0)), (1, at(10)), (2, at(3))}
+    first = ended[1, at(0)]
+    assert (first.state, first.names, first.changed) == ("READY", 2, at(2))
+    words = {a.alias: a.file_name for a in first.aliases}
+    assert (words["first"], words["second"], words["latest"], words["notes"]) == ("Notes_a.txt", "b.pdf", "Notes_a.txt", "Notes_a.txt")
+    assert ended[1, at(10)].names == 1 and ended[2, at(3)].names == 0
+    assert [(r.session_id, r.file_name) for r in lives if r.kind == "late"] == [(2, "late.txt")]
