@@ -120,7 +120,9 @@ def build_shards(vocabulary: DataFrame, shard_terms: int = SHARD_TERMS) -> DataF
         return pd.DataFrame({"lang": [key[0]], "shard": [key[1]], "shards": [key[2]], "n": [len(table)], "packed": [packed]})
 
     schema = "lang string, shard int, shards int, n bigint, packed binary"
-    shards = materialize(dealt.groupBy("lang", "shard", "shards").applyInPandas(build, schema), "shards")
+    # Dealt by shard: what a join dealt by language would keep a language in one task.
+    by_shard = dealt.repartition("lang", "shard").groupBy("lang", "shard", "shards")
+    shards = materialize(by_shard.applyInPandas(build, schema), "shards")
     # A row per shard only, of tens of thousands of terms each.
     earlier = Window.partitionBy("lang").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.orderBy("lang", "shard").rowsBetween(Window.unboundedPreceding, -1)
@@ -346,7 +348,7 @@ def _pairs(groups: DataFrame, counts: DataFrame) -> DataFrame:
     value = ["source", "total", "width", "place", "n"]
     left = rows.select("lang", "block", F.col("tile").alias("a"), every.alias("b"), F.lit(0).alias("side"), *value)
     right = rows.select("lang", "block", every.alias("a"), F.col("tile").alias("b"), F.lit(1).alias("side"), *value)
-    parts = left.unionByName(right).groupBy("lang", "block", "a", "b")
+    parts = left.unionByName(right).repartition("lang", "block", "a", "b").groupBy("lang", "block", "a", "b")
     compared = parts.applyInPandas(_compare, "lang string, source string, item string, value bigint")
     return compared.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
