@@ -38,7 +38,8 @@ SHARD_TERMS = 1 << 15
 ROUND_BYTES = 64 << 20
 BLOCK_TERMS = 2048
 BLOCK_SOURCES = 256
-DENSE_BYTES = 32 << 20  # slots a task holds before it gives them on
+DENSE_BYTES = 96 << 20  # slots a task holds before it gives them on, of four bytes each
+MOST_COUNTED = 1 << 30  # terms between two such times
 
 _LETTER = np.zeros(256, bool)
 _LETTER[65:91] = _LETTER[97:123] = _LETTER[128:] = True
@@ -175,7 +176,7 @@ def _increment(tables):
         lowest = {lang: min(first for first, _ in own.values()) for lang, (_, own) in langs.items()}
         length = {lang: max(first + len(h) for first, h in own.values()) - lowest[lang] for lang, (_, own) in langs.items()}
         dense: dict[tuple[str, str], np.ndarray] = {}
-        held = 0
+        held = counted = 0
 
         def given() -> Iterator[pa.RecordBatch]:
             for (lang, source), row in dense.items():
@@ -189,7 +190,7 @@ def _increment(tables):
                                 pa.array([source] * len(mine), pa.string()),
                                 pa.array(mine + lowest[lang]),
                                 table.keys.take(pa.array(mine + lowest[lang] - first)),
-                                pa.array(row[mine]),
+                                pa.array(row[mine].astype(np.int64)),
                             ],
                             names=["lang", "source", "slot", "term", "n"],
                         )
@@ -210,13 +211,15 @@ def _increment(tables):
                     slots = slots[slots >= 0] - lowest[lang]
                     if not len(slots):
                         continue
-                    if (lang, source) not in dense:
-                        if dense and held + 8 * length[lang] > DENSE_BYTES:
-                            yield from given()
-                            held = 0
-                        dense[lang, source] = np.zeros(length[lang], np.int64)
-                        held += 8 * length[lang]
-                    dense[lang, source] += np.bincount(slots, minlength=length[lang])
+                    new = 0 if (lang, source) in dense else 4 * length[lang]
+                    if dense and (held + new > DENSE_BYTES or counted + len(slots) > MOST_COUNTED):
+                        yield from given()
+                        held, counted, new = 0, 0, 4 * length[lang]
+                    if new:
+                        dense[lang, source] = np.zeros(length[lang], np.int32)
+                        held += new
+                    counted += len(slots)
+                    np.add.at(dense[lang, source], slots, 1)
         yield from given()
 
     return run
