@@ -157,8 +157,7 @@ def page_index_rows(spark, folder):
       SELECT doc_id, source, lang, regexp_split_to_array(trim(regexp_replace(text, '\s+', ' ', 'g')), ' ') AS w
       FROM documents),
     v AS (
-      SELECT doc_id, source, lang, coalesce(regexp_replace(w[1], '[^a-zA-Z]', '', 'g'), '') AS a,
-             coalesce(regexp_replace(w[2], '[^a-zA-Z]', '', 'g'), '') AS b
+      SELECT doc_id, source, lang, list_transform(w, lambda x: regexp_replace(x, '[^a-zA-Z]', '', 'g')) AS c
       FROM w)
     SELECT doc_id, source || ':info1' AS semantic_id, 'INFOBOX' AS chunk_type,
       'Lead' AS section, 1 AS chunk_order,
@@ -166,7 +165,8 @@ def page_index_rows(spark, folder):
     UNION ALL
     SELECT doc_id, source || ':table1', 'WIKITABLE', 'Words > First', 2,
       '| Left | Right\|side |' || chr(10) || '|---|---|' || chr(10)
-        || '| x' || a || ' | y' || b || ' |' || chr(10) FROM v
+        || array_to_string(list_transform(range(1, len(c) + 1, 2),
+          lambda i: '| x' || c[i] || ' | y' || coalesce(c[i + 1], '') || ' |' || chr(10)), '') FROM v
     UNION ALL
     SELECT doc_id, source || ':img1', 'IMAGE', 'Figures', 3,
       'Image Caption: ' || CASE WHEN doc_id % 2 = 0 THEN 'Picture of ' || source
@@ -175,19 +175,23 @@ def page_index_rows(spark, folder):
 def page_tables_and_figures(spark, folder):
     docs = t.documents(spark, folder)
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    cell = [
-        F.coalesce(F.regexp_replace(F.get(words, F.lit(i)), "[^a-zA-Z]", ""), F.lit(""))
-        for i in (0, 1)
-    ]
+    cells = F.transform(words, lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
+    # One row of the table per two words of the whole text.
+    lines = F.transform(
+        F.sequence(F.lit(0), F.size(cells) - 1, F.lit(2)),
+        lambda i: F.concat(
+            F.lit("<tr><td>x"), F.get(cells, i), F.lit("<td>y"), F.coalesce(F.get(cells, i + 1), F.lit(""))
+        ),
+    )
     html = F.format_string(
         "<table class='big infobox'><tr><th>Source<td>%s<tr><th>Language</th><td> %s</td></tr>"
         "<tr><td>lonely</td></tr></table><h2>Words</h2><h3>First</h3>"
         "<table class=wikitable><tr><th>Left</th><th>Right|side</th></tr>"
-        "<tr><td>x%s<td>y%s</table><h2>Figures</h2>"
+        "%s</table><h2>Figures</h2>"
         "<figure><img src='//a/b.png' alt=''>%s</figure><p>too short</p>",
         F.col("source"),
         F.col("lang"),
-        *cell,
+        F.array_join(lines, ""),
         F.when(
             F.col("doc_id") % 2 == 0,
             F.concat(F.lit("<figcaption>Picture of <b>"), "source", F.lit("</b></figcaption>")),

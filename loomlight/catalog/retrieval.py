@@ -165,25 +165,40 @@ def keyword_search(spark, folder):
     return found.withColumn("density", F.round("density", 6))
 
 
-# Short questions, so that many chunks match: the first words of every message.
+# Short questions, so that many chunks match: every message in runs of three words.
+SHORT_SQL = r"""message_words AS (
+  SELECT conv_id * 1000 + turn AS message_id,
+    list_filter(regexp_split_to_array(lower(text), '\W+'), lambda x: length(x) > 1) AS w
+  FROM conversations),
+starts AS (SELECT message_id, w, unnest(range(0, len(w), 3)) AS i FROM message_words),
+questions AS (
+  SELECT message_id || '-' || i AS plan_id, array_to_string(w[i + 1 : i + 3], ' ') AS query_text FROM starts)"""
+
+
+def short_questions(spark, folder):
+    words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) > 1)
+    said = t.table(spark, folder, "conversations").select(
+        (F.col("conv_id") * 1000 + F.col("turn")).alias("message_id"), words.alias("w")
+    )
+    starts = F.sequence(F.lit(0), F.size("w") - 1, F.lit(3))
+    runs = said.filter(F.size("w") > 0).withColumn("i", F.explode(starts))
+    return runs.select(
+        F.concat_ws("-", "message_id", "i").alias("plan_id"),
+        F.array_join(F.slice("w", F.col("i") + 1, F.lit(3)), " ").alias("query_text"),
+    )
+
+
 @query(
     "J7",
-    sql=rf"""
-    WITH RECURSIVE {t.CHUNKS_SQL}, questions AS (
-      SELECT (conv_id * 1000 + turn)::VARCHAR AS plan_id,
-        array_to_string(list_filter(regexp_split_to_array(lower(text), '\W+'),
-          lambda x: length(x) > 1)[1:3], ' ') AS query_text
-      FROM conversations), {LEXICAL_SQL}
+    sql=f"""
+    WITH RECURSIVE {t.CHUNKS_SQL}, {SHORT_SQL}, {LEXICAL_SQL}
     SELECT plan_id, vector_id, round(density, 6) AS density, rank::INTEGER AS rank
     FROM lexical""",
 )
 def keyword_search_short(spark, folder):
-    words = F.filter(F.split(F.lower("text"), r"\W+"), lambda w: F.length(w) > 1)
-    asked = t.table(spark, folder, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).cast("string").alias("plan_id"),
-        F.array_join(F.slice(words, 1, 3), " ").alias("query_text"),
+    found = keyword_matches(
+        short_questions(spark, folder), t.chunks(spark, folder), 15, "plan_id", "query_text"
     )
-    found = keyword_matches(asked, t.chunks(spark, folder), 15, "plan_id", "query_text")
     return found.withColumn("density", F.round("density", 6))
 
 
@@ -809,9 +824,9 @@ plans AS (
          WHEN broken THEN 'Fallback Plan' WHEN about THEN 'BOT_QA' ELSE 'find' END AS purpose,
     CASE WHEN fast THEN clean
          WHEN broken THEN CASE WHEN regexp_matches(question, '\S') THEN question ELSE clean END
-         WHEN regexp_matches(array_to_string(w[1:5], ' '), '\S') THEN array_to_string(w[1:5], ' ')
+         WHEN regexp_matches(array_to_string(w, ' '), '\S') THEN array_to_string(w, ' ')
          ELSE clean END AS optimized_query,
-    CASE WHEN fast OR broken THEN '' ELSE w[1] || '.pdf' END AS targets,
+    CASE WHEN fast OR broken THEN '' ELSE array_to_string(list_transform(w, lambda x: x || '.pdf'), ',') END AS targets,
     CASE WHEN fast OR (about AND NOT broken) THEN 'WHOLE_DOCUMENT' ELSE 'RANKED_RETRIEVAL' END AS mode,
     CASE WHEN fast OR (about AND NOT broken) THEN 'NONE'
          WHEN file IS NOT NULL AND regexp_matches(clean,
@@ -987,19 +1002,36 @@ def resolved_citations(spark, folder):
         CASE WHEN merge_op = 'COMPARE' THEN min(position) OVER (PARTITION BY request_id,
           coalesce(purpose, 'General Retrieval')) END AS group_first
       FROM evidence),
+    ranked AS (
+      SELECT request_id, source_name, content,
+        row_number() OVER (PARTITION BY request_id ORDER BY position) AS no
+      FROM evidence WHERE source_type = 'IMAGE'),
+    shown AS (
+      SELECT request_id, no, CASE WHEN no = 1 THEN '=== Visual Evidence ===' || chr(10) ELSE '' END
+        || 'Image ' || no || ' (shown above)' || chr(10) || 'Display Title: '
+        || CASE WHEN regexp_matches(content, '^[^\n]*\]') OR NOT contains(content, chr(10))
+          THEN upper(substr(source_name, 1, 1)) || substr(source_name, 2)
+          ELSE 'Image from ' || source_name END || chr(10)
+        || 'Details: [Summary: This image of ' || source_name || '. ' || content || ']'
+        || chr(10) || chr(10) AS block
+      FROM ranked WHERE no <= 3),
+    shifts AS (SELECT request_id, count(*) AS shift FROM shown GROUP BY 1),
     numbered AS (
       SELECT *, row_number() OVER (PARTITION BY request_id
         ORDER BY coalesce(group_first, 0), position) AS no FROM placed),
-    blocks AS (
-      SELECT request_id, no, (no - 1) // 60 AS segment_no,
+    texts AS (
+      SELECT request_id, no + coalesce(shift, 0) AS place,
         CASE WHEN no = 1 THEN '=== Text Evidence ===' || chr(10) ELSE '' END
         || CASE WHEN position = group_first THEN '--- Evidence for: ' || part || ' ---' || chr(10)
                 ELSE '' END
         || '<CITATION id="' || no || '">' || chr(10) || 'Source: ' || source_name || ' | Type: '
         || source_type || chr(10) || content || chr(10) || '</CITATION>' || chr(10) || chr(10)
-          AS block FROM numbered),
+          AS block FROM numbered LEFT JOIN shifts USING (request_id)),
+    blocks AS (
+      SELECT request_id, place, (place - 1) // 60 AS segment_no, block FROM texts
+      UNION ALL SELECT request_id, no, 0, block FROM shown),
     joined AS (
-      SELECT request_id, segment_no, string_agg(block, '' ORDER BY no) AS text
+      SELECT request_id, segment_no, string_agg(block, '' ORDER BY place) AS text
       FROM blocks GROUP BY request_id, segment_no),
     marked AS (
       SELECT *, segment_no = max(segment_no) OVER (PARTITION BY request_id) AS is_last FROM joined)
@@ -1012,7 +1044,7 @@ def resolved_citations(spark, folder):
     WHERE conv_id NOT IN (SELECT request_id FROM evidence)""",
 )
 def context_blocks(spark, folder):
-    """Context of every session from its uploads; sessions without any say so."""
+    """Context of every session from its uploads, its first three images shown; sessions without any say so."""
     evidence = ag.upload_evidence(spark, folder)
     requests = (
         t.sessions(spark, folder)
@@ -1020,8 +1052,9 @@ def context_blocks(spark, folder):
         .unionByName(evidence.select("request_id"))
         .distinct()
     )
-    none = evidence.limit(0).select(
-        "request_id", F.lit(0).alias("visual_rank"), F.lit("").alias("caption"), "source_name"
-    )
-    text = ev.context_blocks(requests, evidence, ev.stable_visuals(none))
+    images = evidence.filter("source_type = 'IMAGE'")
+    caption = F.concat(F.lit("[Summary: This image of "), "source_name", F.lit(". "), "content", F.lit("]"))
+    first = top_k(images, ["request_id"], [F.col("position")], 3, "visual_rank")
+    shown = first.select("request_id", "visual_rank", caption.alias("caption"), "source_name")
+    text = ev.context_blocks(requests, evidence, ev.stable_visuals(shown))
     return text.select("request_id", "segment_no", F.md5("text").alias("digest"))

@@ -254,8 +254,8 @@ def raw_answers(spark, folder):
     words = F.split("text", r"\s+")
     plan = F.struct(
         F.lit("find").alias("purpose"),
-        F.array_join(F.slice(words, 1, 5), " ").alias("optimized_query"),
-        F.array(F.concat(F.element_at(words, 1), F.lit(".pdf"))).alias("target_documents"),
+        F.array_join(words, " ").alias("optimized_query"),
+        F.transform(words, lambda w: F.concat(w, F.lit(".pdf"))).alias("target_documents"),
     )
     payload = F.to_json(
         F.struct(
@@ -290,8 +290,9 @@ def raw_answers(spark, folder):
     SELECT conv_id, turn, 'SINGLE_SOURCE' AS strategy,
       CASE WHEN turn = 6 THEN 'DIRECT' WHEN turn % 3 = 0 THEN 'decompose' END AS tier,
       CASE WHEN turn = 6 THEN 1 ELSE turn % 3 + 1 END AS plans,
-      CASE WHEN turn = 6 THEN text ELSE array_to_string(words[1:5], ' ') END AS first_query,
-      CASE WHEN turn = 6 THEN '' ELSE words[1] || '.pdf' END AS first_targets
+      CASE WHEN turn = 6 THEN text ELSE array_to_string(words, ' ') END AS first_query,
+      CASE WHEN turn = 6 THEN ''
+        ELSE array_to_string(list_transform(words, lambda x: x || '.pdf'), ',') END AS first_targets
     FROM w""",
 )
 def parse_routing(spark, folder):
@@ -454,15 +455,15 @@ def question_lines(spark, folder):
 IMAGE_SQL = r"""
     WITH d AS (
       SELECT doc_id, lang, source, text, regexp_split_to_array(text, '\s+') AS w,
-             'A detailed diagram showing ' || split_part(text, '.', 1) || '. More.' AS summary
+             'A detailed diagram showing ' || text || '. More.' AS summary
       FROM documents),
     i AS (
       SELECT doc_id, source, regexp_replace(array_to_string(list_filter([
           CASE WHEN lang <> 'en' THEN '[Image Type: ' || lang || ']' END,
           '[Summary: ' || summary || ']',
-          CASE WHEN len(w[1:2]) > 0 THEN '[Objects: ' || array_to_string(w[1:2], ', ') || ']' END,
-          CASE WHEN len(w[3:4]) > 0
-               THEN '[Relationships: ' || array_to_string(w[3:4], '; ') || ']' END,
+          '[Objects: ' || array_to_string(w, ', ') || ']',
+          CASE WHEN len(w) > 1 THEN '[Relationships: ' || array_to_string(
+            list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), '; ') || ']' END,
           '[Keywords: ' || source || ', ' || lang || ']'], lambda x: x IS NOT NULL), chr(10)),
           '^[\x00-\x20]+|[\x00-\x20]+$', '', 'g') AS caption
       FROM d)"""
@@ -473,15 +474,18 @@ def described_images(spark, folder):
     docs = t.documents(spark, folder)
     words = F.split("text", r"\s+")
     none = F.array().cast("array<string>")
-    summary = F.concat(
-        F.lit("A detailed diagram showing "), F.substring_index("text", ".", 1), F.lit(". More.")
+    summary = F.concat(F.lit("A detailed diagram showing "), "text", F.lit(". More."))
+    pairs = F.zip_with(
+        F.slice(words, F.lit(1), F.size(words) - 1),
+        F.slice(words, F.lit(2), F.size(words) - 1),
+        lambda a, b: F.concat_ws(" ", a, b),
     )
     image = F.struct(
         summary.alias("summary"),
         F.array("source", "lang").alias("keywords"),
         none.alias("technologies"),
-        F.slice(words, 1, 2).alias("objects"),
-        F.slice(words, 3, 2).alias("relationships"),
+        words.alias("objects"),
+        F.when(F.size(words) > 1, pairs).otherwise(none).alias("relationships"),
         F.lit(" ").alias("ocr"),
         F.when(F.col("lang") != "en", F.col("lang")).alias("image_type"),
     )
@@ -566,8 +570,8 @@ def excerpt_and_score(spark, folder):
 
 HEADED_SQL = r"""headed AS (
   SELECT doc_id, source AS page, text,
-    CASE WHEN doc_id % 2 = 0 THEN split_part(text, ' ', 1) END AS h2,
-    CASE WHEN doc_id % 3 = 0 THEN split_part(text, ' ', 2) END AS h3,
+    CASE WHEN doc_id % 2 = 0 THEN text END AS h2,
+    CASE WHEN doc_id % 3 = 0 THEN md5(text) END AS h3,
     CASE WHEN doc_id % 5 = 0 THEN lang END AS h4
   FROM documents),
 pathed AS (
@@ -576,14 +580,13 @@ pathed AS (
 
 
 def headed_documents(spark, folder):
-    words = F.split("text", " ", -1)
     doc = F.col("doc_id")
     return t.documents(spark, folder).select(
         "doc_id",
         F.col("source").alias("page"),
         "text",
-        F.when(doc % 2 == 0, F.get(words, F.lit(0))).alias("h2"),
-        F.when(doc % 3 == 0, F.coalesce(F.get(words, F.lit(1)), F.lit(""))).alias("h3"),
+        F.when(doc % 2 == 0, F.col("text")).alias("h2"),
+        F.when(doc % 3 == 0, F.md5("text")).alias("h3"),
         F.when(doc % 5 == 0, F.col("lang")).alias("h4"),
     )
 
