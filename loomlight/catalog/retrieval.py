@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -11,9 +12,10 @@ from loomlight.catalog import scalars as sc
 from loomlight.catalog import tables as t
 from loomlight.catalog.registry import query
 from loomlight.functions import intent
-from loomlight.lineage import materialize
+from loomlight.lineage import materialize, shared_folder
 from loomlight.operators import evidence as ev
 from loomlight.operators import fusion as fu
+from loomlight.operators import postings as po
 from loomlight.operators.dense import nearest_chunks
 from loomlight.operators.embedding import hashed_terms
 from loomlight.operators.lexical import best_matches, keyword_matches, keyword_scores
@@ -202,6 +204,42 @@ def keyword_search_short(spark, folder):
     return found.withColumn("density", F.round("density", 6))
 
 
+def indexed(spark, folder, analyzer="simple"):
+    """An index of all chunks, built in two batches, the first of them run twice."""
+    path = f"{shared_folder(spark)}/loomlight/index-{uuid.uuid4().hex}"
+    chunks = t.chunks(spark, folder)
+    odd = F.substring("content_hash", 1, 1).isin(*"13579bdf")
+    for number in (0, 0, 1):
+        po.add_postings(chunks.filter(odd if number else ~odd), path, number, analyzer=analyzer)
+    return path
+
+
+@query(
+    "J7",
+    "K1",
+    sql=f"""
+    WITH RECURSIVE {t.CHUNKS_SQL}, {t.QUESTIONS_SQL}, {LEXICAL_SQL}
+    SELECT plan_id, vector_id, round(density, 6) AS density, rank::INTEGER AS rank
+    FROM lexical""",
+)
+def postings_search(spark, folder):
+    """Keyword search over an index of the chunks."""
+    found = po.search(queries_of(spark, folder), indexed(spark, folder), 15, "plan_id", "query_text")
+    return found.withColumn("density", F.round("density", 6))
+
+
+@query(
+    "J7",
+    sql=f"""
+    WITH RECURSIVE {t.CHUNKS_SQL}, {SHORT_SQL}, {LEXICAL_SQL}
+    SELECT plan_id, vector_id, round(density, 6) AS density, rank::INTEGER AS rank
+    FROM lexical""",
+)
+def postings_search_short(spark, folder):
+    found = po.search(short_questions(spark, folder), indexed(spark, folder), 15, "plan_id", "query_text")
+    return found.withColumn("density", F.round("density", 6))
+
+
 @query("J7")
 def keyword_search_english(spark, folder):
     """The same with stop words dropped and words stemmed."""
@@ -1009,7 +1047,7 @@ def resolved_citations(spark, folder):
     shown AS (
       SELECT request_id, no, CASE WHEN no = 1 THEN '=== Visual Evidence ===' || chr(10) ELSE '' END
         || 'Image ' || no || ' (shown above)' || chr(10) || 'Display Title: '
-        || CASE WHEN regexp_matches(content, '^[^\n]*\]') OR NOT contains(content, chr(10))
+        || CASE WHEN regexp_matches(content, '^[^\n]*[]]') OR NOT contains(content, chr(10))
           THEN upper(substr(source_name, 1, 1)) || substr(source_name, 2)
           ELSE 'Image from ' || source_name END || chr(10)
         || 'Details: [Summary: This image of ' || source_name || '. ' || content || ']'

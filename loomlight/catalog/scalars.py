@@ -612,6 +612,14 @@ def section_content(spark, folder):
 
 GROUNDED = "Use the sources only.\n<inferenceDirective>\nEnd."
 GENERAL = "Answer from general knowledge."
+SEARCH_DIRECTIVE = "List the documents that fit."
+# Every strategy, one that is not known, and what each adds to the prompt.
+STRATEGIES = {
+    **prompts.DIRECTIVES,
+    "META_DOC_SEARCH": SEARCH_DIRECTIVE,
+    "SINGLE_SOURCE": prompts.LITERAL_DIRECTIVE,
+    "NO_SUCH_STRATEGY": prompts.LITERAL_DIRECTIVE,
+}
 
 
 @query(
@@ -630,14 +638,15 @@ GENERAL = "Answer from general knowledge."
         || CASE WHEN bare THEN '' ELSE lower(text) END
         || chr(10) || chr(10) || 'User Question:' || chr(10) || text AS prompt,
       CASE WHEN bare THEN 'Answer from general knowledge.'
-           ELSE 'Use the sources only.' || chr(10)
-             || 'Be literal. Extrapolate nothing. If the exact phrase or fact is missing, state that it is not present.'
+           ELSE 'Use the sources only.' || chr(10) || CASE item_id % {len(STRATEGIES)}
+             {" ".join(f"WHEN {i} THEN '{d}'" for i, d in enumerate(STRATEGIES.values()))} END
              || chr(10) || 'End.' END AS system
     FROM q""",
 )
 def prompt_assembly(spark, folder):
     item = F.col("item_id")
     bare = item % 3 == 0
+    strategies = F.array(*[F.lit(name) for name in STRATEGIES])
     files = F.when(item % 2 == 0, F.array(F.lit("a.pdf"), F.lit("b.pdf"))).otherwise(
         F.array().cast("array<string>")
     )
@@ -649,9 +658,9 @@ def prompt_assembly(spark, folder):
         prompts.user_prompt(
             F.col("text"), context, history, prompts.session_block(files, active)
         ).alias("prompt"),
-        prompts.system_prompt(bare, F.lit("SINGLE_SOURCE"), history, GROUNDED, GENERAL).alias(
-            "system"
-        ),
+        prompts.system_prompt(
+            bare, F.get(strategies, (item % len(STRATEGIES)).cast("int")), history, GROUNDED, GENERAL, SEARCH_DIRECTIVE
+        ).alias("system"),
     )
 
 

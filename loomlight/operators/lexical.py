@@ -89,7 +89,11 @@ def cover_density(lexeme_array: Column, terms: Column) -> Column:
             F.array_position(terms, term).cast("int").alias("slot"), place.alias("place")
         ),
     )
-    hits = F.filter(marked, lambda h: h["slot"] > 0)
+    return cover_of_hits(F.filter(marked, lambda h: h["slot"] > 0), F.size(terms))
+
+
+def cover_of_hits(hits: Column, n_terms: Column) -> Column:
+    """Cover density of hits, structs of a term's ``slot`` from 1 and its ``place``, in order of place."""
     numbered = F.transform(
         hits,
         lambda h, nth: F.struct(
@@ -98,7 +102,7 @@ def cover_density(lexeme_array: Column, terms: Column) -> Column:
     )
     unseen = F.struct(F.lit(-1).alias("place"), F.lit(-1).alias("nth"))
     start = F.struct(
-        F.transform(terms, lambda _: unseen).alias("last"),
+        F.transform(F.sequence(F.lit(1), n_terms), lambda _: unseen).alias("last"),
         F.lit(-1).alias("from"),
         F.lit(0.0).cast("double").alias("sum"),
     )

@@ -81,13 +81,14 @@ def write_batch(
     batch: int,
     replaced: Iterable[str] = (),
     at: Manifest | None = None,
+    spread: Column | None = None,
 ) -> bool:
     """Add rows to their buckets; ``replaced`` buckets hold only these rows from now on.
 
     Batches of one writer have growing numbers. False if this one is in the
     table already. ``at`` is the manifest that the rows were made from; if
     another batch was published since, ``Conflict`` is raised and nothing is
-    changed.
+    changed. ``spread`` deals the rows of a bucket to several tasks and files.
     """
     spark = rows.sparkSession
     now = load(spark, path) if at is None else at
@@ -95,7 +96,8 @@ def write_batch(
         return False
     folder = f"{writer}-{batch}-{uuid.uuid4().hex}"
     tagged = rows.withColumn("_bucket", bucket.cast("string"))
-    tagged.repartition("_bucket").write.partitionBy("_bucket").parquet(f"{path}/data/{folder}")
+    dealt = tagged.repartition("_bucket") if spread is None else tagged.repartition("_bucket", spread)
+    dealt.write.partitionBy("_bucket").parquet(f"{path}/data/{folder}")
     written = {n.split("=", 1)[1] for n in _names(spark, f"{path}/data/{folder}") if n.startswith("_bucket=")}
     gone = set(replaced)
     folders = {b: f for b, f in now.folders.items() if b not in gone}

@@ -1,13 +1,15 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomlight.operators import dense, lexical
+from loomlight.operators import dense, lexical, postings
 from loomlight.operators.dense import nearest_chunks
 from loomlight.operators.embedding import hashed_terms
 from loomlight.operators.evidence import citations, filter_to_relevant_sources
 from loomlight.operators.fusion import fuse_ranks, spread_sources
-from loomlight.operators.lexical import keyword_matches
+from loomlight.operators.lexical import keyword_matches, keyword_scores
 from loomlight.operators.ranking import match_names, rank_candidates
 from loomlight.operators.rerank import _pick, select_diverse
 from loomlight.ordering import number_rows, top_k
@@ -398,3 +400,28 @@ def test_iteration_follows_the_decider(spark, corpus):
     rounds = {(r.plan_id, r.iteration) for r in found.select("plan_id", "iteration").distinct().collect()}
     assert ("go", 2) in rounds and ("go", 3) in rounds
     assert {i for p, i in rounds if p == "stop"} == {1}
+
+
+def test_postings_give_what_keyword_search_gives(spark, tmp_path):
+    rng = random.Random(11)
+    words = "alpha beta gamma delta running runs the of epsilon ünï 42".split()
+    rows = [(f"c{i}", " ".join(rng.choices(words, k=rng.randint(0, 40)))) for i in range(120)]
+    rows += [("null", None), ("empty", "")]
+    chunks = spark.createDataFrame(rows, "vector_id string, content string")
+    asked = [(i, " ".join(rng.choices(words, k=rng.randint(2, 5)))) for i in range(30)] + [(99, "alpha beta missing")]
+    queries = spark.createDataFrame(asked, "query_id int, text string")
+    for analyzer in ("simple", "english"):
+        path = str(tmp_path / analyzer)
+        late = F.col("vector_id").endswith("7")
+        for number, part in ((0, chunks.filter(~late)), (0, chunks), (1, chunks.filter(late))):
+            postings.add_postings(part, path, number, analyzer=analyzer)
+        want = {(r.query_id, r.vector_id): r.density for r in keyword_scores(queries, chunks, analyzer=analyzer).collect()}
+        found = postings.search_scores(queries, path, analyzer=analyzer)
+        assert want and {(r.query_id, r.vector_id): r.density for r in found.collect()} == want
+        # The plan of the search holds the index and no chunk text.
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "content" not in plan
+        best = postings.search(queries, path, 3, analyzer=analyzer).groupBy("query_id").count().agg(F.max("count")).first()[0]
+        assert best <= 3
+    with pytest.raises(ValueError):
+        postings.search_scores(queries, str(tmp_path / "none"))
