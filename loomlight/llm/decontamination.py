@@ -168,9 +168,17 @@ def repetitions(items: list[np.ndarray], recall: float, share: float = EDIT_SHAR
     return count
 
 
-def window_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
-    """(least edit distance of the item to any run of the text, start, stop)."""
+def window_distance(item: np.ndarray, text: np.ndarray, limit: int | None = None) -> tuple[int, int, int]:
+    """(least edit distance of the item to any run of the text, start, stop).
+
+    With a ``limit`` it ends as soon as the distance is known to be above it,
+    and is then only said to be ``limit`` + 1.
+    """
     n, m = len(item), len(text)
+    beyond = (n if limit is None else limit) + 1
+    # Words of the item that the text lacks cost an edit each.
+    if limit is not None and n - int(np.isin(item, text).sum()) > limit:
+        return beyond, 0, 0
     cost = np.zeros(m + 1, np.int64)
     begin = np.arange(m + 1)
     step = np.arange(m + 1)
@@ -185,6 +193,9 @@ def window_distance(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
         source = np.maximum.accumulate(np.where(lead == least, step, 0))
         cost = least + step
         begin = came[source]
+        # The least cost of a row never falls.
+        if limit is not None and i % 4 == 0 and cost.min() > limit:
+            return beyond, 0, 0
     end = int(cost.argmin())
     return int(cost[end]), int(begin[end]), end
 
@@ -268,7 +279,7 @@ class Items:
                     if (text, i) in best and best[text, i][0] == 0:
                         continue
                     lo, hi = max(first - slack, int(edge[text])), min(first + n + slack, int(edge[text + 1]))
-                    distance, x, y = window_distance(item, symbols[lo:hi])
+                    distance, x, y = window_distance(item, symbols[lo:hi], slack)
                     if distance <= slack:
                         found = (distance, lo + x - int(edge[text]), lo + y - int(edge[text]))
                         best[text, i] = min(best.get((text, i), found), found)
@@ -300,7 +311,7 @@ class Items:
                         if (w, i) in tried or (owner, i) in best and best[owner, i][0] == 0:
                             continue
                         tried.add((w, i))
-                        distance, a, b = window_distance(self.words[i], symbols[lo:hi])
+                        distance, a, b = window_distance(self.words[i], symbols[lo:hi], slack)
                         if distance <= slack:
                             at = (distance, lo + a - int(edge[owner]), lo + b - int(edge[owner]))
                             best[owner, i] = min(best.get((owner, i), at), at)
