@@ -121,3 +121,46 @@ def map_groups(
             yield from finished(pa.Table.from_batches(held).combine_chunks())
 
     return dealt.mapInArrow(run, fields)
+
+
+def map_each_group(
+    df: DataFrame, key: str, function: Callable[[pa.Table], Iterable[dict]], schema: str | T.StructType
+) -> DataFrame:
+    """Apply a function to the table of one group of ``key`` after the other.
+
+    For groups of packed rows, whose number says little about their size: a
+    task holds one group and the piece of its result that is being written.
+    """
+    fields = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
+    dealt = df.repartition(F.col(key)).sortWithinPartitions(key)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_schema
+
+        target = to_arrow_schema(fields)
+
+        def finished(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(held).combine_chunks()
+            held.clear()
+            for columns in function(table):
+                arrays = [pa.array(columns[f.name], f.type) for f in target]
+                if len(arrays[0]):
+                    yield pa.RecordBatch.from_arrays(arrays, schema=target)
+            pa.default_memory_pool().release_unused()
+
+        held: list[pa.RecordBatch] = []
+        current = None
+        for batch in batches:
+            keys = batch.column(key).to_numpy(zero_copy_only=False)
+            at = 0
+            while at < len(keys):
+                end = int(keys.searchsorted(keys[at], side="right"))
+                if held and keys[at] != current:
+                    yield from finished(held)
+                current = keys[at]
+                held.append(batch.slice(at, end - at))
+                at = end
+        if held:
+            yield from finished(held)
+
+    return dealt.mapInArrow(run, fields)

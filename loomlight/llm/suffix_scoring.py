@@ -35,14 +35,14 @@ from pyspark.sql import functions as F
 
 from loomlight.lineage import materialize
 from loomlight.llm import flat
-from loomlight.llm.rows import map_batches, map_groups, small_batches
+from loomlight.llm.rows import map_batches, map_each_group, small_batches
 
 U64 = np.uint64
 DEPTH = 5  # at most 7: with the next byte, a context is a 64-bit code
 BASE = 2
 LEAST = 2
 DIVERGENCE = 1.0
-BATCH = 1 << 22
+BATCH = 1 << 21
 END = 10
 _END_NAME = U64(0x5851F42D4C957F2D)
 
@@ -389,10 +389,10 @@ def score_texts(docs: DataFrame, train_on: Column, text_col: str = "text", id_co
     with small_batches(spark, 2000):
         asked = materialize(map_batches(texts, lambda batch: _ask(batch, buckets, turn), MESSAGE), "asked")
     asks = asked.filter(F.col("kind").isin(ASK, ASK_GRAMS))
-    answered = map_groups(asks, "bucket", lambda table: list(_answer(table, base)), MESSAGE, rows=2000)
+    answered = map_each_group(asks, "bucket", lambda table: _answer(table, base), MESSAGE)
     messages = answered.unionByName(asked.filter(F.col("kind") == CARD))
     with small_batches(spark, 1000):
-        settled = materialize(map_groups(messages, "shard", lambda table: list(_settle(table)), SCORED, rows=1000), "settled")
+        settled = materialize(map_each_group(messages, "shard", _settle, SCORED), "settled")
     whole = settled.agg(
         F.coalesce(F.sum(F.when(F.col("train"), F.col("n_tokens"))), F.lit(0)).alias("n"),
         F.coalesce(F.sum("distinct_words"), F.lit(0)).alias("v"),
