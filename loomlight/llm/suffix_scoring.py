@@ -42,7 +42,7 @@ DEPTH = 5  # at most 7: with the next byte, a context is a 64-bit code
 BASE = 2
 LEAST = 2
 DIVERGENCE = 1.0
-BATCH = 1 << 21
+BATCH = 1 << 22
 END = 10
 _END_NAME = U64(0x5851F42D4C957F2D)
 
