@@ -100,6 +100,48 @@ def nearest_in_session(spark, folder):
     return found.select("query_label", "vec_id", "rank")
 
 
+@query(
+    "J6",
+    sql="""
+    WITH unit AS (
+      SELECT vec_id, label, [x / n FOR x IN v] AS u FROM (
+        SELECT vec_id, label, embedding::DOUBLE[] AS v,
+          sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)),
+    nearby AS (
+      SELECT q.vec_id AS query_vec, c.vec_id,
+        round(list_dot_product(q.u, c.u), 9) AS similarity
+      FROM unit q JOIN unit c ON q.label % 2 = 0 OR c.label = q.label),
+    ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY query_vec
+        ORDER BY similarity DESC, vec_id) AS rank FROM nearby WHERE similarity >= 0.0)
+    SELECT query_vec, vec_id, round(similarity, 6) AS similarity, rank::INTEGER AS rank
+    FROM ranked WHERE rank <= 5""",
+)
+def embedding_neighbours(spark, folder):
+    """The five vectors nearest to every vector; those of odd labels search their own label.
+
+    Every vector asks, so the queries come in rounds.
+    """
+    vectors = t.table(spark, folder, "embeddings").withColumn(
+        "source", F.col("label").cast("string")
+    )
+    asked = vectors.select(
+        F.col("vec_id").alias("query_vec"),
+        "embedding",
+        F.when(F.col("label") % 2 == 1, F.array("source")).alias("targets"),
+    )
+    found = nearest_chunks(
+        asked,
+        vectors,
+        query_id="query_vec",
+        chunk_id="vec_id",
+        targets="targets",
+        source="source",
+        max_broadcast=256,
+    )
+    return found.withColumn("similarity", F.round("similarity", 6))
+
+
 # --- text search: all questions against the chunks of all documents.
 
 TERMS = r"""list_filter(regexp_split_to_array(lower({0}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"""

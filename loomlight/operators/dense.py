@@ -4,8 +4,9 @@ The queries are the small side. They travel to the chunks as one matrix, and
 each task scores a batch of chunks against it with one product, keeping only
 its own best k per query, so no table of pairs ever exists and the shuffle
 carries at most k rows per query and task. The matrix is broadcast only after
-its rows are counted; a larger query table is cut into blocks that meet slices
-of the chunks through a shuffle.
+its rows are counted. A larger query table comes in rounds of bounded size, one
+scan of the chunks for each; there, chunks are grouped around pivots, and a
+group is not compared with queries it is too far from. Chunks are never shuffled.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomlight.lineage import materialize
 from loomlight.ordering import top_k
 
 # Fixed values.
@@ -26,7 +28,11 @@ DEFAULT_K = 5
 MIN_SIMILARITY = 0.0
 
 MAX_BROADCAST_QUERIES = 4096
-SLICE_ROWS = 200_000
+SLICE_ROWS = 16_384
+PIVOTS = 64
+ROUND_BYTES = 32 << 20
+ROUND_LEADERS = 500_000
+SLACK = 1e-8  # above the rounding of scores
 SCORE_DIGITS = 9
 CELLS = 4_000_000
 TREE_FROM_FILES = 512
@@ -96,16 +102,24 @@ class _Leaders:
 
     def _add(self, part: pa.RecordBatch) -> None:
         ids = np.array(part.column(0).to_pylist(), object)
-        scores = np.round(_unit(_matrix(part.column(1))) @ self.queries.unit.T, SCORE_DIGITS)
-        if self.filtered:
-            scores[~self.queries.allowed(part.column(2).to_pylist())] = -np.inf
+        scores = _unit(_matrix(part.column(1))) @ self.queries.unit.T
+        allowed = self.queries.allowed(part.column(2).to_pylist()) if self.filtered else None
+        self._keep(ids, scores, allowed, np.arange(len(self.queries.ids)))
+
+    def _keep(
+        self, ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray | None, asked: np.ndarray
+    ) -> None:
+        """Look at the scores of some chunks (rows) for the queries ``asked`` (columns)."""
+        scores = np.round(scores, SCORE_DIGITS)
+        if allowed is not None:
+            scores[~allowed] = -np.inf
         # Queries nothing in this slice can help are skipped at once.
-        live = np.flatnonzero(scores.max(axis=0) >= self.bar)
-        picked = [_best(scores[:, q], ids, self.k, self.bar[q]) for q in live]
+        live = np.flatnonzero(scores.max(axis=0) >= self.bar[asked])
+        picked = [_best(scores[:, q], ids, self.k, self.bar[asked[q]]) for q in live]
         if picked:
             rows = np.concatenate(picked)
             owner = np.repeat(live, [len(p) for p in picked])
-            found = {"q": owner, "c": ids[rows], "s": scores[rows, owner]}
+            found = {"q": asked[owner], "c": ids[rows], "s": scores[rows, owner]}
             self.parts.append(pd.DataFrame(found))
             self.held += len(rows)
 
@@ -133,6 +147,58 @@ class _Leaders:
         )
 
 
+class _PivotLeaders(_Leaders):
+    """The same for many queries: chunks near one pivot are ruled out together.
+
+    On unit vectors the angle between a query and a chunk is at least the
+    query's angle to the pivot less the group's radius, so a query whose k-th
+    similarity is above the cosine of that needs no product with the group.
+    """
+
+    def __init__(self, queries: _Queries, k: int, floor: float, filtered: bool):
+        super().__init__(queries, k, floor, filtered)
+        self.step = SLICE_ROWS
+        self.products = 0
+
+    def _add(self, part: pa.RecordBatch) -> None:
+        ids = np.array(part.column(0).to_pylist(), object)
+        unit = _unit(_matrix(part.column(1)))
+        allowed = self.queries.allowed(part.column(2).to_pylist()) if self.filtered else None
+        owner, pivots, radius = _groups(unit)
+        for g in range(len(pivots)):
+            rows = np.flatnonzero(owner == g)
+            if not len(rows):
+                continue
+            away = np.arccos(np.clip(self.queries.unit @ pivots[g], -1, 1))
+            reach = np.cos(np.maximum(away - radius[g], 0)) + SLACK
+            live = np.flatnonzero(reach >= self.bar)
+            self.products += len(rows) * len(live)
+            width = max(1, CELLS // len(rows))
+            for at in range(0, len(live), width):
+                some = live[at : at + width]
+                seen = None if allowed is None else allowed[np.ix_(rows, some)]
+                self._keep(ids[rows], unit[rows] @ self.queries.unit[some].T, seen, some)
+                if self.held > 4 * self.k * len(self.queries.ids):
+                    self._shrink()
+
+
+def _groups(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(group of each row, pivots, largest angle of a group's rows to its pivot)."""
+    real = np.flatnonzero(np.abs(unit).sum(axis=1) > 0)
+    if not len(real):
+        return np.zeros(len(unit), np.int64), np.zeros((1, unit.shape[1])), np.array([np.pi])
+    pivots = unit[real[np.unique(np.linspace(0, len(real) - 1, PIVOTS).astype(int))]]
+    near = unit @ pivots.T
+    owner = near.argmax(axis=1)
+    angle = np.arccos(np.clip(near[np.arange(len(unit)), owner], -1, 1))
+    # A vector without direction or with a component that is no number rules nothing out.
+    angle[~np.isfinite(angle)] = np.pi
+    angle[np.abs(unit).sum(axis=1) == 0] = np.pi
+    radius = np.zeros(len(pivots))
+    np.maximum.at(radius, owner, angle)
+    return owner, pivots, radius
+
+
 def nearest_chunks(
     queries: DataFrame,
     chunks: DataFrame,
@@ -192,15 +258,13 @@ def nearest_chunks(
 
         scored = offered.mapInArrow(local_best, schema)
     else:
-        scored = _blocked(asked, offered, k, floor, filtered, schema, max_broadcast)
+        scored = None
 
     wide = len(offered.inputFiles()) > TREE_FROM_FILES
-    best = top_k(
-        scored,
-        ["_q"],
-        [F.col("_s").desc(), F.col("_c")],
-        k,
-        salt_by="_c" if wide else None,
+    best = (
+        _in_rounds(asked, offered, k, floor, filtered, schema, wide)
+        if scored is None
+        else _ranked(scored, k, wide)
     )
     return best.select(
         F.col("_q").alias(query_id),
@@ -210,50 +274,51 @@ def nearest_chunks(
     )
 
 
-def _numbers(n: int) -> Column:
-    return F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))
-
-
-def _blocked(
-    asked: DataFrame,
-    offered: DataFrame,
-    k: int,
-    floor: float,
-    filtered: bool,
-    schema: str,
-    block_rows: int,
+def _in_rounds(
+    asked: DataFrame, offered: DataFrame, k: int, floor: float, filtered: bool, schema: str, wide: bool
 ) -> DataFrame:
-    """Blocks of queries against slices of chunks, both of bounded size."""
-    blocks = -(-asked.count() // (block_rows // 2))
-    slices = -(-offered.count() // SLICE_ROWS)
-    left = asked.select(
-        "*",
-        F.pmod(F.xxhash64("q"), F.lit(blocks)).alias("block"),
-        F.explode(_numbers(slices)).alias("slice"),
-    )
-    right = offered.select(
-        "*",
-        F.explode(_numbers(blocks)).alias("block"),
-        F.pmod(F.xxhash64("c"), F.lit(slices)).alias("slice"),
-    )
+    """The k best of every query of a large table, round after round.
 
-    def cell(q: pa.Table, c: pa.Table) -> pa.Table:
-        id_type = c["c"].type
-        empty = pa.table(
-            [pa.array([], q["q"].type), pa.array([], id_type), pa.array([], pa.float64())],
-            names=["_q", "_c", "_s"],
+    A round holds about ``ROUND_BYTES`` of queries and ``ROUND_LEADERS`` results;
+    only that much is on the driver or in a broadcast at a time. Its results are
+    final, since no query is in two rounds, and are written.
+    """
+    size = F.size("v") * 8 + F.coalesce(F.length(F.array_join("t", "")), F.lit(0)) * 2 + 64
+    whole = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    rounds = max(-(-whole["bytes"] // ROUND_BYTES), -(-whole["n"] * k // ROUND_LEADERS))
+    dealt = asked.withColumn("round", F.pmod(F.xxhash64("q"), F.lit(rounds)).cast("int"))
+    dealt = materialize(dealt.repartition("round"), "asked")
+    id_type = to_arrow_type(asked.schema["q"].dataType)
+    chunk_type = to_arrow_type(offered.schema["c"].dataType)
+    found = []
+    for turn in range(rounds):
+        rows = dealt.filter(F.col("round") == turn).collect()
+        if not rows:
+            continue
+        held = _Queries(
+            pa.array([r.q for r in rows], id_type),
+            np.array([r.v for r in rows], np.float64),
+            [r.t for r in rows],
         )
-        if not q.num_rows or not c.num_rows:
-            return empty
-        held = _Queries(q["q"].combine_chunks(), _matrix(q["v"].combine_chunks()), q["t"].to_pylist())
-        leaders = _Leaders(held, k, floor, filtered)
-        for batch in c.select(["c", "v", "s"]).to_batches():
-            leaders.add(batch)
-        found = leaders.result(id_type)
-        return empty if found is None else pa.Table.from_batches([found])
-
-    return (
-        left.groupBy("block", "slice")
-        .cogroup(right.groupBy("block", "slice"))
-        .applyInArrow(cell, schema)
-    )
+        del rows
+        shared = offered.sparkSession.sparkContext.broadcast(held)
+
+        def local_best(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            leaders = _PivotLeaders(shared.value, k, floor, filtered)
+            for batch in batches:
+                leaders.add(batch)
+            best = leaders.result(chunk_type)
+            if best is not None:
+                yield best
+
+        found.append(materialize(_ranked(offered.mapInArrow(local_best, schema), k, wide), "nearest"))
+        shared.unpersist()
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _ranked(scored: DataFrame, k: int, wide: bool) -> DataFrame:
+    order = [F.col("_s").desc(), F.col("_c")]
+    return top_k(scored, ["_q"], order, k, salt_by="_c" if wide else None)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from loomlight.functions.text import is_blank, normalize_source_name
+from loomlight.lineage import materialize
 
 # Fixed values.
 ENTITY_HIT = 1.2
@@ -15,7 +20,9 @@ TARGET_BOOST = 1.15
 SESSION_BOOST = 1.1
 KEEP_RATIO = 0.8
 KEEP_FLOOR = 0.1
-ANCHOR_CHARS = 3
+
+NEEDLE_BYTES = 4 << 20  # an automaton takes some dozens of bytes for each
+MATCH_ROWS = 20_000
 
 
 def _named(names: Column, source: Column) -> Column:
@@ -96,32 +103,70 @@ def rank_candidates(
     )
 
 
-def _grams(text: Column, size: int) -> Column:
-    starts = F.sequence(F.lit(1), F.length(text))
-    return F.transform(starts, lambda at: F.substr(text, at, F.lit(size)))
-
-
 def match_names(sources: DataFrame, names: DataFrame) -> DataFrame:
     """(source_name, name) where the normalised name stands inside the source name.
 
-    For long lists of names. A source holds a name only if it holds the name's
-    first three characters, so both sides meet on that anchor by equality and
-    no cross product is formed.
+    For long lists of names, which come in parts of about ``NEEDLE_BYTES``. A
+    task builds one automaton of a part and reads every source name once
+    against all its names; no key is shared between rows, so none is hot.
+    Blank source names match nothing, as do names that normalise to nothing.
     """
-    lower = F.lower("source_name")
-    offered = sources.select("source_name").distinct().filter(~is_blank(F.col("source_name")))
+    offered = (
+        sources.select("source_name").distinct().filter(~is_blank(F.col("source_name")))
+        .select("source_name", F.lower("source_name").alias("lower"))
+    )
     wanted = (
         names.select("name")
         .distinct()
         .withColumn("needle", normalize_source_name(F.col("name")))
         .filter("needle != ''")
-        .withColumn("anchor", F.substring("needle", 1, ANCHOR_CHARS))
     )
-    grams = F.flatten(F.array(*[_grams(lower, size) for size in range(1, ANCHOR_CHARS + 1)]))
-    anchored = offered.select("source_name", F.explode(F.array_distinct(grams)).alias("anchor"))
-    return (
-        anchored.join(wanted, "anchor")
-        .filter(F.lower("source_name").contains(F.col("needle")))
-        .select("source_name", "name")
-        .distinct()
+    size = wanted.agg(F.sum(F.octet_length("needle") + F.octet_length("name"))).first()[0] or 0
+    parts = max(1, -(-size // NEEDLE_BYTES))
+    if parts > 1:
+        dealt = wanted.withColumn("part", F.pmod(F.xxhash64("name"), F.lit(parts)).cast("int"))
+        wanted = materialize(dealt.repartition("part"), "names")
+        offered = materialize(offered, "sources")
+    found = []
+    for part in range(parts):
+        rows = wanted.filter(F.col("part") == part).collect() if parts > 1 else wanted.collect()
+        named: dict[str, list[str]] = {}
+        for row in rows:
+            named.setdefault(row.needle, []).append(row.name)
+        shared = sources.sparkSession.sparkContext.broadcast(named)
+        found.append(offered.mapInArrow(_matches(shared), "source_name string, name string"))
+    whole = found[0]
+    for more in found[1:]:
+        whole = whole.unionByName(more)
+    return whole
+
+
+def _matches(shared):
+    """Every name of the broadcast part that stands in a source name, each once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named = shared.value
+        automaton = ahocorasick.Automaton()
+        for needle in named:
+            automaton.add_word(needle, needle)
+        if not named:
+            return
+        automaton.make_automaton()
+        for batch in batches:
+            held: list[tuple[str, str]] = []
+            for source, lower in zip(batch[0].to_pylist(), batch[1].to_pylist(), strict=True):
+                for needle in {needle for _, needle in automaton.iter(lower)}:
+                    held.extend((source, name) for name in named[needle])
+                if len(held) >= MATCH_ROWS:
+                    yield _pairs(held)
+                    held = []
+            yield _pairs(held)
+
+    return run
+
+
+def _pairs(held: list[tuple[str, str]]) -> pa.RecordBatch:
+    source, name = zip(*held, strict=True) if held else ((), ())
+    return pa.RecordBatch.from_arrays(
+        [pa.array(source, pa.string()), pa.array(name, pa.string())], names=["source_name", "name"]
     )

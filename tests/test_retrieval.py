@@ -1,10 +1,11 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from loomlight.operators import dense, lexical, postings
+from loomlight.operators import dense, lexical, postings, ranking
 from loomlight.operators.dense import nearest_chunks
 from loomlight.operators.embedding import hashed_terms
 from loomlight.operators.evidence import citations, filter_to_relevant_sources
@@ -67,7 +68,7 @@ def brute_force(asked, offered, k):
             if q.targets and c.source_name not in q.targets:
                 continue
             a, b = np.array(q.embedding), np.array(c.embedding)
-            score = round(float(a @ b / np.linalg.norm(a) / np.linalg.norm(b)), 9)
+            score = round(float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b) or 1)), 9)
             if score >= 0:
                 scored.append((-score, c.vector_id))
         out[q.query_id] = [v for _, v in sorted(scored)[:k]]
@@ -86,6 +87,46 @@ def test_dense_search_is_exact_on_both_paths(spark, monkeypatch, bound):
     assert got == brute_force(asked.collect(), offered.collect(), 7)
 
 
+def clustered(spark, n, seed, key):
+    """Vectors around twenty centres, in order of their centre, and some without direction."""
+    rng = np.random.default_rng(seed)
+    centres = np.random.default_rng(0).normal(size=(20, 16))
+    rows = []
+    for i in range(n):
+        vector = centres[i * 20 // n] + 0.05 * rng.normal(size=16)
+        rows.append((i, [0.0] * 16 if i % 97 == 5 else [float(x) for x in vector], [], "s"))
+    return spark.createDataFrame(
+        rows, f"{key} bigint, embedding array<float>, targets array<string>, source_name string"
+    )
+
+
+def test_rounds_of_queries_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(dense, "ROUND_LEADERS", 300)
+    asked, offered = clustered(spark, 300, 1, "query_id"), clustered(spark, 700, 2, "vector_id")
+    found = nearest_chunks(asked, offered, 3, max_broadcast=10).orderBy("rank").collect()
+    got = {}
+    for row in found:
+        got.setdefault(row.query_id, []).append(row.vector_id)
+    assert got == brute_force(asked.collect(), offered.collect(), 3)
+
+
+def test_pivots_rule_out_far_groups(spark):
+    rows = clustered(spark, 400, 3, "query_id").filter("query_id % 97 != 5").collect()
+    vectors = np.array([r.embedding for r in rows])
+    ids = pa.array([r.query_id for r in rows])
+    held = dense._Queries(ids, vectors, [None] * len(rows))
+    leaders = dense._PivotLeaders(held, 3, 0.0, False)
+    for at in range(0, len(rows), 100):
+        part = slice(at, at + 100)
+        batch = pa.RecordBatch.from_arrays(
+            [ids[part], pa.array(list(vectors[part]), pa.list_(pa.float64())), pa.array([""] * len(ids[part]))],
+            names=["c", "v", "s"],
+        )
+        leaders.add(batch)
+        leaders._shrink()
+    assert leaders.products < 0.6 * len(rows) ** 2
+
+
 def test_dense_search_breaks_ties_by_id_among_copies(spark):
     copies = spark.range(500).select(
         F.col("id").alias("vector_id"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding")
@@ -203,7 +244,9 @@ def test_ranking_signals(spark):
     assert ranked[0].reasoning.startswith("Semantic: 0.500 | EntityBoost: 1.20")
 
 
-def test_name_matching_equals_brute_force(spark):
+@pytest.mark.parametrize("part", [4 << 20, 8])
+def test_name_matching_equals_brute_force(spark, monkeypatch, part):
+    monkeypatch.setattr(ranking, "NEEDLE_BYTES", part)
     sources = ["alpha plan", "x", "a", "beta alpha", "lp"]
     names = ["Alpha.pdf", "A", "lp", "a_p", "zz", "", "ta al"]
     got = match_names(
@@ -215,6 +258,15 @@ def test_name_matching_equals_brute_force(spark):
     assert {(r.source_name, r.name) for r in got} == expected
 
 
+def test_a_hundred_thousand_names(spark):
+    names = spark.range(100_000).select(F.format_string("n%05d_x.pdf", "id").alias("name"))
+    sources = spark.range(2000).select(F.format_string("n%05d x n%05d x", "id", "id").alias("source_name"))
+    got = match_names(sources, names)
+    assert got.count() == 2000
+    assert got.filter("substring(source_name, 1, 6) = substring(name, 1, 6)").count() == 2000
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def scored_evidence(spark, score):
     rows = [("p1", "v1", score, 1, "s"), ("p2", "v1", score, 1, "s")]
     return spark.createDataFrame(
