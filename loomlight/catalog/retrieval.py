@@ -22,6 +22,7 @@ from loomlight.operators.lexical import best_matches, keyword_matches, keyword_s
 from loomlight.operators.ranking import match_names, rank_candidates
 from loomlight.operators.rerank import score_pairs, select_diverse
 from loomlight.ordering import top_k
+from loomlight.plans import answers as an
 from loomlight.plans import retrieval as pr
 from loomlight.plans import routing as ro
 from loomlight.plans.ingest import ingest
@@ -943,16 +944,20 @@ DISPATCH_SQL = rf"""dispatched AS (
   FROM plans WHERE plan_pos = 0)"""
 
 
-def dispatched_requests(spark, folder):
-    routed = routed_requests(spark, folder)
-    first = ro.plans_of(routed).filter("plan_pos = 0")
-    sessions = routed.groupBy("session_id").agg(F.first("uploads").alias("uploads")).select(
+def asking_sessions(routed):
+    """Sessions of the messages; every fourth is still indexing."""
+    return routed.groupBy("session_id").agg(F.first("uploads").alias("uploads")).select(
         "session_id",
         "uploads",
         F.get("uploads", F.lit(0)).alias("active_document"),
         (F.col("session_id") % 4 == 1).alias("still_indexing"),
     )
-    return ro.dispatch(first, sessions)
+
+
+def dispatched_requests(spark, folder):
+    routed = routed_requests(spark, folder)
+    first = ro.plans_of(routed).filter("plan_pos = 0")
+    return ro.dispatch(first, asking_sessions(routed))
 
 
 @query(
@@ -1138,3 +1143,18 @@ def context_blocks(spark, folder):
     shown = first.select("request_id", "visual_rank", caption.alias("caption"), "source_name")
     text = ev.context_blocks(requests, evidence, ev.stable_visuals(shown))
     return text.select("request_id", "segment_no", F.md5("text").alias("digest"))
+
+
+@query("C11", "C9", "C5", "C12", "P26")
+def question_prompts(spark, folder):
+    """Every message from its raw routing answer to its prompt, over the chunks of all documents."""
+    routed = routed_requests(spark, folder)
+    requests = materialize(
+        routed.select("request_id", "session_id", "question", "raw_routing", "uploads"), "requests"
+    )
+    contexts = an.question_contexts(
+        requests, asking_sessions(requests), embedded_chunks(spark, folder)
+    )
+    contexts = materialize(contexts, "contexts")
+    prompts = an.question_prompts(contexts, requests)
+    return prompts.join(contexts.select("request_id", "segment_no", "route"), ["request_id", "segment_no"])
