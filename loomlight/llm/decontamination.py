@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlight.llm import flat
-from loomlight.llm.rows import map_batches, with_results
+from loomlight.llm.rows import carried, map_batches, row_struct, with_results
 
 U64 = np.uint64
 SEED = 3
@@ -376,8 +376,8 @@ def find_leaks(
             *[T.StructField(n, T.LongType()) for n in ("distance", "start", "stop", "item_words")],
         ]
     )
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    done = docs.select(row, F.col(text_col).cast("string").alias("text"))
+    beside = carried(docs, text_col)
+    done = docs.select(row_struct(beside), F.col(text_col).cast("string").alias("text"))
     done = done.withColumn("matches", F.lit(None).cast(T.ArrayType(kind)))
     for block in item_blocks(benchmark, item_text_col, item_id_col):
         texts = pa.array([r["text"] for r in block], pa.large_string())
@@ -389,4 +389,5 @@ def find_leaks(
         items = Items([block[i]["id"] for i in some], [symbols[edge[i] : edge[i + 1]] for i in some], recall)
         done = map_batches(done, lambda batch, items=items: _mark(batch, items), done.schema)
     matches = F.coalesce("matches", F.array().cast(T.ArrayType(kind)))
-    return done.select(*[F.col("row").getField(c).alias(c) for c in with_results(docs, RESULTS)], matches.alias("matches"))
+    kept = [(F.col("row").getField(c) if c in beside else F.col("text")).alias(c) for c in with_results(docs, RESULTS)]
+    return done.select(*kept, matches.alias("matches"))

@@ -20,10 +20,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from loomlight.llm import flat
-from loomlight.llm.rows import map_batches, with_results
+from loomlight.llm.rows import carried, map_batches, row_struct, with_results
 
 BUCKETS = 1 << 16
-MAX_LANGUAGES = 256  # a model is MAX_LANGUAGES * BUCKETS * 4 bytes at most
+#: Models; each is BUCKETS * 4 bytes. Rarer labels beyond share the last one.
+MAX_LANGUAGES = 256
 ROUNDS = 10
 PENALTY = 4.0
 RESULTS = ("lang_pred", "score", "languages")
@@ -53,7 +54,21 @@ def trigrams(data: np.ndarray, starts: np.ndarray, ends: np.ndarray):
     return bucket, first, row
 
 
-def train(rows: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.ndarray]:
+def folded_labels(labels: DataFrame, most: int) -> DataFrame:
+    """The rows of ``lang`` and others with at most ``most`` labels left.
+
+    Beyond that number the labels of fewest rows (ties: the greatest first) are
+    folded into the most frequent of them, so every row still teaches a model.
+    """
+    order = F.desc("rows"), F.asc("lang")
+    kept = labels.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(*order).limit(most + 1).collect()
+    if len(kept) <= most:
+        return labels
+    own = [r["lang"] for r in kept[:most]]
+    return labels.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(own[-1]))
+
+
+def train(rows: DataFrame, text_col: str, lang_col: str, most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:
     """(languages, log probabilities by bucket and language) from labelled rows."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -75,14 +90,13 @@ def train(rows: DataFrame, text_col: str, lang_col: str) -> tuple[list[str], np.
             )
 
     labelled = rows.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
-        F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+        F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     )
+    labelled = folded_labels(labelled, most).select("text", "lang")
     counts = labelled.mapInArrow(count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # At most MAX_LANGUAGES * BUCKETS rows, however large the corpus.
+    # At most ``most`` * BUCKETS rows, however large the corpus.
     found = counts.toPandas()
     langs = sorted(found["lang"].unique())
-    if len(langs) > MAX_LANGUAGES:
-        raise ValueError(f"{len(langs)} languages; at most {MAX_LANGUAGES} can be learned")
     table = np.full((BUCKETS, max(len(langs), 1)), 0.2)
     if langs:
         code = np.searchsorted(np.array(langs), found["lang"].to_numpy(str))
@@ -136,9 +150,8 @@ def _has_letter(text: bytes) -> bool:
     return any(c.isalpha() for c in text.decode("utf-8", "replace"))
 
 
-def _predict(batch: pa.RecordBatch, langs: list[str], table: np.ndarray) -> list[dict]:
+def _predict(batch: pa.RecordBatch, langs: list[str], table: np.ndarray) -> Iterator[dict]:
     data, starts, ends = flat.buffers(batch.column("text"))
-    out = []
     names = np.array([*langs, UNKNOWN], dtype=object)
     for lo, hi in flat.row_slices(starts, ends):
         n = hi - lo
@@ -160,19 +173,17 @@ def _predict(batch: pa.RecordBatch, langs: list[str], table: np.ndarray) -> list
         score = best.max(axis=1) if langs else np.zeros(n)
         lang = np.where(score > 0, best.argmax(axis=1) if langs else 0, len(langs))
         parts = [[{"lang": langs[j], "share": float(b[j])} for j in np.argsort(-b, kind="stable") if b[j] > 0] for b in best]
-        out.append(
-            {
-                "row": batch.column("row").slice(lo, n),
-                "lang_pred": names[lang].tolist(),
-                "score": np.minimum(score, 1).astype(np.float64),
-                "languages": parts,
-            }
-        )
-    return out
+        yield {
+            "row": batch.column("row").slice(lo, n),
+            "text": batch.column("text").slice(lo, n),
+            "lang_pred": names[lang].tolist(),
+            "score": np.minimum(score, 1).astype(np.float64),
+            "languages": parts,
+        }
 
 
 def identify_languages(
-    docs: DataFrame, train_on: Column, text_col: str = "text", lang_col: str = "lang"
+    docs: DataFrame, train_on: Column, text_col: str = "text", lang_col: str = "lang", most: int = MAX_LANGUAGES
 ) -> DataFrame:
     """The input with ``lang_pred``, ``score`` and ``languages``.
 
@@ -180,23 +191,26 @@ def identify_languages(
     a prediction sees the text alone. ``languages`` lists the selected languages
     with their shares, largest first, and ``score`` is the largest. A null text,
     one without letters, or a table that teaches nothing gives ``und`` and 0.
+    At most ``most`` labels have a model of their own; the rarest of more share
+    the last one, under the name of its most frequent label.
     Result columns replace input columns of the same name.
     """
-    langs, table = train(docs.filter(train_on), text_col, lang_col)
-    rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text")
-    )
+    langs, table = train(docs.filter(train_on), text_col, lang_col, most)
+    beside = carried(docs, text_col)
+    rows = docs.select(row_struct(beside), F.col(text_col).cast("string").alias("text"))
     share = T.StructType([T.StructField("lang", T.StringType()), T.StructField("share", T.DoubleType())])
     schema = T.StructType(
         [
             T.StructField("row", rows.schema["row"].dataType),
+            T.StructField("text", T.StringType()),
             T.StructField("lang_pred", T.StringType()),
             T.StructField("score", T.DoubleType()),
             T.StructField("languages", T.ArrayType(share)),
         ]
     )
     done = map_batches(rows, lambda batch: _predict(batch, langs, table), schema)
-    return done.select(*[F.col("row").getField(c).alias(c) for c in with_results(docs, RESULTS)], *RESULTS)
+    kept = [F.col("row").getField(c) if c in beside else F.col("text") for c in with_results(docs, RESULTS)]
+    return done.select(*[c.alias(n) for c, n in zip(kept, with_results(docs, RESULTS), strict=True)], *RESULTS)
 
 
 def remainder(id_col: str, of: int) -> Column:

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from loomlight.lineage import materialize
 from loomlight.llm import flat
-from loomlight.llm.rows import KEYS, key_columns, map_batches, map_groups
+from loomlight.llm.rows import KEYS, key_columns, map_batches, map_groups, row_struct
 
 U64 = np.uint64
 #: (units of the contexts, start of each, anchor inside each, smallest and largest
@@ -278,10 +278,10 @@ def find_repeats(
     )
 
 
-def joined_spans(docs: DataFrame, text_col: str, id_col: str, spans: DataFrame) -> DataFrame:
-    """``row`` (all columns of ``docs``), ``text`` and ``spans`` of every row."""
+def joined_spans(docs: DataFrame, text_col: str, id_col: str, spans: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``row`` (``columns``, by default all), ``text`` and ``spans`` of every row of ``docs``."""
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        row_struct(docs.columns if columns is None else columns),
         *key_columns(id_col, text_col),
         F.col(text_col).cast("string").alias("text"),
     )

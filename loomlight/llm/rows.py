@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -33,6 +34,26 @@ def with_results(docs: DataFrame, results: Iterable[str]) -> list[str]:
     return [c for c in docs.columns if c.lower() not in names]
 
 
+def carried(docs: DataFrame, text_col: str) -> list[str]:
+    """The columns that go through a task beside the text; a text of type string goes once."""
+    once = isinstance(docs.schema[text_col].dataType, T.StringType)
+    return [c for c in docs.columns if not (once and c == text_col)]
+
+
+def row_struct(columns: Iterable[str]) -> Column:
+    """``row``, a struct of some columns; the constant keeps it from being empty."""
+    return F.struct(F.lit(True).alias("_"), *[F.col(f"`{c}`").alias(c) for c in columns]).alias("row")
+
+
+def release_memory() -> None:
+    """Give back what a finished task no longer uses: Python workers serve many stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another allocator than glibc's
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int) -> Iterator[None]:
     """Arrow batches of few rows for the jobs that run inside; rows are large there."""
@@ -68,6 +89,7 @@ def map_batches(
                 ]
                 if len(arrays[0]):
                     yield pa.RecordBatch.from_arrays(arrays, schema=target)
+        release_memory()
 
     return df.mapInArrow(run, fields)
 
@@ -119,6 +141,7 @@ def map_groups(
                     count = rest.num_rows
         if held:
             yield from finished(pa.Table.from_batches(held).combine_chunks())
+        release_memory()
 
     return dealt.mapInArrow(run, fields)
 

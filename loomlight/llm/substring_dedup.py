@@ -12,11 +12,14 @@ group's suffixes is decided on hashed words within one prefix.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from loomlight.llm import flat
 from loomlight.llm.repeats import find_repeats, joined_spans, span_arrays, suffixes
 from loomlight.llm.rows import map_batches, with_results
 
@@ -54,7 +57,13 @@ def subtree_repeats(units, start, anchor, lo, hi, key, window):
     return context[order[leaf]], offset[order[leaf]]
 
 
-def _keep(batch: pa.RecordBatch, layout: bool) -> dict:
+def _keep(batch: pa.RecordBatch, layout: bool) -> Iterator[dict]:
+    _, starts, ends = flat.buffers(batch.column("text"))
+    for lo, hi in flat.row_slices(starts, ends):
+        yield _kept(batch.slice(lo, hi - lo), layout)
+
+
+def _kept(batch: pa.RecordBatch, layout: bool) -> dict:
     texts = batch.column("text").to_pylist()
     n_words, n_removed, kept, spans = [], [], [], []
     for text, (start, stop) in zip(texts, span_arrays(batch), strict=True):
@@ -90,7 +99,8 @@ def remove_repeated_words(
     With ``keep_layout`` a text that loses nothing stays as it is, null included.
     """
     spans = find_repeats(docs, text_col, id_col, "word", window, prefix, subtree_repeats, group_limit)
-    rows = joined_spans(docs, text_col, id_col, spans)
+    # The kept words replace the text, so it is not carried beside itself.
+    rows = joined_spans(docs, text_col, id_col, spans, [c for c in docs.columns if c != text_col])
     schema = T.StructType(
         [
             T.StructField("row", rows.schema["row"].dataType),
