@@ -59,13 +59,15 @@ def folded_labels(labels: DataFrame, most: int) -> DataFrame:
 
     Beyond that number the labels of fewest rows (ties: the greatest first) are
     folded into the most frequent of them, so every row still teaches a model.
+    Null labels stay null.
     """
     order = F.desc("rows"), F.asc("lang")
-    kept = labels.groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(*order).limit(most + 1).collect()
+    lang = F.col("lang")
+    kept = labels.filter(lang.isNotNull()).groupBy("lang").agg(F.count(F.lit(1)).alias("rows")).orderBy(*order).limit(most + 1).collect()
     if len(kept) <= most:
         return labels
     own = [r["lang"] for r in kept[:most]]
-    return labels.withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(own[-1]))
+    return labels.withColumn("lang", F.when(lang.isNull() | lang.isin(own), lang).otherwise(own[-1]))
 
 
 def train(rows: DataFrame, text_col: str, lang_col: str, most: int = MAX_LANGUAGES) -> tuple[list[str], np.ndarray]:

@@ -168,6 +168,40 @@ def test_bands_reject_gibberish(spark):
     assert not any(got[500 + i].kept or got[500 + i].base_failed for i in range(3))
 
 
+def test_bands_reject_shouting(spark):
+    rng = random.Random(6)
+    texts = [prose(rng, "xx", rng.randint(60, 300)) for _ in range(200)]
+    rows = [(i, t, "xx") for i, t in enumerate(texts)]
+    rows += [(500 + i, "!! ".join(prose(rng, "xx", 150).upper().split(" ")), "xx") for i in range(6)]
+    got = {r.id: r for r in quality_rules.judge_quality(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert not any(got[500 + i].kept or got[500 + i].base_failed for i in range(6))
+    assert sum(got[i].kept for i in range(200)) >= 196
+
+
+def test_bands_part_labelled_texts(spark):
+    folder = "/root/testdata/sf0.01"
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{folder}/labels.parquet").collect()}
+    rows = quality_rules.judge_quality(spark.read.parquet(f"{folder}/documents.parquet")).collect()
+    passed = [r for r in rows if not r.base_failed and r.id in labels]
+    bad = [r.kept for r in passed if labels[r.id] == 0]
+    good = [r.kept for r in passed if labels[r.id] == 1]
+    assert sum(bad) <= len(bad) / 2
+    assert sum(good) >= 0.98 * len(good)
+
+
+def test_rare_labels_share_a_model(messy, spark):
+    rng = random.Random(8)
+    rows = [(i, prose(rng, "xx", 80), f"l{min(i % 9, i % 7)}") for i in range(90)] + [(900, None, None), (901, prose(rng, "xx", 80), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    judged = quality_rules.judge_quality(docs, most=3).collect()
+    assert len(judged) == len(rows) and {r.lang_model for r in judged} == {"l0", "l1", "l2"}
+    found = language_id.identify_languages(docs, F.lit(True), most=3).collect()
+    assert len(found) == len(rows) and {r.lang_pred for r in found} <= {"l0", "l1", "l2", "und"}
+    assert {r.lang for r in found} == {r[2] for r in rows}
+    labels = language_id.folded_labels(docs, 3).groupBy("lang").count().collect()
+    assert sum(r["count"] for r in labels) == len(rows) and {r.lang for r in labels} == {"l0", "l1", "l2", None}
+
+
 def test_quality_of_nothing(messy):
     assert quality_rules.judge_quality(messy.limit(0)).count() == 0
 
