@@ -8,6 +8,17 @@ from pyspark.sql import functions as F
 from loomlight.functions.text import VISUAL_LEAD, VISUAL_TITLE_CHARS, is_blank, java_trim
 
 
+# Letters whose upper case is several letters, and the one letter that stands for it, if any.
+_WIDENED = [c for c in map(chr, range(0x10000)) if len(c.upper()) > 1]
+_CAPITALS = {c: c.title() if len(c.title()) == 1 else c for c in _WIDENED} | {"ß": "ẞ"}
+
+
+def capital_letter(letter: Column) -> Column:
+    """Upper case of one character, as one character."""
+    one = F.translate(letter, "".join(_CAPITALS), "".join(_CAPITALS.values()))
+    return F.when(letter.isin(*_CAPITALS), one).otherwise(F.upper(letter))
+
+
 def _labelled(label: str, value: Column) -> Column:
     return F.when(~is_blank(value), F.concat(F.lit(f"[{label}: "), value, F.lit("]")))
 
@@ -37,14 +48,15 @@ def dense_image_text(image: Column) -> Column:
 
 def visual_title(caption: Column, source: Column) -> Column:
     """First sentence of the caption's summary without its boilerplate lead."""
-    summary = java_trim(F.regexp_extract(caption, r"\[Summary: (.*?)\]", 1))
+    # Only a line feed ends a line; a plain dot would stop at other separators, too.
+    summary = java_trim(F.regexp_extract(caption, r"\[Summary: ([^\n]*?)\]", 1))
     sentence = F.split(summary, r"\.")[0]
     subject = F.regexp_replace(sentence, VISUAL_LEAD, "")
     cut = F.when(
         F.length(subject) > VISUAL_TITLE_CHARS,
         F.concat(F.substring(subject, 1, VISUAL_TITLE_CHARS), F.lit("...")),
     ).otherwise(subject)
-    capital = F.concat(F.upper(F.substring(cut, 1, 1)), F.substring(cut, 2, 1 << 30))
+    capital = F.concat(capital_letter(F.substring(cut, 1, 1)), F.substring(cut, 2, 1 << 30))
     fallback = F.concat(F.lit("Image from "), F.coalesce(source, F.lit("null")))
     return F.when(cut.isNull() | (cut == ""), fallback).otherwise(capital)
 

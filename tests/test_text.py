@@ -71,6 +71,20 @@ def test_visual_title(spark):
     assert one(spark, images.visual_title(F.lit("nothing"), F.lit("s"))) == "Image from s"
 
 
+def test_visual_title_of_odd_letters_and_line_separators(spark):
+    titles = {
+        "ßa b. More": "ẞa b",
+        "ᾳx": "ᾼx",
+        "ŉx": "ŉx",
+        "éx": "Éx",
+        "a\rb\x85c\u2028d": "A\rb\x85c\u2028d",
+        "a\nb": "Image from s",
+    }
+    for summary, title in titles.items():
+        caption = F.lit(f"[Summary: {summary}]")
+        assert one(spark, images.visual_title(caption, F.lit("s"))) == title
+
+
 @pytest.mark.parametrize(
     "question, expected",
     [
