@@ -175,14 +175,15 @@ def page_index_rows(spark, folder):
 def page_tables_and_figures(spark, folder):
     docs = t.documents(spark, folder)
     words = F.split(F.trim(F.regexp_replace("text", r"\s+", " ")), " ")
-    cells = F.transform(words, lambda w: F.regexp_replace(w, "[^a-zA-Z]", ""))
-    # One row of the table per two words of the whole text.
-    lines = F.transform(
-        F.sequence(F.lit(0), F.size(cells) - 1, F.lit(2)),
-        lambda i: F.concat(
-            F.lit("<tr><td>x"), F.get(cells, i), F.lit("<td>y"), F.coalesce(F.get(cells, i + 1), F.lit(""))
+    # One row of the table per two words of the whole text. Each cell is made from its own word:
+    # looking the words up by place would split the whole text again for every cell.
+    parts = F.transform(
+        words,
+        lambda w, i: F.concat(
+            F.when(i % 2 == 0, "<tr><td>x").otherwise("<td>y"), F.regexp_replace(w, "[^a-zA-Z]", "")
         ),
     )
+    odd = F.when(F.size(words) % 2 == 1, "<td>y").otherwise("")
     html = F.format_string(
         "<table class='big infobox'><tr><th>Source<td>%s<tr><th>Language</th><td> %s</td></tr>"
         "<tr><td>lonely</td></tr></table><h2>Words</h2><h3>First</h3>"
@@ -191,7 +192,7 @@ def page_tables_and_figures(spark, folder):
         "<figure><img src='//a/b.png' alt=''>%s</figure><p>too short</p>",
         F.col("source"),
         F.col("lang"),
-        F.array_join(lines, ""),
+        F.concat(F.array_join(parts, ""), odd),
         F.when(
             F.col("doc_id") % 2 == 0,
             F.concat(F.lit("<figcaption>Picture of <b>"), "source", F.lit("</b></figcaption>")),
