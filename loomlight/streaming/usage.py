@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import IntegralType
 
 DAY_MS = 86_400_000
+# Parts that the users of a day are dealt to; fixed for the life of a stream.
+USER_PARTS = 32
 
 
 def daily_counters(outcomes: DataFrame) -> DataFrame:
@@ -36,26 +39,35 @@ def _earliest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield batch.sort_values("ts", kind="stable").drop_duplicates(["date", "user_id"])
 
 
-def _visitor(retention_ms: int) -> StatefulProcessor:
+def _visitor(retention_ms: int, user: str) -> StatefulProcessor:
     """Built here so that it travels with its code to Spark's stream runner."""
 
     class Visitor(StatefulProcessor):
-        """Whether one user was seen on one day; forgotten once the day is past retention."""
+        """Which users of one part were seen on one day; forgotten once the day is past retention."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.seen = handle.getValueState("seen", "seen boolean")
+            # One element a batch.
+            self.seen = handle.getListState("seen", f"users array<{user}>")
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             batch = pd.concat(list(rows), ignore_index=True)
-            if self.seen.exists() or batch.empty:
+            if batch.empty:
+                return
+            first = batch.sort_values("ts", kind="stable").drop_duplicates("user_id")
+            if self.seen.exists():
+                if key[1] < 0:
+                    return
+                first = first[~first["user_id"].isin([u for (users,) in self.seen.get() for u in users])]
+            if first.empty:
                 return
             day_end = int(pd.Timestamp(key[0]).value // 1_000_000) + DAY_MS
             past = day_end + retention_ms <= timerValues.getCurrentWatermarkInMs()
             if not past:
-                self.seen.update((True,))
+                users = [] if key[1] < 0 else first["user_id"].tolist()
+                self.seen.appendValue((users,))
                 self.handle.registerTimer(day_end + retention_ms)
-            yield batch.nsmallest(1, "ts").assign(past_retention=past)[["date", "user_id", "ts", "past_retention"]]
+            yield first.assign(past_retention=past)[["date", "user_id", "ts", "past_retention"]]
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             self.seen.clear()
@@ -70,22 +82,27 @@ def _visitor(retention_ms: int) -> StatefulProcessor:
 def first_visits(visits: DataFrame, retention: str = "30 days", late: str = "1 hour") -> DataFrame:
     """(date, user_id, ts, past_retention): visits that find no earlier one of their user and day.
 
-    State is kept per (date, user) and leaves by event time, ``retention`` after
+    State is kept per date and part of the users and leaves by event time, ``retention`` after
     the day, as seen from the newest row less ``late``. A visit that comes later
     still is not dropped: nobody remembers whether its user was seen, so it is
     given with ``past_retention`` set. ``daily_visitors`` counts both right.
     Needs the RocksDB state store.
     """
-    user = visits.schema["user_id"].dataType.simpleString()
+    kind = visits.schema["user_id"].dataType
+    # As texts, whole numbers next to a missing user stay whole.
+    user = "string" if isinstance(kind, IntegralType) else kind.simpleString()
     # A pandas function gives plain columns: Spark's own filter of late rows finds no event time.
-    dated = visits.withWatermark("ts", late).select(F.to_date("ts").alias("date"), "user_id", "ts")
+    dated = visits.withWatermark("ts", late).select(F.to_date("ts").alias("date"), F.col("user_id").cast(user).alias("user_id"), "ts")
     thinned = dated.mapInPandas(_earliest, f"date date, user_id {user}, ts timestamp")
-    return thinned.groupBy("date", "user_id").transformWithStateInPandas(
-        statefulProcessor=_visitor(int(pd.Timedelta(retention).total_seconds() * 1000)),
+    # Users share state keys; a missing user has a part of its own.
+    part = F.when(F.col("user_id").isNotNull(), F.pmod(F.xxhash64("user_id"), F.lit(USER_PARTS))).otherwise(-1)
+    firsts = thinned.withColumn("_part", part).groupBy("date", "_part").transformWithStateInPandas(
+        statefulProcessor=_visitor(int(pd.Timedelta(retention).total_seconds() * 1000), user),
         outputStructType=f"date date, user_id {user}, ts timestamp, past_retention boolean",
         outputMode="append",
         timeMode="EventTime",
     )
+    return firsts.withColumn("user_id", F.col("user_id").cast(kind))
 
 
 def split_by_retention(firsts: DataFrame) -> tuple[DataFrame, DataFrame]:
