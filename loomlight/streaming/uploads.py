@@ -19,6 +19,8 @@ from loomlight.operators.aliases import NEWEST, ORDINALS
 STATE_MINUTES = 5
 STATES = ["UPLOADING", "EMBEDDING", "INGESTING", "READY", "FAILED"]
 BUSY = ["EMBEDDING", "INGESTING"]
+# State keys that sessions are dealt to; fixed for the life of a stream.
+SESSION_BUCKETS = 512
 
 
 def upload_states(events: DataFrame, as_of: Column) -> DataFrame:
@@ -109,82 +111,98 @@ def _keeper(ordinals: list[str], newest: list[str]) -> StatefulProcessor:
     """Built here so that it travels with its code to Spark's stream runner."""
     life_ms = STATE_MINUTES * 60_000
     words_of = re.compile(r"\s+")
+    columns = ["session_id", "state", "began", "changed", "names", "aliases", "kind", "file_name"]
 
     class Keeper(StatefulProcessor):
-        """State, names, ordinals and aliases of one session; they end together."""
+        """State, names, ordinals and aliases of the sessions of a bucket; those of a session end together."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.early = handle.getListState("early", "ms bigint, event_id bigint, state string, file_name string, spoken string")
-            self.life = handle.getValueState("life", "state string, began bigint, changed bigint, names int")
-            self.names = handle.getMapState("names", "file_name string", "ordinal int")
-            self.aliases = handle.getMapState("aliases", "alias string", "file_name string")
+            # One element a batch.
+            self.early = handle.getListState(
+                "early",
+                "sessions array<string>, ms array<bigint>, event_ids array<bigint>, states array<string>, "
+                "file_names array<string>, spoken array<string>",
+            )
+            # One element a session whose life has begun and not ended.
+            self.lives = handle.getListState(
+                "lives",
+                "session string, state string, began bigint, changed bigint, names array<string>, "
+                "aliases array<string>, files array<string>",
+            )
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             batch = pd.concat(list(rows), ignore_index=True)
-            if pd.isna(key[0]):
-                return  # a filter of such rows would be moved below the watermark
-            now = timerValues.getCurrentWatermarkInMs()
-            late = batch["ms"] < now
+            # A filter of rows without a session would be moved below the watermark.
+            batch = batch[batch["session_id"].notna()]
+            late = batch["ms"] < timerValues.getCurrentWatermarkInMs()
             early = batch[~late]
             if len(early):
-                columns = ["ms", "event_id", "state", "file_name", "spoken"]
-                self.early.appendList([(int(m), int(e), *rest) for m, e, *rest in early[columns].itertuples(index=False)])
+                self.hold(early[["session_id", "ms", "event_id", "state", "file_name", "spoken"]].itertuples(index=False))
                 self.handle.registerTimer(int(early["ms"].min()))
-            for ms, state, name in batch.loc[late, ["ms", "state", "file_name"]].itertuples(index=False):
-                yield self.row(key, state, int(ms), int(ms), 0, {}, "late", name)
-
-        def row(self, key, state, began, changed, names, aliases, kind, name=None) -> pd.DataFrame:
-            pairs = [{"alias": a, "file_name": f} for a, f in sorted(aliases.items())]
-            return pd.DataFrame({
-                "session_id": [key[0]], "state": [state], "began": [began], "changed": [changed], "names": [names],
-                "aliases": [pairs], "kind": [kind], "file_name": [name],
-            })
-
-        def spoken_for(self) -> dict[str, str]:
-            return {a: f for (a,), (f,) in self.aliases.iterator()}
-
-        def end(self, key) -> pd.DataFrame:
-            state, began, changed, names = self.life.get()
-            out = self.row(key, state, began, changed, names, self.spoken_for(), "ended")
-            self.life.clear()
-            self.names.clear()
-            self.aliases.clear()
-            return out
-
-        def apply(self, ms: int, state: str, name: str | None, spoken: str | None) -> None:
-            _, began, _, count = self.life.get() if self.life.exists() else (None, ms, None, 0)
-            if name is not None and name.strip():
-                if not self.names.containsKey((name,)):
-                    count += 1
-                    self.names.updateValue((name,), (count,))
-                    if count <= len(ordinals):
-                        self.aliases.updateValue((ordinals[count - 1],), (name,))
-                for word in [*newest, *(w for w in words_of.split(spoken or "") if w)]:
-                    self.aliases.updateValue((word,), (name,))
-            self.life.update((state, began, ms, count))
+            out = [
+                (session, state, int(ms), int(ms), 0, [], "late", name)
+                for session, ms, state, name in batch.loc[late, ["session_id", "ms", "state", "file_name"]].itertuples(index=False)
+            ]
+            if out:
+                yield pd.DataFrame(out, columns=columns)
+
+        def hold(self, events, anew: bool = False) -> None:
+            sessions, ms, ids, states, names, spoken = map(list, zip(*events))
+            piece = (sessions, [int(m) for m in ms], [int(i) for i in ids], states, names, spoken)
+            self.early.put([piece]) if anew else self.early.appendValue(piece)
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
             now = timerValues.getCurrentWatermarkInMs()
-            held = sorted(self.early.get(), key=lambda e: (e[0], e[1])) if self.early.exists() else []
-            due = [e for e in held if e[0] < now]
-            for ms, _, state, name, spoken in due:
-                if self.life.exists() and ms - self.life.get()[2] >= life_ms:
-                    yield self.end(key)
-                self.apply(ms, state, name, spoken)
+            pieces = self.early.get() if self.early.exists() else ()
+            held = sorted((e for piece in pieces for e in zip(*piece, strict=True)), key=lambda e: (e[1], e[2]))
+            due = [e for e in held if e[1] < now]
+            rest = held[len(due) :]
+            # Per session: state, began, changed, names in order, files by alias.
+            lives: dict[str, list] = {}
+            for session, state, began, changed, names, aliases, files in self.lives.get() if self.lives.exists() else ():
+                lives[session] = [state, began, changed, dict.fromkeys(names), dict(zip(aliases, files, strict=True))]
+            out, touched = [], set()
+
+            def give(session: str, kind: str) -> None:
+                state, began, changed, names, aliases = lives[session]
+                pairs = [{"alias": a, "file_name": f} for a, f in sorted(aliases.items())]
+                out.append((session, state, began, changed, len(names), pairs, kind, None))
+
+            for session, ms, _, state, name, spoken in due:
+                if session in lives and ms - lives[session][2] >= life_ms:
+                    give(session, "ended")
+                    del lives[session]
+                life = lives.setdefault(session, [None, ms, ms, {}, {}])
+                names, aliases = life[3], life[4]
+                if name is not None and name.strip():
+                    if name not in names:
+                        names[name] = None
+                        if len(names) <= len(ordinals):
+                            aliases[ordinals[len(names) - 1]] = name
+                    for word in [*newest, *(w for w in words_of.split(spoken or "") if w)]:
+                        aliases[word] = name
+                life[0], life[2] = state, ms
+                touched.add(session)
+            ended = [session for session, life in lives.items() if life[2] + life_ms < now]
+            for session in ended:
+                give(session, "ended")
+                del lives[session]
+            for session in touched & lives.keys():
+                give(session, "live")
             if due:
-                rest = held[len(due) :]
-                self.early.put(rest) if rest else self.early.clear()
-                if rest:
-                    self.handle.registerTimer(rest[0][0])
-            if not self.life.exists():
-                return
-            state, began, changed, names = self.life.get()
-            if changed + life_ms < now:
-                yield self.end(key)
-            elif due:
-                self.handle.registerTimer(changed + life_ms)
-                yield self.row(key, state, began, changed, names, self.spoken_for(), "live")
+                self.hold(rest, anew=True) if rest else self.early.clear()
+            if due or ended:
+                kept = [
+                    (session, state, began, changed, list(names), list(aliases), list(aliases.values()))
+                    for session, (state, began, changed, names, aliases) in lives.items()
+                ]
+                self.lives.put(kept) if kept else self.lives.clear()
+                moments = [life[2] + life_ms for life in lives.values()] + [e[1] for e in rest[:1]]
+                if moments:
+                    self.handle.registerTimer(min(moments))
+            if out:
+                yield pd.DataFrame(out, columns=columns)
 
         def close(self) -> None:
             pass
@@ -203,22 +221,29 @@ def session_lives(events: DataFrame, delay: str = "1 minute") -> DataFrame:
     last event. Rows: kind ``live`` after events were applied, ``ended`` once a
     life, with its final state, and ``late`` for an event that came after its
     time was settled; that one changes nothing but is not lost. Rows with a null
-    session only move the time on. Needs the RocksDB state store.
+    session only move the time on. Sessions share ``SESSION_BUCKETS`` state keys, so a batch
+    asks the state store a few times per bucket. Needs the RocksDB state store.
     """
-    session = events.schema["session_id"].dataType.simpleString()
-    # A plain number: Spark's own filter of late rows finds no event time.
+    session = events.schema["session_id"].dataType
+    # A plain number: Spark's own filter of late rows finds no event time. Ids go as texts: beside
+    # missing ones, whole numbers would not stay whole.
     timed = events.withWatermark("ts", delay).select(
-        "session_id", F.unix_millis("ts").alias("ms"), F.col("event_id").cast("bigint").alias("event_id"), "state", "file_name",
+        F.col("session_id").cast("string").alias("session_id"), F.unix_millis("ts").alias("ms"),
+        F.coalesce(F.col("event_id").cast("bigint"), F.lit(0)).cast("string").alias("event_id"), "state", "file_name",
         normalize_source_name(F.col("file_name")).alias("spoken"),
+        F.pmod(F.xxhash64("session_id"), F.lit(SESSION_BUCKETS)).alias("_bucket"),
     )
     return (
-        timed.groupBy("session_id")
+        timed.groupBy("_bucket")
         .transformWithStateInPandas(
             statefulProcessor=_keeper(ORDINALS, NEWEST),
-            outputStructType=f"session_id {session}, state string, began bigint, changed bigint, names int, "
+            outputStructType="session_id string, state string, began bigint, changed bigint, names int, "
             "aliases array<struct<alias string, file_name string>>, kind string, file_name string",
             outputMode="append",
             timeMode="EventTime",
         )
-        .withColumns({"began": F.timestamp_millis("began"), "changed": F.timestamp_millis("changed")})
-    )
+        .withColumns({
+            "session_id": F.col("session_id").cast(session),
+            "began": F.timestamp_millis("began"), "changed": F.timestamp_millis("changed"),
+        })
+    )
