@@ -19,7 +19,8 @@ CHUNK_SIZE = 1000
 OVERLAP = 200
 MIN_CHUNK = 400
 
-CHUNKS_PER_BATCH = 10_000
+# Chunks written at a time, about 2 MB.
+CHUNKS_PER_BATCH = 2_000
 
 # White space as the source platform defines it (no no-break spaces).
 WHITESPACE = (
@@ -101,13 +102,14 @@ def chunk_documents(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(len(kept)).to_pylist()
+            # Texts become Python strings one at a time.
+            texts = batch.column(len(kept))
             start = 0
             while start < len(texts):
                 rows, places, totals, pieces = [], [], [], []
                 # Bounded output batches, whatever the texts expand to.
                 while start < len(texts) and len(pieces) < CHUNKS_PER_BATCH:
-                    found = list(split_text(texts[start] or "", size, overlap, least))
+                    found = list(split_text(texts[start].as_py() or "", size, overlap, least))
                     rows += [start] * len(found)
                     places += range(len(found))
                     totals += [len(found)] * len(found)
@@ -123,6 +125,8 @@ def chunk_documents(
                     ],
                     names=[*kept, "chunk_index", "total_chunks", "content"],
                 )
+        # Python workers serve many stages.
+        pa.default_memory_pool().release_unused()
 
     return source.mapInArrow(cut, schema)
 
