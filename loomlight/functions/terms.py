@@ -8,7 +8,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -23,10 +24,20 @@ def terms_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), NOT_A_TERM), lambda t: t != "")
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def _stems(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def stem_lists(rows: pa.Array) -> pa.Array:
+    """Stems of lists of words; words repeat, so each distinct one is stemmed once and none is copied."""
+    words = rows.flatten().dictionary_encode()
+    stems = pa.array([stem(w) for w in words.dictionary.to_pylist()], pa.string())
+    sizes = pc.fill_null(pc.list_value_length(rows), 0)
+    ends = pc.cumulative_sum(sizes) if len(rows) else sizes
+    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(offsets, stems.take(words.indices), mask=rows.is_null())
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _stems(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for rows in batches:
-        yield rows.map(lambda words: None if words is None else [stem(w) for w in words])
+        yield stem_lists(rows)
 
 
 def lexemes(text: Column, analyzer: str = "simple") -> Column:
