@@ -1,32 +1,25 @@
 """Lexical search: chunks that hold every term of a query, best cover first.
 
-All terms must match, so the rarest one alone decides which chunks can. Only
-that anchor term is joined; the chunks that carry it are checked for the other
-terms and scored. The pairs formed are therefore the chunks of each query's
-rarest term, never those of its common ones.
-
-The score is cover density (Clarke, Cormack and Tudhope, 2000): every minimal
-span that holds all terms counts 1 / (1 + other words in it), scaled by 0.1.
+Queries come as distinct term sets to the chunks (``operators.cover``). All
+terms must match, so a chunk and a set meet as bits, and only chunks that hold
+the whole set are scored, by cover density.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomlight.functions.terms import lexemes
 from loomlight.functions.text import word_count
+from loomlight.operators.cover import cover_scores, from_words
 from loomlight.ordering import top_k
 
-# Fixed values.
+# Fixed value.
 MIN_QUERY_WORDS = 3
-TERM_WEIGHT = 0.1
 
-SCORE_DIGITS = 9
-SAMPLE_FRACTION = 0.05
-SAMPLE_SEED = 17
-# About 32 MB of query terms.
-MAX_BROADCAST_TERMS = 1_000_000
+# Terms of query sets in one broadcast, about 10 MB.
+MAX_BROADCAST_TERMS = 300_000
 
 
 def query_terms(
@@ -42,93 +35,6 @@ def query_terms(
     )
 
 
-def _anchors(
-    asked: DataFrame, chunks: DataFrame, query_id: str, chunk_text: str, analyzer: str
-) -> DataFrame:
-    """Each query with the one of its terms that fewest chunks are likely to hold.
-
-    Any term would give the same result, so frequencies come from a sample.
-    Among terms the sample does not hold, the longest is likely the rarest.
-    """
-    wanted = asked.select(query_id, F.explode("terms").alias("anchor"))
-    sample = chunks.sample(fraction=SAMPLE_FRACTION, seed=SAMPLE_SEED)
-    frequencies = (
-        sample.select(
-            F.explode(F.array_distinct(lexemes(F.col(chunk_text), analyzer))).alias("anchor")
-        )
-        .join(wanted.select("anchor").distinct(), "anchor", "left_semi")
-        .groupBy("anchor")
-        .agg(F.count(F.lit(1)).alias("chunks_with"))
-    )
-    rarest = F.min(
-        F.struct(
-            F.coalesce("chunks_with", F.lit(0)).alias("n"),
-            (-F.length("anchor")).alias("length"),
-            "anchor",
-        )
-    )
-    return (
-        wanted.join(frequencies, "anchor", "left")
-        .groupBy(query_id)
-        .agg(rarest.alias("rarest"))
-        .select(query_id, F.col("rarest.anchor").alias("anchor"))
-        .join(asked, query_id)
-    )
-
-
-def cover_density(lexeme_array: Column, terms: Column) -> Column:
-    """Cover density of ``terms`` in an array of terms in text order.
-
-    One pass over the places where a query term stands: for every end, the
-    widest needed start is the earliest of the terms' last places. A span is
-    minimal when its start has moved since the end before.
-    """
-    marked = F.transform(
-        lexeme_array,
-        lambda term, place: F.struct(
-            F.array_position(terms, term).cast("int").alias("slot"), place.alias("place")
-        ),
-    )
-    return cover_of_hits(F.filter(marked, lambda h: h["slot"] > 0), F.size(terms))
-
-
-def cover_of_hits(hits: Column, n_terms: Column) -> Column:
-    """Cover density of hits, structs of a term's ``slot`` from 1 and its ``place``, in order of place."""
-    numbered = F.transform(
-        hits,
-        lambda h, nth: F.struct(
-            h["slot"].alias("slot"), h["place"].alias("place"), nth.alias("nth")
-        ),
-    )
-    unseen = F.struct(F.lit(-1).alias("place"), F.lit(-1).alias("nth"))
-    start = F.struct(
-        F.transform(F.sequence(F.lit(1), n_terms), lambda _: unseen).alias("last"),
-        F.lit(-1).alias("from"),
-        F.lit(0.0).cast("double").alias("sum"),
-    )
-
-    def advance(state: Column, hit: Column) -> Column:
-        last = F.transform(
-            state["last"],
-            lambda seen, i: F.when(
-                i + 1 == hit["slot"],
-                F.struct(hit["place"].alias("place"), hit["nth"].alias("nth")),
-            ).otherwise(seen),
-        )
-        first = F.array_min(last)
-        is_new = (first["place"] >= 0) & (first["place"] > state["from"])
-        span = hit["place"] - first["place"]
-        others = span - (hit["nth"] - first["nth"])
-        gain = F.when(is_new, F.lit(TERM_WEIGHT) / (1 + others)).otherwise(0.0)
-        return F.struct(
-            last.alias("last"),
-            F.when(is_new, first["place"]).otherwise(state["from"]).alias("from"),
-            (state["sum"] + gain).alias("sum"),
-        )
-
-    return F.aggregate(numbered, start, advance, lambda state: state["sum"])
-
-
 def keyword_scores(
     queries: DataFrame,
     chunks: DataFrame,
@@ -143,28 +49,16 @@ def keyword_scores(
     Queries under three words are skipped. Filters on the chunks (only images,
     only one session) belong on ``chunks`` before the call.
     """
+    return _covers(queries, chunks, query_id, query_text, chunk_id, chunk_text, analyzer)
+
+
+def _covers(
+    queries: DataFrame, chunks: DataFrame, query_id: str, query_text: str, chunk_id: str, chunk_text: str,
+    analyzer: str, k: int | None = None,
+) -> DataFrame:
     asked = query_terms(queries, query_id, query_text, analyzer)
-    anchors = _anchors(asked, chunks, query_id, chunk_text, analyzer)
-    words = chunks.select(chunk_id, lexemes(F.col(chunk_text), analyzer).alias("words"))
-    distinct = F.explode(F.array_distinct("words")).alias("anchor")
-    measured = asked.agg(F.sum(F.size("terms")).alias("n")).first()["n"] or 0
-    if measured <= MAX_BROADCAST_TERMS:
-        # One stage from scan to score: a chunk's words pass the join only where
-        # an anchor matches.
-        pairs = words.select(chunk_id, "words", distinct).join(F.broadcast(anchors), "anchor")
-    else:
-        # Only ids and terms are shuffled; matched chunks get their words again.
-        found = (
-            words.select(chunk_id, distinct)
-            .join(anchors.select(query_id, "anchor"), "anchor")
-            .select(query_id, chunk_id)
-        )
-        pairs = found.join(asked, query_id).join(words, chunk_id)
-    density = F.round(cover_density(F.col("words"), F.col("terms")), SCORE_DIGITS)
-    return (
-        pairs.filter(F.size(F.array_except("terms", "words")) == 0)
-        .select(query_id, chunk_id, density.alias("density"))
-    )
+    words = chunks.select(F.col(chunk_id).alias("chunk"), lexemes(F.col(chunk_text), analyzer).alias("words"))
+    return cover_scores(asked, words, query_id, chunk_id, from_words, MAX_BROADCAST_TERMS, k)
 
 
 def best_matches(scored: DataFrame, k: int, query_id: str, chunk_id: str) -> DataFrame:
@@ -182,5 +76,4 @@ def keyword_matches(
     analyzer: str = "simple",
 ) -> DataFrame:
     """Top-k per query: query_id, chunk_id, density, rank; ties by chunk id."""
-    scored = keyword_scores(queries, chunks, query_id, query_text, chunk_id, chunk_text, analyzer)
-    return best_matches(scored, k, query_id, chunk_id)
+    return _covers(queries, chunks, query_id, query_text, chunk_id, chunk_text, analyzer, k)

@@ -6,8 +6,9 @@ only the buckets of its own terms. A term that stands in very many chunks is
 spread over several files of its bucket. Next to the postings lie the counts of
 chunks per term, which tell the rarest term of a query exactly.
 
-A search starts from the postings of each query's rarest term; the pairs they
-give meet the postings of the other terms by (term, chunk). No text is read and
+A search starts from the postings of each query's rarest term: only chunks that
+hold one of these can match. They gather the postings of wanted terms, and meet
+the term sets of the queries as bits (``operators.cover``). No text is read and
 no term that no query has is looked at.
 """
 
@@ -22,7 +23,9 @@ from pyspark.sql import functions as F
 from loomlight.functions.stemming import STOP_WORDS, stem
 from loomlight.functions.terms import terms_of
 from loomlight.lineage import materialize
-from loomlight.operators.lexical import SCORE_DIGITS, best_matches, cover_of_hits, query_terms
+from loomlight.operators import lexical
+from loomlight.operators.cover import cover_scores, from_postings
+from loomlight.operators.lexical import query_terms
 from loomlight.sources import manifest
 
 BUCKETS = 64
@@ -97,8 +100,9 @@ def search_scores(
     chunk_id: str = "vector_id",
     analyzer: str = "simple",
     buckets: int = BUCKETS,
+    k: int | None = None,
 ) -> DataFrame:
-    """Every (query_id, chunk_id) where the chunk holds all terms, with its density.
+    """Every (query_id, chunk_id) where the chunk holds all terms, with its density; with ``k``, the k best and their rank.
 
     Equals ``lexical.keyword_scores`` over the indexed chunks.
     """
@@ -112,34 +116,17 @@ def search_scores(
     if index is None or counts is None:
         raise ValueError(f"no index at {path}")
     known = counts.join(wanted, "term", "left_semi").groupBy("term").agg(F.sum("n").alias("n"))
-    slots = asked.select(query_id, "terms", F.posexplode("terms").alias("slot", "term"))
-    counted = slots.join(known, "term", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    rarest = counted.groupBy(query_id).agg(F.min(F.struct("n", "slot", "term")).alias("rarest"))
-    anchors = materialize(
-        asked.join(rarest, query_id).select(query_id, "terms", F.col("rarest.slot").alias("slot"), F.col("rarest.term").alias("term")),
-        "anchors",
-    )
-    first = materialize(anchors.join(index, "term"), "candidates")
-    rest = first.select(query_id, "chunk_id", F.posexplode("terms").alias("slot", "term"), F.col("slot").alias("anchor"))
-    rest = rest.filter("slot != anchor").select(query_id, "chunk_id", "slot", "term")
-    found = rest.join(index, ["term", "chunk_id"]).select(query_id, "chunk_id", "slot", "places")
-    every = found.unionByName(first.select(query_id, "chunk_id", "slot", "places"))
-    # As many rows per pair as the query has terms.
-    pairs = every.groupBy(query_id, "chunk_id").agg(F.collect_list(F.struct("slot", "places")).alias("held"))
-    whole = pairs.join(asked.select(query_id, F.size("terms").alias("n")), query_id).filter(F.size("held") == F.col("n"))
-    hits = F.flatten(
-        F.transform(
-            "held",
-            lambda h: F.transform(
-                h["places"], lambda place: F.struct(place.alias("place"), (h["slot"] + 1).alias("slot"))
-            ),
-        )
-    )
-    density = F.round(cover_of_hits(F.array_sort(hits), F.col("n")), SCORE_DIGITS)
-    return whole.select(query_id, F.col("chunk_id").alias(chunk_id), density.alias("density"))
+    counted = asked.select(query_id, F.explode("terms").alias("term")).join(known, "term", "left")
+    rarest = counted.groupBy(query_id).agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term")).alias("rarest"))
+    anchors = materialize(rarest.select(F.col("rarest.term").alias("term")).distinct(), "anchors")
+    # Written, so its size is known when it meets the postings.
+    candidates = materialize(index.join(anchors, "term", "left_semi").select("chunk_id").distinct(), "candidates")
+    met = index.join(wanted, "term", "left_semi").join(candidates, "chunk_id", "left_semi")
+    # A chunk has a bounded number of terms.
+    held = met.groupBy(F.col("chunk_id").alias("chunk")).agg(F.collect_list(F.struct("term", "places")).alias("held"))
+    return cover_scores(asked, held, query_id, chunk_id, from_postings, lexical.MAX_BROADCAST_TERMS, k)
 
 
 def search(queries: DataFrame, path: str, k: int, query_id: str = "query_id", query_text: str = "text", chunk_id: str = "vector_id", **options) -> DataFrame:
     """Top-k per query: query_id, chunk_id, density, rank; ties by chunk id."""
-    scored = search_scores(queries, path, query_id, query_text, chunk_id, **options)
-    return best_matches(scored, k, query_id, chunk_id)
+    return search_scores(queries, path, query_id, query_text, chunk_id, k=k, **options)
