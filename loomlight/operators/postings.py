@@ -16,12 +16,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomlight.functions.stemming import STOP_WORDS, stem
-from loomlight.functions.terms import terms_of
+from loomlight.functions.terms import lexemes
 from loomlight.lineage import materialize
 from loomlight.operators import lexical
 from loomlight.operators.cover import cover_scores, from_postings
@@ -30,6 +31,7 @@ from loomlight.sources import manifest
 
 BUCKETS = 64
 SPREAD = 16
+CHUNKS_PER_BATCH = 2_000
 
 
 def _bucket(term: str, buckets: int) -> Column:
@@ -39,34 +41,44 @@ def _bucket(term: str, buckets: int) -> Column:
 def postings(chunks: DataFrame, chunk_id: str = "vector_id", chunk_text: str = "content", analyzer: str = "simple") -> DataFrame:
     """(term, chunk_id, places): the places of each term in each chunk, in order.
 
-    ``english`` drops stop words, whose places stay empty, and stems the rest; a
-    task stems each distinct word once. Nothing is shuffled.
+    ``english`` drops stop words, whose places stay empty, and stems the rest. A
+    task sorts the words of some chunks by term. Nothing is shuffled.
     """
-    if analyzer not in ("simple", "english"):
-        raise ValueError(f"unknown analyzer {analyzer!r}")
 
-    def invert(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        stops, stems = frozenset(STOP_WORDS), {}
+    def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple[str, object, list[int]]] = []
-            for chunk, words in batch.itertuples(index=False):
-                places: dict[str, list[int]] = {}
-                for place, word in enumerate(() if words is None else words):
-                    if analyzer == "english":
-                        if word in stops:
-                            continue
-                        term = stems.get(word)
-                        if term is None:
-                            term = stems[word] = stem(word)
-                    else:
-                        term = word
-                    places.setdefault(term, []).append(place)
-                out.extend((term, chunk, at) for term, at in places.items())
-            yield pd.DataFrame(out, columns=["term", "chunk_id", "places"])
+            for at in range(0, batch.num_rows, CHUNKS_PER_BATCH):
+                part = batch.slice(at, CHUNKS_PER_BATCH)
+                yield _inverted(part.column(0), part.column(1))
+        # Python workers serve many stages.
+        pa.default_memory_pool().release_unused()
 
     kind = chunks.schema[chunk_id].dataType.simpleString()
-    words = chunks.select(chunk_id, terms_of(F.col(chunk_text)).alias("words"))
-    return words.mapInPandas(invert, f"term string, chunk_id {kind}, places array<int>")
+    words = chunks.select(chunk_id, lexemes(F.col(chunk_text), analyzer).alias("words"))
+    return words.mapInArrow(invert, f"term string, chunk_id {kind}, places array<int>")
+
+
+def _inverted(ids: pa.Array, words: pa.Array) -> pa.RecordBatch:
+    """Postings of some chunks; '' holds the place of a stop word and is no term."""
+    sizes = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    named = words.flatten().dictionary_encode()
+    code = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    chunk = np.repeat(np.arange(len(sizes)), sizes)
+    place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    stops = pc.equal(named.dictionary, "").to_numpy(zero_copy_only=False).astype(bool)
+    kept = np.flatnonzero(~stops[code])
+    order = kept[np.argsort(code[kept] * len(sizes) + chunk[kept], kind="stable")]
+    pair = code[order] * len(sizes) + chunk[order]
+    start = np.flatnonzero(np.diff(pair, prepend=-1))
+    ends = pa.array(np.append(start, len(order)).astype(np.int32))
+    return pa.RecordBatch.from_arrays(
+        [
+            named.dictionary.take(pa.array(code[order[start]])),
+            ids.take(pa.array(chunk[order[start]])),
+            pa.ListArray.from_arrays(ends, pa.array(place[order].astype(np.int32))),
+        ],
+        names=["term", "chunk_id", "places"],
+    )
 
 
 def add_postings(
@@ -84,10 +96,14 @@ def add_postings(
     Postings are published before counts, and counts only help to choose, so a
     batch that ends between the two is whole after it is run again.
     """
-    rows = materialize(postings(chunks, chunk_id, chunk_text, analyzer), "postings")
+    spark = chunks.sparkSession
+    if all(manifest.load(spark, f"{path}/{part}").applied.get(writer, -1) >= batch for part in ("postings", "counts")):
+        return False
+    rows = postings(chunks, chunk_id, chunk_text, analyzer)
     spread = F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))
     added = manifest.write_batch(rows, f"{path}/postings", _bucket("term", buckets), writer, batch, spread=spread)
-    counts = rows.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    stored = manifest.read_batch(spark, f"{path}/postings", writer, batch)
+    counts = stored.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     manifest.write_batch(counts, f"{path}/counts", _bucket("term", buckets), writer, batch)
     return added
 

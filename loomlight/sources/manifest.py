@@ -121,6 +121,20 @@ def read_table(spark: SparkSession, path: str, buckets: Iterable[str] | None = N
     return spark.read.schema(schema).parquet(*paths)
 
 
+def read_batch(spark: SparkSession, path: str, writer: str, batch: int) -> DataFrame:
+    """The rows one batch of a writer added, as far as the newest manifest names them."""
+    now = load(spark, path)
+    prefix = f"{writer}-{batch}-"
+    paths = [
+        f"{path}/data/{folder}/_bucket={b}"
+        for b, folders in sorted(now.folders.items())
+        for folder in folders
+        if folder.startswith(prefix) and len(folder) == len(prefix) + 32
+    ]
+    schema = T.StructType.fromJson(now.schema)
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)
+
+
 def key_bucket(key: str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets))
 
