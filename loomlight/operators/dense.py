@@ -45,16 +45,23 @@ class _Queries:
         self.ids = ids
         self.unit = _unit(vectors)
         self.limited = np.array([t is not None and len(t) > 0 for t in targets], bool)
-        self.by_source: dict[str, list[int]] = {}
+        by_source: dict[str, list[int]] = {}
         for row, names in enumerate(targets):
             for name in names or ():
-                self.by_source.setdefault(name, []).append(row)
-
-    def allowed(self, sources: list[str]) -> np.ndarray:
-        names, codes = np.unique(np.array([s or "" for s in sources], object), return_inverse=True)
-        table = np.repeat(~self.limited[None, :], len(names), axis=0)
+                by_source.setdefault(name, []).append(row)
+        # Rows ascend.
+        self.by_source = {name: np.unique(np.array(rows, np.int32)) for name, rows in by_source.items()}
+
+    def allowed(self, sources: np.ndarray, asked: np.ndarray) -> np.ndarray:
+        """Which of the queries ``asked`` (ascending) may see chunks of these sources."""
+        names, codes = np.unique(sources, return_inverse=True)
+        table = np.repeat(~self.limited[asked][None, :], len(names), axis=0)
         for code, name in enumerate(names):
-            table[code, self.by_source.get(name, [])] = True
+            rows = self.by_source.get(name)
+            if rows is not None and len(asked):
+                rows = rows[np.searchsorted(rows, asked[0]) : np.searchsorted(rows, asked[-1], "right")]
+                at = np.searchsorted(asked, rows)
+                table[code, at[asked[at] == rows]] = True
         return table[codes]
 
 
@@ -68,6 +75,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
+def _names(part: pa.RecordBatch) -> np.ndarray:
+    return np.array([s or "" for s in part.column(2).to_pylist()], object)
+
+
 def _best(scores: np.ndarray, ids: np.ndarray, k: int, bar: float) -> np.ndarray:
     """Rows of the k best scores, ties by id; copies of one chunk cannot pile up."""
     rows = np.flatnonzero(scores >= bar)
@@ -103,8 +114,9 @@ class _Leaders:
     def _add(self, part: pa.RecordBatch) -> None:
         ids = np.array(part.column(0).to_pylist(), object)
         scores = _unit(_matrix(part.column(1))) @ self.queries.unit.T
-        allowed = self.queries.allowed(part.column(2).to_pylist()) if self.filtered else None
-        self._keep(ids, scores, allowed, np.arange(len(self.queries.ids)))
+        every = np.arange(len(self.queries.ids))
+        allowed = self.queries.allowed(_names(part), every) if self.filtered else None
+        self._keep(ids, scores, allowed, every)
 
     def _keep(
         self, ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray | None, asked: np.ndarray
@@ -163,7 +175,7 @@ class _PivotLeaders(_Leaders):
     def _add(self, part: pa.RecordBatch) -> None:
         ids = np.array(part.column(0).to_pylist(), object)
         unit = _unit(_matrix(part.column(1)))
-        allowed = self.queries.allowed(part.column(2).to_pylist()) if self.filtered else None
+        names = _names(part) if self.filtered else None
         owner, pivots, radius = _groups(unit)
         for g in range(len(pivots)):
             rows = np.flatnonzero(owner == g)
@@ -176,7 +188,8 @@ class _PivotLeaders(_Leaders):
             width = max(1, CELLS // len(rows))
             for at in range(0, len(live), width):
                 some = live[at : at + width]
-                seen = None if allowed is None else allowed[np.ix_(rows, some)]
+                # Only for this block: a slice by all queries would be gigabytes.
+                seen = None if names is None else self.queries.allowed(names[rows], some)
                 self._keep(ids[rows], unit[rows] @ self.queries.unit[some].T, seen, some)
                 if self.held > 4 * self.k * len(self.queries.ids):
                     self._shrink()
