@@ -105,17 +105,24 @@ class _Slice:
         bits = np.zeros((len(present), -(-n_chunks // 64) * 8), np.uint8)
         np.bitwise_or.at(bits, (row, at >> 3), (1 << (at & 7)).astype(np.uint8))
         self.bits = bits.view("<u8")
+        # Chunks that hold a present term.
+        self.chunks = np.bincount(row, minlength=len(present))
 
     def holders(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row of ``codes``, chunk) of every chunk that holds all terms of a row."""
-        rows = self.row[codes]
+        rows, left = self.row[codes], np.arange(len(codes))
+        # Rare terms first: most sets are out before their frequent ones are read.
+        rows = np.take_along_axis(rows, np.argsort(self.chunks[rows], axis=1), axis=1)
         both = self.bits[rows[:, 0]]
         for j in range(1, rows.shape[1]):
-            both &= self.bits[rows[:, j]]
+            both &= self.bits[rows[left, j]]
+            if j & (j + 1) == 0 or j % 8 == 0:
+                some = both.any(axis=1)
+                both, left = both[some], left[some]
         at, word = np.nonzero(both)
         some = np.unpackbits(both[at, word].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         hit, bit = np.nonzero(some)
-        return at[hit], word[hit] * 64 + bit
+        return left[at[hit]], word[hit] * 64 + bit
 
     def densities(self, codes: np.ndarray, chunk: np.ndarray) -> np.ndarray:
         """Rounded cover density of each row of terms in its chunk, which holds them all."""

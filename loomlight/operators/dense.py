@@ -14,8 +14,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -34,7 +34,11 @@ ROUND_BYTES = 32 << 20
 ROUND_LEADERS = 500_000
 SLACK = 1e-8  # above the rounding of scores
 SCORE_DIGITS = 9
+ROUNDING = 1e-9  # above what rounding adds to a score
+ROUGH = 1.2e-7  # above the error of a product in single precision, per component
 CELLS = 4_000_000
+PAIRS = 65_536
+HELD_IDS = 1_000_000
 TREE_FROM_FILES = 512
 
 
@@ -44,6 +48,9 @@ class _Queries:
     def __init__(self, ids: pa.Array, vectors: np.ndarray, targets: list[list[str] | None]):
         self.ids = ids
         self.unit = _unit(vectors)
+        # Single precision finds what may count; its score is then taken in full.
+        self.rough = self.unit.astype(np.float32)
+        self.margin = ROUNDING + ROUGH * (vectors.shape[1] + 8)
         self.limited = np.array([t is not None and len(t) > 0 for t in targets], bool)
         by_source: dict[str, list[int]] = {}
         for row, names in enumerate(targets):
@@ -52,6 +59,13 @@ class _Queries:
         # Rows ascend.
         self.by_source = {name: np.unique(np.array(rows, np.int32)) for name, rows in by_source.items()}
 
+    def seeing(self, sources: np.ndarray) -> np.ndarray:
+        """Which queries may see a chunk of any of these sources."""
+        seen = ~self.limited
+        for name in set(sources) & self.by_source.keys():
+            seen[self.by_source[name]] = True
+        return seen
+
     def allowed(self, sources: np.ndarray, asked: np.ndarray) -> np.ndarray:
         """Which of the queries ``asked`` (ascending) may see chunks of these sources."""
         names, codes = np.unique(sources, return_inverse=True)
@@ -79,16 +93,12 @@ def _names(part: pa.RecordBatch) -> np.ndarray:
     return np.array([s or "" for s in part.column(2).to_pylist()], object)
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int, bar: float) -> np.ndarray:
-    """Rows of the k best scores, ties by id; copies of one chunk cannot pile up."""
-    rows = np.flatnonzero(scores >= bar)
-    if len(rows) > k:
-        cut = -np.partition(-scores[rows], k - 1)[k - 1]
-        sure = rows[scores[rows] > cut]
-        tied = rows[scores[rows] == cut]
-        tied = tied[np.argsort(ids[tied], kind="stable")[: k - len(sure)]]
-        rows = np.concatenate([sure, tied])
-    return rows
+def _first_of_ties(scores: np.ndarray, k: int) -> np.ndarray:
+    """Which k scores of every row are best, the first ones among equals."""
+    kth = np.partition(scores, -k, axis=1)[:, -k, None]
+    sure, tied = scores > kth, scores == kth
+    room = k - np.count_nonzero(sure, axis=1)
+    return sure | (tied & (np.cumsum(tied, axis=1, dtype=np.int32) <= room[:, None]))
 
 
 class _Leaders:
@@ -101,62 +111,97 @@ class _Leaders:
     def __init__(self, queries: _Queries, k: int, floor: float, filtered: bool):
         self.queries, self.k, self.filtered = queries, k, filtered
         self.bar = np.full(len(queries.ids), floor)
-        self.parts: list[pd.DataFrame] = []
-        self.held = 0
+        # Query, number of the chunk among ``ids`` and score.
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids: list[pa.Array] = []
+        self.held, self.seen, self.limit = 0, 0, HELD_IDS
         self.step = max(1, CELLS // len(queries.ids))
 
     def add(self, batch: pa.RecordBatch) -> None:
         for start in range(0, batch.num_rows, self.step):
-            self._add(batch.slice(start, self.step))
-            if self.held > 4 * self.k * len(self.queries.ids):
-                self._shrink()
+            part = batch.slice(start, self.step)
+            # By id, so the first of equal scores is the one to keep.
+            part = part.take(pc.sort_indices(part.column(0)))
+            self.ids.append(part.column(0))
+            self._add(part)
+            self.seen += part.num_rows
+            if self.seen > self.limit:
+                self._forget()
+
+    def _crowded(self) -> bool:
+        return self.held > 4 * self.k * len(self.queries.ids)
 
     def _add(self, part: pa.RecordBatch) -> None:
-        ids = np.array(part.column(0).to_pylist(), object)
-        scores = _unit(_matrix(part.column(1))) @ self.queries.unit.T
-        every = np.arange(len(self.queries.ids))
-        allowed = self.queries.allowed(_names(part), every) if self.filtered else None
-        self._keep(ids, scores, allowed, every)
-
-    def _keep(
-        self, ids: np.ndarray, scores: np.ndarray, allowed: np.ndarray | None, asked: np.ndarray
-    ) -> None:
-        """Look at the scores of some chunks (rows) for the queries ``asked`` (columns)."""
-        scores = np.round(scores, SCORE_DIGITS)
-        if allowed is not None:
-            scores[~allowed] = -np.inf
-        # Queries nothing in this slice can help are skipped at once.
-        live = np.flatnonzero(scores.max(axis=0) >= self.bar[asked])
-        picked = [_best(scores[:, q], ids, self.k, self.bar[asked[q]]) for q in live]
-        if picked:
-            rows = np.concatenate(picked)
-            owner = np.repeat(live, [len(p) for p in picked])
-            found = {"q": asked[owner], "c": ids[rows], "s": scores[rows, owner]}
-            self.parts.append(pd.DataFrame(found))
-            self.held += len(rows)
-
-    def _shrink(self) -> pd.DataFrame:
-        every = pd.concat(self.parts)
-        every = every.sort_values(["q", "s", "c"], ascending=[True, False, True])
-        best = every.groupby("q", sort=False).head(self.k)
-        full = best.groupby("q")["s"].agg(["size", "min"])
-        full = full[full["size"] == self.k]
-        self.bar[full.index] = full["min"]
-        self.parts, self.held = [best], len(best)
-        return best
+        self._meet(np.arange(part.num_rows), _unit(_matrix(part.column(1))), _names(part), None)
+
+    def _meet(self, rows: np.ndarray, unit: np.ndarray, names: np.ndarray, reach: np.ndarray | None) -> None:
+        """Chunks (ascending places in the slice) and the queries that may see one of them and are in reach."""
+        near = np.ones(len(self.bar), bool) if reach is None else reach >= self.bar
+        if self.filtered:
+            near &= self.queries.seeing(names)
+        live, rough = np.flatnonzero(near), unit.T.astype(np.float32)
+        width = max(1, CELLS // max(1, len(rows)))
+        for at in range(0, len(live), width):
+            some = live[at : at + width]
+            hit = self.queries.rough[some] @ rough >= (self.bar[some] - self.queries.margin)[:, None]
+            if self.filtered and self.queries.limited[some].any():
+                # Only for this block: a slice by all queries would be gigabytes.
+                hit &= self.queries.allowed(names, some).T
+            self._keep(rows, unit, some, hit)
+            if self._crowded():
+                self._shrink()
+
+    def _keep(self, rows: np.ndarray, unit: np.ndarray, asked: np.ndarray, hit: np.ndarray) -> None:
+        """Look at the queries ``asked`` (rows of ``hit``) and the chunks (columns) that may reach their bar."""
+        owner, chunk = np.divmod(np.flatnonzero(hit), hit.shape[1])
+        many = np.flatnonzero(np.bincount(owner, minlength=len(asked)) > self.k)
+        if len(many):
+            exact = np.round(self.queries.unit[asked[many]] @ unit.T, SCORE_DIGITS)
+            hit[many] &= _first_of_ties(np.where(hit[many], exact, -np.inf), self.k)
+            owner, chunk = np.divmod(np.flatnonzero(hit), hit.shape[1])
+        for at in range(0, len(owner), PAIRS):
+            q, c = asked[owner[at : at + PAIRS]], chunk[at : at + PAIRS]
+            score = np.round(np.einsum("ij,ij->i", self.queries.unit[q], unit[c]), SCORE_DIGITS)
+            kept = score >= self.bar[q]
+            if kept.any():
+                self.parts.append((q[kept].astype(np.int32), self.seen + rows[c[kept]], score[kept]))
+                self.held += int(kept.sum())
+
+    def _shrink(self) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+        """(query, chunk id, score) of the k best of every query, best first; ties by id."""
+        owner, chunk, score = (np.concatenate(c) for c in zip(*self.parts, strict=True))
+        used, at = np.unique(chunk, return_inverse=True)
+        ids = pa.concat_arrays(self.ids).take(pa.array(used))
+        place = np.empty(len(used), np.int64)
+        place[pc.sort_indices(ids).to_numpy()] = np.arange(len(used))
+        order = np.lexsort((place[at], -score, owner))
+        runs = np.flatnonzero(np.diff(owner[order], prepend=-1))
+        sizes = np.diff(runs, append=len(order))
+        nth = np.arange(len(order)) - np.repeat(runs, sizes)
+        kth = order[nth == self.k - 1]
+        self.bar[owner[kth]] = score[kth]
+        best = order[nth < self.k]
+        self.parts, self.held = [(owner[best], chunk[best], score[best])], len(best)
+        return owner[best], ids.take(pa.array(at[best])), score[best]
+
+    def _forget(self) -> None:
+        """Drop the ids of chunks that are not among the best; between two slices."""
+        if self.parts:
+            self._shrink()
+            owner, chunk, score = self.parts[0]
+            used, at = np.unique(chunk, return_inverse=True)
+            self.ids, self.parts = [pa.concat_arrays(self.ids).take(pa.array(used))], [(owner, at, score)]
+            self.seen = len(used)
+        else:
+            self.ids, self.seen = [], 0
+        self.limit = 2 * self.seen + HELD_IDS
 
     def result(self, id_type: pa.DataType) -> pa.RecordBatch | None:
         if not self.parts:
             return None
-        best = self._shrink()
-        return pa.RecordBatch.from_arrays(
-            [
-                self.queries.ids.take(pa.array(best["q"].to_numpy(np.int64))),
-                pa.array(best["c"].tolist(), id_type),
-                pa.array(best["s"].to_numpy(np.float64)),
-            ],
-            names=["_q", "_c", "_s"],
-        )
+        owner, chunk, score = self._shrink()
+        columns = [self.queries.ids.take(pa.array(owner)), chunk.cast(id_type), pa.array(score)]
+        return pa.RecordBatch.from_arrays(columns, names=["_q", "_c", "_s"])
 
 
 class _PivotLeaders(_Leaders):
@@ -173,26 +218,17 @@ class _PivotLeaders(_Leaders):
         self.products = 0
 
     def _add(self, part: pa.RecordBatch) -> None:
-        ids = np.array(part.column(0).to_pylist(), object)
-        unit = _unit(_matrix(part.column(1)))
-        names = _names(part) if self.filtered else None
+        unit, names = _unit(_matrix(part.column(1))), _names(part)
         owner, pivots, radius = _groups(unit)
         for g in range(len(pivots)):
             rows = np.flatnonzero(owner == g)
-            if not len(rows):
-                continue
-            away = np.arccos(np.clip(self.queries.unit @ pivots[g], -1, 1))
-            reach = np.cos(np.maximum(away - radius[g], 0)) + SLACK
-            live = np.flatnonzero(reach >= self.bar)
-            self.products += len(rows) * len(live)
-            width = max(1, CELLS // len(rows))
-            for at in range(0, len(live), width):
-                some = live[at : at + width]
-                # Only for this block: a slice by all queries would be gigabytes.
-                seen = None if names is None else self.queries.allowed(names[rows], some)
-                self._keep(ids[rows], unit[rows] @ self.queries.unit[some].T, seen, some)
-                if self.held > 4 * self.k * len(self.queries.ids):
-                    self._shrink()
+            if len(rows):
+                away = np.arccos(np.clip(self.queries.unit @ pivots[g], -1, 1))
+                self._meet(rows, unit[rows], names[rows], np.cos(np.maximum(away - radius[g], 0)) + SLACK)
+
+    def _keep(self, rows: np.ndarray, unit: np.ndarray, asked: np.ndarray, hit: np.ndarray) -> None:
+        self.products += hit.size
+        super()._keep(rows, unit, asked, hit)
 
 
 def _groups(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -245,14 +281,14 @@ def nearest_chunks(
     ).filter("v is not null")
     q_type = asked.schema["q"].dataType.simpleString()
     c_type = offered.schema["c"].dataType.simpleString()
-    schema = f"_q {q_type}, _c {c_type}, _s double"
+    schema = f"_c {c_type}, _s double"
     id_type = to_arrow_type(asked.schema["q"].dataType)
     chunk_type = to_arrow_type(offered.schema["c"].dataType)
 
     # At most one row above the bound reaches the driver.
     head = asked.limit(max_broadcast + 1).collect()
     if not head:
-        scored = offered.sparkSession.createDataFrame([], schema)
+        scored = offered.sparkSession.createDataFrame([], f"_q {q_type}, {schema}")
     elif len(head) <= max_broadcast:
         held = _Queries(
             pa.array([r.q for r in head], id_type),
@@ -269,7 +305,7 @@ def nearest_chunks(
             if found is not None:
                 yield found
 
-        scored = offered.mapInArrow(local_best, schema)
+        scored = offered.mapInArrow(local_best, f"_q {q_type}, {schema}")
     else:
         scored = None
 
@@ -292,16 +328,20 @@ def _in_rounds(
 ) -> DataFrame:
     """The k best of every query of a large table, round after round.
 
-    A round holds about ``ROUND_BYTES`` of queries and ``ROUND_LEADERS`` results;
-    only that much is on the driver or in a broadcast at a time. Its results are
-    final, since no query is in two rounds, and are written.
+    Queries of one vector and the same targets are searched once. A round holds
+    about ``ROUND_BYTES`` of queries and ``ROUND_LEADERS`` results; only that much
+    is on the driver or in a broadcast at a time. Its results are final, since no
+    query is in two rounds, and are written.
     """
+    seen = F.coalesce("t", F.array().cast("array<string>")).alias("t")
+    keyed = materialize(asked.select("q", "v", seen), "asked")
+    sought = materialize(keyed.select("v", "t").distinct().withColumn("no", F.monotonically_increasing_id()), "sought")
+    members = materialize(keyed.join(sought, ["v", "t"]).select("q", "no"), "members")
     size = F.size("v") * 8 + F.coalesce(F.length(F.array_join("t", "")), F.lit(0)) * 2 + 64
-    whole = asked.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
+    whole = sought.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("bytes")).first()
     rounds = max(-(-whole["bytes"] // ROUND_BYTES), -(-whole["n"] * k // ROUND_LEADERS))
-    dealt = asked.withColumn("round", F.pmod(F.xxhash64("q"), F.lit(rounds)).cast("int"))
-    dealt = materialize(dealt.repartition("round"), "asked")
-    id_type = to_arrow_type(asked.schema["q"].dataType)
+    dealt = sought.withColumn("round", F.pmod(F.xxhash64("no"), F.lit(rounds)).cast("int"))
+    dealt = materialize(dealt.repartition("round"), "rounds")
     chunk_type = to_arrow_type(offered.schema["c"].dataType)
     found = []
     for turn in range(rounds):
@@ -309,7 +349,7 @@ def _in_rounds(
         if not rows:
             continue
         held = _Queries(
-            pa.array([r.q for r in rows], id_type),
+            pa.array([r.no for r in rows], pa.int64()),
             np.array([r.v for r in rows], np.float64),
             [r.t for r in rows],
         )
@@ -324,12 +364,12 @@ def _in_rounds(
             if best is not None:
                 yield best
 
-        found.append(materialize(_ranked(offered.mapInArrow(local_best, schema), k, wide), "nearest"))
+        found.append(materialize(_ranked(offered.mapInArrow(local_best, f"_q bigint, {schema}"), k, wide), "nearest"))
         shared.unpersist()
     whole = found[0]
     for more in found[1:]:
         whole = whole.unionByName(more)
-    return whole
+    return whole.withColumnRenamed("_q", "no").join(members, "no").withColumnRenamed("q", "_q")
 
 
 def _ranked(scored: DataFrame, k: int, wide: bool) -> DataFrame:

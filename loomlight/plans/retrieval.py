@@ -19,7 +19,7 @@ from loomlight.lineage import materialize
 from loomlight.operators.dense import nearest_chunks
 from loomlight.operators.embedding import Embedder, hashed_terms
 from loomlight.operators.fusion import POOL_SIZE, fuse_ranks, spread_sources
-from loomlight.operators.lexical import best_matches, keyword_scores
+from loomlight.operators.lexical import best_matches, keyword_matches, keyword_scores
 from loomlight.operators.ranking import rank_candidates
 from loomlight.operators.rerank import (
     TEXT_RESULTS,
@@ -74,11 +74,13 @@ def hybrid_retrieve(
     image_only: bool = False,
     analyzer: str = "simple",
     targets_in_lexical: bool = False,
+    lexical: DataFrame | None = None,
 ) -> DataFrame:
     """Fused, source-spread candidates: plan_id, chunk fields, fused_score, fused_rank, ranks.
 
     Targets restrict the dense side; the lexical side searches everything
     unless ``targets_in_lexical``. Image-only search reads image chunks.
+    ``lexical`` is the keyword list of these and maybe other queries, where it is known already.
     """
     dense_side, lexical_side = chunks, chunks
     if image_only:
@@ -87,10 +89,13 @@ def hybrid_retrieve(
     dense = nearest_chunks(
         queries, dense_side, k, query_id="plan_id", targets="targets", source="source_name"
     )
-    scored = keyword_scores(queries, lexical_side, "plan_id", "query_text", analyzer=analyzer)
     if targets_in_lexical:
-        scored = _inside_targets(scored, queries, lexical_side)
-    lexical = best_matches(scored, k, "plan_id", "vector_id")
+        scored = keyword_scores(queries, lexical_side, "plan_id", "query_text", analyzer=analyzer)
+        lexical = best_matches(_inside_targets(scored, queries, lexical_side), k, "plan_id", "vector_id")
+    elif lexical is None:
+        lexical = keyword_matches(queries, lexical_side, k, "plan_id", "query_text", analyzer=analyzer)
+    else:
+        lexical = lexical.join(queries.select("plan_id"), "plan_id", "left_semi")
     # Written, so its size is known: a pool that can be broadcast meets the chunks
     # where they are read, instead of both sides being shuffled.
     fused = materialize(fuse_ranks(dense, lexical, query_id="plan_id"), "fused")
@@ -147,6 +152,7 @@ def retrieve_evidence(
     rerank_by: str = "query_text",
     image_only: bool = False,
     analyzer: str = "simple",
+    lexical: DataFrame | None = None,
 ) -> DataFrame:
     """Candidates, pair scores, diverse selection and signal ranking for each plan.
 
@@ -154,7 +160,7 @@ def retrieve_evidence(
     """
     plain = F.coalesce(_is_whole_document(), F.lit(False))
     searched = hybrid_retrieve(
-        queries.filter(~plain), chunks, image_only=image_only, analyzer=analyzer
+        queries.filter(~plain), chunks, image_only=image_only, analyzer=analyzer, lexical=lexical
     ).select("plan_id", *CHUNK_FIELDS, "fused_rank", F.lit(False).alias("whole_document_match"))
     offered = chunks.filter(~is_blank(F.col("image_url"))) if image_only else chunks
     whole = whole_documents(queries.filter(plain), offered, WHOLE_DOCUMENT_CAP).select(
@@ -229,11 +235,17 @@ def retrieve_with_expansion(
 ) -> tuple[DataFrame, DataFrame]:
     """(evidence, status): plans that fail inside their targets search the whole corpus.
 
-    Only the failing plans run again. The status row of a plan holds the
+    Only the failing plans run again. Keyword search ignores targets, so both
+    rounds share its list. The status row of a plan holds the
     requested and actual scope, expanded_scope and the reason.
     """
     queries = materialize(queries, "queries")
-    primary = materialize(retrieve_evidence(queries, chunks, scorer, analyzer=analyzer), "primary")
+    lexical = materialize(
+        keyword_matches(queries, chunks, POOL_SIZE, "plan_id", "query_text", analyzer=analyzer), "lexical"
+    )
+    primary = materialize(
+        retrieve_evidence(queries, chunks, scorer, analyzer=analyzer, lexical=lexical), "primary"
+    )
     failing = materialize(needs_expansion(queries, primary), "failing")
     widened = queries.join(failing.select("plan_id"), "plan_id", "left_semi").withColumns(
         {
@@ -244,7 +256,7 @@ def retrieve_with_expansion(
     if failing.isEmpty():
         evidence = primary
     else:
-        second = retrieve_evidence(widened, chunks, scorer, analyzer=analyzer)
+        second = retrieve_evidence(widened, chunks, scorer, analyzer=analyzer, lexical=lexical)
         kept = primary.join(failing.select("plan_id"), "plan_id", "left_anti")
         evidence = kept.unionByName(second)
     status = queries.join(failing.select("plan_id", "reason"), "plan_id", "left").select(
