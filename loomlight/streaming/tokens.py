@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Container, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,6 +14,8 @@ from loomlight.schemas import PROGRESS, SCOPE_EXPANSION
 
 TOKENS_PER_SEGMENT = 1000
 STATE_HOURS = 24
+# State keys that messages are dealt to; fixed for the life of a stream.
+MESSAGE_BUCKETS = 512
 # Events that carry something other than text, and the two
 # notices a widened search gives.
 CONTROL_EVENTS = ["citations", "visuals", "progress", "scope_expansion", "error", "done", "retry"]
@@ -107,47 +109,95 @@ def _assembler(first: int, ttl_ms: int | None, wait_ms: int) -> StatefulProcesso
         return out
 
     class Assembler(StatefulProcessor):
-        """Events of one message, held until none is missing up to its end."""
+        """Events of the messages of a bucket; a message's are held until none is missing up to its end."""
 
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
-            self.events = handle.getListState("events", "seq bigint, event string, data string", ttlDurationMs=ttl_ms)
-            # Ranges of the numbers that came, and the number of the end.
-            self.come = handle.getValueState("come", "low array<bigint>, high array<bigint>, done bigint", ttlDurationMs=ttl_ms)
-            # What arrives for a finished answer is ignored as long as this mark lasts.
-            self.given = handle.getValueState("given", "given boolean", ttlDurationMs=ttl_ms)
+            # One element a batch, or what is left of some.
+            self.pieces = handle.getListState(
+                "pieces", "messages array<string>, seqs array<bigint>, events array<string>, data array<string>"
+            )
+            # One element a waiting message: ranges of the numbers that came, the number of the end, when it
+            # was last heard of and until when it may wait.
+            self.waiting = handle.getListState(
+                "waiting", "message string, low array<bigint>, high array<bigint>, done bigint, at bigint, due bigint"
+            )
+            # What arrives for a finished answer is ignored as long as these marks last. One element a batch.
+            self.given = handle.getListState("given", "messages array<string>", ttlDurationMs=ttl_ms)
 
         def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
             batch = pd.concat(list(rows), ignore_index=True)
-            if self.given.exists():
+            now = 0 if ttl_ms is None else timerValues.getCurrentProcessingTimeInMs()
+            given = {m for (messages,) in (self.given.get() if self.given.exists() else ()) for m in messages}
+            new: dict[str | None, list[tuple[int, str, str]]] = {}
+            for message, seq, event, data in batch[["message_id", "seq", "event", "data"]].itertuples(index=False):
+                if message not in given:
+                    new.setdefault(message, []).append((int(seq), event, data))
+            if not new:
                 return
-            low, high, done = self.come.get() if self.come.exists() else ([], [], None)
-            new = [(int(s), e, d) for s, e, d in batch[["seq", "event", "data"]].itertuples(index=False)]
-            ranges = with_numbers(list(zip(low, high, strict=True)), (s for s, _, _ in new))
-            ends = [s for s, e, _ in new if e == "done"]
-            done = min([*ends, *([] if done is None else [done])], default=None)
-            if done is not None and any(a <= first and done <= b for a, b in ranges):
-                held = list(self.events.get()) if self.events.exists() else []
-                text, failing = joined([*held, *new], done)
-                yield self.finished(key, text, "FAILED" if failing else "COMPLETED")
-                return
-            self.events.appendList(new)
-            self.come.update(([a for a, _ in ranges], [b for _, b in ranges], done))
-            if done is not None and ttl_ms is not None:
-                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + wait_ms)
+            waiting, ready, begun = self.waits(), {}, False
+            for message, events in new.items():
+                low, high, done, _, due = waiting.pop(message, ((), (), None, None, None))
+                ranges = with_numbers(list(zip(low, high, strict=True)), (n for n, _, _ in events))
+                ends = [n for n, e, _ in events if e == "done"]
+                done = min([*ends, *([] if done is None else [done])], default=None)
+                if done is not None and any(a <= first and done <= b for a, b in ranges):
+                    ready[message] = done
+                    begun |= bool(low)
+                else:
+                    due = now + wait_ms if due is None and done is not None else due
+                    waiting[message] = ([a for a, _ in ranges], [b for _, b in ranges], done, now, due)
+            held = self.taken(ready) if begun else {}
+            kept = [(m, *event) for m, events in new.items() if m not in ready for event in events]
+            if kept:
+                self.pieces.appendValue(tuple(map(list, zip(*kept, strict=True))))
+            texts = {m: joined([*held.get(m, ()), *new[m]], done) for m, done in ready.items()}
+            self.keep(waiting)
+            yield from self.finished({m: (text, "FAILED" if failing else "COMPLETED") for m, (text, failing) in texts.items()})
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-            if self.given.exists() or not self.come.exists():
+            now, waiting = timerValues.getCurrentProcessingTimeInMs(), self.waits()
+            over = {m: done for m, (_, _, done, _, due) in waiting.items() if due is not None and due <= now}
+            left = {m for m, (_, _, _, at, _) in waiting.items() if at + ttl_ms <= now}
+            if not over and not left:
                 return
-            _, _, done = self.come.get()
-            text, _ = joined(self.events.get(), done)
-            yield self.finished(key, text, "INCOMPLETE")
+            held = self.taken({*over, *left})
+            self.keep({m: wait for m, wait in waiting.items() if m not in over and m not in left})
+            yield from self.finished({m: (joined(held.get(m, ()), done)[0], "INCOMPLETE") for m, done in over.items()})
+
+        def waits(self) -> dict[str | None, tuple]:
+            found = self.waiting.get() if self.waiting.exists() else ()
+            return {message: wait for message, *wait in found}
+
+        def keep(self, waiting: dict[str | None, tuple]) -> None:
+            if waiting:
+                self.waiting.put([(message, *wait) for message, wait in waiting.items()])
+                if ttl_ms is not None:
+                    moments = (at + ttl_ms if due is None else due for _, _, _, at, due in waiting.values())
+                    self.handle.registerTimer(min(moments))
+            else:
+                self.waiting.clear()
+
+        def taken(self, messages: Container[str | None]) -> dict[str | None, list[tuple[int, str, str]]]:
+            """Events of some messages, which leave the state."""
+            found, rest = {}, []
+            for piece in self.pieces.get() if self.pieces.exists() else ():
+                for message, *event in zip(*piece, strict=True):
+                    if message in messages:
+                        found.setdefault(message, []).append(tuple(event))
+                    else:
+                        rest.append((message, *event))
+            if rest:
+                self.pieces.put([tuple(map(list, zip(*rest, strict=True)))])
+            else:
+                self.pieces.clear()
+            return found
 
-        def finished(self, key, text: str, status: str) -> pd.DataFrame:
-            self.events.clear()
-            self.come.clear()
-            self.given.update((True,))
-            return pd.DataFrame({"message_id": [key[0]], "text": [text], "status": [status]})
+        def finished(self, answers: dict[str | None, tuple[str, str]]) -> Iterator[pd.DataFrame]:
+            if answers:
+                self.given.appendValue((list(answers),))
+                text, status = zip(*answers.values(), strict=True)
+                yield pd.DataFrame({"message_id": list(answers), "text": text, "status": status})
 
         def close(self) -> None:
             pass
@@ -164,15 +214,22 @@ def assemble_stream(events: DataFrame, expire: bool = False, first: int = 1, wai
     waits. Its text then leaves the state; a mark stays. With ``expire`` the wait
     for missing numbers ends after ``wait`` by the clock, and what has come is
     given as INCOMPLETE; marks and abandoned answers leave after a day; such a
-    stream runs on. Needs the RocksDB state store.
+    stream runs on. Messages share ``MESSAGE_BUCKETS`` state keys, so a batch asks
+    the state store a few times per bucket. Needs the RocksDB state store.
     """
+    # Ids go as texts: beside missing ones, whole numbers would not stay whole.
+    dealt = events.select(
+        F.col("message_id").cast("string").alias("message_id"), "seq", "event", "data",
+        F.pmod(F.xxhash64("message_id"), F.lit(MESSAGE_BUCKETS)).alias("_bucket"),
+    )
     wait_ms = int(pd.Timedelta(wait).total_seconds() * 1000)
-    return events.groupBy("message_id").transformWithStateInPandas(
+    answers = dealt.groupBy("_bucket").transformWithStateInPandas(
         statefulProcessor=_assembler(first, STATE_HOURS * 3_600_000 if expire else None, wait_ms),
-        outputStructType="message_id bigint, text string, status string",
+        outputStructType="message_id string, text string, status string",
         outputMode="append",
         timeMode="ProcessingTime" if expire else "None",
     )
+    return answers.withColumn("message_id", F.col("message_id").cast("bigint"))
 
 
 def progress_log(events: DataFrame) -> DataFrame:
