@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from loomlight.functions.terms import term_lists
 from loomlight.lineage import materialize
 from loomlight.ordering import top_k
 
@@ -76,6 +77,11 @@ def from_words(words: pa.Array, terms: pa.Array) -> Occurrences:
     return np.repeat(np.arange(len(sizes)), sizes)[wanted], codes[wanted], _within(sizes)[wanted]
 
 
+def from_texts(texts: pa.Array, terms: pa.Array) -> Occurrences:
+    """Occurrences in texts made by ``term_text``."""
+    return from_words(term_lists(texts), terms)
+
+
 def from_postings(held: pa.Array, terms: pa.Array) -> Occurrences:
     """Occurrences in lists of (term, places)."""
     sizes = _sizes(held)

@@ -8,8 +8,8 @@ to unit length: it needs no model, and equal texts get equal vectors.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 from hashlib import md5
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -18,23 +18,32 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType
 
-from loomlight.functions.terms import terms_of
+from loomlight.functions.terms import term_lists, term_text
 
 Embedder = Callable[[Column], Column]
 DIMENSIONS = 64
+SLICE_ROWS = 2_048
 
 
-@lru_cache(maxsize=1 << 17)
-def _bucket(word: str) -> int:
-    return int(md5(word.encode()).hexdigest()[:6], 16) % DIMENSIONS
+def _buckets(words: pa.LargeStringArray) -> np.ndarray:
+    """The first six hexadecimal digits of each word's MD5, modulo ``DIMENSIONS``."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    ends = np.frombuffer(words.buffers()[1], np.int64, len(words) + 1, words.offset * 8).tolist()
+    data = words.buffers()[2].to_pybytes()
+    # Bytes of the buffer as they are: most distinct words are rare, and strings of them cost more than their hash.
+    heads = b"".join([md5(data[a:b]).digest()[:3] for a, b in pairwise(ends)])
+    high, middle, low = np.frombuffer(heads, np.uint8).reshape(-1, 3).astype(np.int64).T
+    return (high << 16 | middle << 8 | low) % DIMENSIONS
 
 
 @F.arrow_udf(ArrayType(FloatType()))
 def _hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-    for terms in batches:
-        # Words of a batch repeat: hash each distinct one once.
+    for texts in batches:
+        # Cut in slices that fit a cache; words of a batch repeat: hash each distinct one once.
+        terms = pa.concat_arrays([term_lists(texts.slice(at, SLICE_ROWS)) for at in range(0, max(len(texts), 1), SLICE_ROWS)])
         words = terms.flatten().dictionary_encode()
-        buckets = np.array([_bucket(w) for w in words.dictionary.to_pylist()], np.int64)
+        buckets = _buckets(words.dictionary)
         counts = np.zeros(len(terms) * DIMENSIONS)
         if len(words):
             rows = pc.list_parent_indices(terms)
@@ -49,4 +58,4 @@ def _hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
 
 def hashed_terms(text: Column) -> Column:
     """Bucket counts of the terms of a text, scaled to unit length."""
-    return _hashed(F.coalesce(terms_of(text), F.array().cast("array<string>")))
+    return _hashed(term_text(text))

@@ -10,9 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomlight.functions.terms import lexemes
+from loomlight.functions.terms import lexemes, term_text
 from loomlight.functions.text import word_count
-from loomlight.operators.cover import cover_scores, from_words
+from loomlight.operators.cover import cover_scores, from_texts, from_words
 from loomlight.ordering import top_k
 
 # Fixed value.
@@ -57,8 +57,12 @@ def _covers(
     analyzer: str, k: int | None = None,
 ) -> DataFrame:
     asked = query_terms(queries, query_id, query_text, analyzer)
-    words = chunks.select(F.col(chunk_id).alias("chunk"), lexemes(F.col(chunk_text), analyzer).alias("words"))
-    return cover_scores(asked, words, query_id, chunk_id, from_words, MAX_BROADCAST_TERMS, k)
+    if analyzer == "simple":
+        read, words = from_texts, term_text(F.col(chunk_text))
+    else:
+        read, words = from_words, lexemes(F.col(chunk_text), analyzer)
+    rows = chunks.select(F.col(chunk_id).alias("chunk"), words.alias("words"))
+    return cover_scores(asked, rows, query_id, chunk_id, read, MAX_BROADCAST_TERMS, k)
 
 
 def best_matches(scored: DataFrame, k: int, query_id: str, chunk_id: str) -> DataFrame:
