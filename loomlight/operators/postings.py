@@ -2,8 +2,9 @@
 
 A posting is one term of one chunk with its places. Postings lie in buckets by
 term behind a manifest, so a batch of chunks adds folders and a search reads
-only the buckets of its own terms. A term that stands in very many chunks is
-spread over several files of its bucket. Next to the postings lie the counts of
+only the buckets of its own terms. Every task writes the postings of its chunks,
+chunk by chunk, so nothing is shuffled and a term that stands in very many
+chunks is spread over the files of its bucket. Next to the postings lie the counts of
 chunks per term, which tell the rarest term of a query exactly.
 
 A search starts from the postings of each query's rarest term: only chunks that
@@ -30,7 +31,6 @@ from loomlight.operators.lexical import query_terms
 from loomlight.sources import manifest
 
 BUCKETS = 64
-SPREAD = 16
 CHUNKS_PER_BATCH = 2_000
 
 
@@ -42,7 +42,7 @@ def postings(chunks: DataFrame, chunk_id: str = "vector_id", chunk_text: str = "
     """(term, chunk_id, places): the places of each term in each chunk, in order.
 
     ``english`` drops stop words, whose places stay empty, and stems the rest. A
-    task sorts the words of some chunks by term. Nothing is shuffled.
+    task sorts the words of some chunks by chunk and term. Nothing is shuffled.
     """
 
     def invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -67,8 +67,9 @@ def _inverted(ids: pa.Array, words: pa.Array) -> pa.RecordBatch:
     place = np.arange(len(code)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     stops = pc.equal(named.dictionary, "").to_numpy(zero_copy_only=False).astype(bool)
     kept = np.flatnonzero(~stops[code])
-    order = kept[np.argsort(code[kept] * len(sizes) + chunk[kept], kind="stable")]
-    pair = code[order] * len(sizes) + chunk[order]
+    # Chunk by chunk: ids that stand together, and those of one text, take little room.
+    order = kept[np.argsort(chunk[kept] * len(named.dictionary) + code[kept], kind="stable")]
+    pair = chunk[order] * len(named.dictionary) + code[order]
     start = np.flatnonzero(np.diff(pair, prepend=-1))
     ends = pa.array(np.append(start, len(order)).astype(np.int32))
     return pa.RecordBatch.from_arrays(
@@ -100,8 +101,10 @@ def add_postings(
     if all(manifest.load(spark, f"{path}/{part}").applied.get(writer, -1) >= batch for part in ("postings", "counts")):
         return False
     rows = postings(chunks, chunk_id, chunk_text, analyzer)
-    spread = F.pmod(F.xxhash64("chunk_id"), F.lit(SPREAD))
-    added = manifest.write_batch(rows, f"{path}/postings", _bucket("term", buckets), writer, batch, spread=spread)
+    added = manifest.write_batch(
+        rows, f"{path}/postings", _bucket("term", buckets), writer, batch,
+        shuffled=False, most_buckets=buckets, compression="zstd",
+    )
     stored = manifest.read_batch(spark, f"{path}/postings", writer, batch)
     counts = stored.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
     manifest.write_batch(counts, f"{path}/counts", _bucket("term", buckets), writer, batch)

@@ -12,7 +12,8 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -73,6 +74,18 @@ def _publish(spark: SparkSession, path: str, manifest: Manifest) -> None:
         raise Conflict(final)
 
 
+@contextmanager
+def _open_files(spark: SparkSession, most: int) -> Iterator[None]:
+    """Let a task have several files open, so that its rows need not be sorted by bucket first."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_batch(
     rows: DataFrame,
     path: str,
@@ -82,6 +95,9 @@ def write_batch(
     replaced: Iterable[str] = (),
     at: Manifest | None = None,
     spread: Column | None = None,
+    shuffled: bool = True,
+    most_buckets: int = BUCKETS,
+    compression: str = "snappy",
 ) -> bool:
     """Add rows to their buckets; ``replaced`` buckets hold only these rows from now on.
 
@@ -89,6 +105,8 @@ def write_batch(
     table already. ``at`` is the manifest that the rows were made from; if
     another batch was published since, ``Conflict`` is raised and nothing is
     changed. ``spread`` deals the rows of a bucket to several tasks and files.
+    Rows that are not ``shuffled`` are written by the tasks that make them, in
+    their order: a file per task and bucket, of up to ``most_buckets`` open at once.
     """
     spark = rows.sparkSession
     now = load(spark, path) if at is None else at
@@ -96,8 +114,12 @@ def write_batch(
         return False
     folder = f"{writer}-{batch}-{uuid.uuid4().hex}"
     tagged = rows.withColumn("_bucket", bucket.cast("string"))
-    dealt = tagged.repartition("_bucket") if spread is None else tagged.repartition("_bucket", spread)
-    dealt.write.partitionBy("_bucket").parquet(f"{path}/data/{folder}")
+    if shuffled:
+        dealt = tagged.repartition("_bucket") if spread is None else tagged.repartition("_bucket", spread)
+        dealt.write.partitionBy("_bucket").parquet(f"{path}/data/{folder}", compression=compression)
+    else:
+        with _open_files(spark, most_buckets + 1):
+            tagged.write.partitionBy("_bucket").parquet(f"{path}/data/{folder}", compression=compression)
     written = {n.split("=", 1)[1] for n in _names(spark, f"{path}/data/{folder}") if n.startswith("_bucket=")}
     gone = set(replaced)
     folders = {b: f for b, f in now.folders.items() if b not in gone}
