@@ -460,7 +460,9 @@ def _scored(rows: DataFrame, sets: DataFrame, read: Callable[..., Occurrences],
 def _ordered(rows: DataFrame) -> DataFrame:
     """Rows with a number, ``no``, that grows with the chunk id, dealt to tasks by it."""
     written = materialize(rows, "words")
-    tasks = max(rows.sparkSession.sparkContext.defaultParallelism, written.count() // CHUNKS_PER_TASK)
+    # As many files for every core, or the last ones keep few cores busy in every round.
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    tasks = cores * max(1, -(-written.count() // (CHUNKS_PER_TASK * cores)))
     dealt = written.repartitionByRange(tasks, "chunk").sortWithinPartitions("chunk")
     return materialize(dealt.withColumn("no", F.monotonically_increasing_id()), "ordered")
 
