@@ -13,12 +13,13 @@ span that holds all terms counts 1 / (1 + other words in it), scaled by 0.1.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -31,7 +32,10 @@ TERM_WEIGHT = 0.1
 
 SCORE_DIGITS = 9
 SLICE_ROWS = 4_096
-CHUNKS_PER_TASK = 65_536
+CHUNKS_PER_TASK = 262_144
+# Sets of a round: a task holds up to k chunks of each. Above the lower number, ids are numbered first.
+MOST_SETS = 150_000
+NUMBERED_SETS = 20_000
 # Cells of a block of sets and chunks, matches scored at a time, matches held before they are cut.
 CELLS = 4_000_000
 MATCHES = 500_000
@@ -51,7 +55,7 @@ class TermSets:
 
     def __init__(self, numbers: pa.Array, sets: pa.Array):
         named = sets.flatten().dictionary_encode()
-        codes = named.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        codes = named.indices.to_numpy(zero_copy_only=False).astype(np.int32)
         sizes = _sizes(sets)
         first = np.cumsum(sizes) - sizes
         every = [np.flatnonzero(sizes == n) for n in np.unique(sizes[sizes > 0])]
@@ -457,6 +461,18 @@ def _scored(rows: DataFrame, sets: DataFrame, read: Callable[..., Occurrences],
     return rows.mapInArrow(score, f"set_no bigint, chunk {kind}, density double")
 
 
+@contextmanager
+def _a_task_per_file(spark: SparkSession) -> Iterator[None]:
+    """Files of about the same size, as many for every core, stay tasks of their own."""
+    name = "spark.sql.files.openCostInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _ordered(rows: DataFrame) -> DataFrame:
     """Rows with a number, ``no``, that grows with the chunk id, dealt to tasks by it."""
     written = materialize(rows, "words")
@@ -479,28 +495,31 @@ def cover_scores(
     """(query_id, chunk_id, density) where a chunk holds all ``terms`` of a query; with ``k``, the k best and their rank.
 
     ``rows`` are (chunk, what ``read`` takes occurrences from). Queries with the
-    same terms are scored once. Up to ``most_terms`` terms of sets are on the
-    driver and in a broadcast at a time; more come in rounds, whose results are
-    written and are final, since no set is in two rounds.
+    same terms are scored once. Up to ``most_terms`` terms of sets (four bytes each,
+    and every distinct term) are on the driver and in a broadcast at a time; more come
+    in rounds, whose results are written and are final, since no set is in two rounds.
     """
+    spark = rows.sparkSession
     keyed = materialize(asked.select(query_id, F.array_sort("terms").alias("terms")), "asked")
     sets = materialize(keyed.select("terms").distinct().withColumn("set_no", F.monotonically_increasing_id()), "sets")
     members = materialize(keyed.join(sets, "terms").select(query_id, "set_no"), "members")
-    rounds = -(-(sets.agg(F.sum(F.size("terms"))).first()[0] or 0) // max(1, most_terms))
+    terms, count = sets.agg(F.sum(F.size("terms")), F.count(F.lit(1))).first()
+    rounds = max(-(-(terms or 0) // max(1, most_terms)), -(-count // MOST_SETS))
 
     def best(found: DataFrame) -> DataFrame:
         return found if k is None else top_k(found, ["set_no"], [F.col("density").desc(), F.col("chunk")], k)
 
-    if rounds <= 1:
+    if rounds <= 1 and count <= NUMBERED_SETS:
         whole = best(_scored(rows, sets, read, k))
     else:
         # Numbers take the place of ids in what is shuffled.
         numbered = _ordered(rows)
         short = numbered.select(F.col("no").alias("chunk"), rows.columns[1])
         turn = F.pmod(F.xxhash64("set_no"), F.lit(rounds))
-        parts = [
-            materialize(best(_scored(short, sets.filter(turn == i), read, k)), "matches") for i in range(rounds)
-        ]
+        with _a_task_per_file(spark):
+            parts = [
+                materialize(best(_scored(short, sets.filter(turn == i), read, k)), "matches") for i in range(rounds)
+            ]
         whole = parts[0]
         for more in parts[1:]:
             whole = whole.unionByName(more)

@@ -18,8 +18,8 @@ from loomlight.ordering import top_k
 # Fixed value.
 MIN_QUERY_WORDS = 3
 
-# Terms of query sets in one broadcast, about 10 MB.
-MAX_BROADCAST_TERMS = 300_000
+# Terms of query sets in one broadcast, about 10 MB: four bytes a term, and every distinct one.
+MAX_BROADCAST_TERMS = 1_500_000
 
 
 def query_terms(
